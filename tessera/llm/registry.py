@@ -1,10 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, mixing, sharding
+from tessera.llm import exact_dedup, langid, minhash, mixing, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_minhash": minhash.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_packing": packing.op9_packing,
+    "op10_langid": langid.op10_langid,
 }
-SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op5_minhash": minhash.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
