@@ -1,13 +1,15 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, langid, minhash, mixing, packing, sharding
+from tessera.llm import exact_dedup, langid, minhash, mixing, packing, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_topk": topk.op3_topk,
     "op5_minhash": minhash.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
 }
-SQL = {"op5_minhash": minhash.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_topk": topk.OP3_SQL, "op5_minhash": minhash.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
