@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, langid, minhash, mixing, packing, sharding, topk, url_filter
+from tessera.llm import exact_dedup, hmm, langid, minhash, mixing, packing, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op5_minhash": minhash.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_hmm": hmm.op7_hmm,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
