@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, hmm, langid, minhash, mixing, packing, sharding, topk, url_filter
+from tessera.llm import exact_dedup, hmm, langid, minhash, mixing, packing, pii, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_topk": topk.op3_topk,
+    "op4_pii": pii.op4_pii,
     "op5_minhash": minhash.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_hmm": hmm.op7_hmm,
