@@ -55,10 +55,14 @@ def _inline(line: Column, kind: Column, head: Column) -> Column:
     return F.flatten(F.transform(found, one))
 
 
-def parse(text: Column) -> Column:
-    """The schema in a text. A text in which nothing is found is kept raw with parsed = false."""
-    raw = F.coalesce(text, F.lit(""))
-    rows = F.filter(F.transform(lines(raw), lambda l: F.struct(l.alias("line"), strip(l).alias("bare"))), lambda x: x["bare"] != "")
+def parsed(df: DataFrame, text: str, out: str = "schema") -> DataFrame:
+    """Adds the schema in a text. A text in which nothing is found is kept raw with parsed = false.
+
+    Lines, their sections and their events are columns of their own, so that each is worked out once a row.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("__lines", F.filter(F.transform(lines(raw), lambda l: F.struct(l.alias("line"), strip(l).alias("bare"))), lambda x: x["bare"] != ""))
+    rows = F.col("__lines")
     section = lambda b: F.when(b.rlike(NODE_SECTION), "node").when(b.rlike(REL_SECTION), "rel").when(b.rlike(PATTERN_SECTION), "patterns")
 
     def step(acc, x):
@@ -69,7 +73,7 @@ def parse(text: Column) -> Column:
         return F.struct(sec.alias("sec"), lab.alias("lab"), F.concat(acc["out"], F.array(F.struct(sec.alias("sec"), lab.alias("lab")))).alias("out")).cast(_STATE)
 
     start = F.struct(_NONE().alias("sec"), _NONE().alias("lab"), F.array().cast("array<struct<sec:string,lab:string>>").alias("out")).cast(_STATE)
-    states = F.aggregate(rows, start, step)["out"]
+    df = df.withColumn("__states", F.aggregate(rows, start, step)["out"])
 
     def events(x, s):
         b, line, yes, no = x["bare"], x["line"], F.lit(True), F.lit(False)
@@ -85,7 +89,8 @@ def parse(text: Column) -> Column:
             .when(body & b.contains("{"), F.concat(brace, _inline(b, s["sec"], no)))
             .otherwise(F.array().cast(_EVENT)))
 
-    every = F.flatten(F.zip_with(rows, states, events))
+    df = df.withColumn("__events", F.flatten(F.zip_with(rows, F.col("__states"), events)))
+    every = F.col("__events")
 
     def owners(kind):
         mine = F.filter(every, lambda e: e["kind"] == kind)
@@ -98,17 +103,15 @@ def parse(text: Column) -> Column:
 
         return F.transform(labels, one)
 
-    found = F.filter(every, lambda e: e["kind"] == "pattern")
-    keys = F.transform(found, lambda e: F.concat_ws("\x01", e["owner"], e["name"], e["desc"]))
+    df = df.withColumn("__found", F.filter(every, lambda e: e["kind"] == "pattern"))
+    found = F.col("__found")
+    df = df.withColumn("__keys", F.transform(found, lambda e: F.concat_ws("\x01", e["owner"], e["name"], e["desc"])))
+    keys = F.col("__keys")
     first = F.filter(found, lambda e, i: e["head"] | (F.array_position(keys, F.get(keys, i)) == i + 1))
     patterns = F.transform(first, lambda e: F.struct(e["owner"].alias("src"), e["name"].alias("rel"), e["desc"].alias("dst")))
-    parsed = F.exists(every, lambda e: ~e["head"] | (e["kind"] == "pattern"))
-    return F.struct(owners("node").alias("nodes"), owners("rel").alias("rel_props"), patterns.alias("patterns"), raw.alias("raw"), parsed.alias("parsed"))
-
-
-def parsed(df: DataFrame, text: str, out: str = "schema") -> DataFrame:
-    """Adds the parsed schema. It is kept apart from what uses it, so that it is worked out once a row."""
-    return df.withColumn(out, parse(F.col(text)))
+    any_ = F.exists(every, lambda e: ~e["head"] | (e["kind"] == "pattern"))
+    df = df.withColumn(out, F.struct(owners("node").alias("nodes"), owners("rel").alias("rel_props"), patterns.alias("patterns"), raw.alias("raw"), any_.alias("parsed")))
+    return df.drop("__lines", "__states", "__events", "__found", "__keys")
 
 
 def render(s: Column, examples: bool = True) -> Column:
@@ -198,23 +201,27 @@ def apply_mode(df: DataFrame, text: str, question: str, mode: str, out: str, min
     return df.withColumn(out, render(F.col("__small"))).drop("__schema", "__small")
 
 
-def trim(text: Column, drop: Column) -> Column:
-    """Without property lines from the bottom, until drop characters are gone; lines from `The relationships` on stay. A mark follows."""
-    rows = lines(text)
+def trim(df: DataFrame, text: str, drop: Column, out: str) -> DataFrame:
+    """Adds a schema's text without property lines from the bottom, until drop characters are gone; lines from `The relationships` on stay,
+    and a mark follows. Steps that are used more than once are columns of their own."""
+    df = df.withColumns({"__rows": lines(F.col(text)), "__drop": drop})
+    rows = F.col("__rows")
     at = F.array_position(F.transform(rows, lambda l: strip(l).rlike(PATTERN_SECTION)), F.lit(True))
-    guarded = F.when(at > 0, at - 1).otherwise(F.size(rows)).cast("int")
-    marked = F.reverse(F.transform(rows, lambda l, i: F.struct(l.alias("l"), ((i < guarded) & l.rlike(PROPERTY_LINE)).alias("r"))))
+    df = df.withColumn("__at", at).withColumn("__guarded", F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(F.size(rows)).cast("int"))
+    marked = F.reverse(F.transform(rows, lambda l, i: F.struct(l.alias("l"), ((i < F.col("__guarded")) & l.rlike(PROPERTY_LINE)).alias("r"))))
     kind = "struct<gone:int,n:int,kept:array<string>>"
 
     def step(acc, x):
-        go = x["r"] & (acc["gone"] < drop)
+        go = x["r"] & (acc["gone"] < F.col("__drop"))
         return F.struct(F.when(go, acc["gone"] + F.length(x["l"]) + 1).otherwise(acc["gone"]).alias("gone"), (acc["n"] + go.cast("int")).alias("n"), F.when(go, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["l"]))).alias("kept")).cast(kind)
 
-    done = F.aggregate(marked, F.struct(F.lit(0).alias("gone"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")).cast(kind), step)
-    kept = F.reverse(done["kept"])
-    place = F.least(guarded, F.size(kept))
-    with_mark = F.concat(F.slice(kept, F.lit(1), place), F.array(F.lit(TRUNCATED)), F.slice(kept, place + 1, F.size(kept)))
-    return F.when((drop <= 0) | (text == ""), text).otherwise(F.array_join(F.when(done["n"] > 0, with_mark).otherwise(kept), "\n"))
+    start = F.struct(F.lit(0).alias("gone"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")).cast(kind)
+    df = df.withColumn("__done", F.aggregate(marked, start, step)).withColumn("__kept", F.reverse("__done.kept"))
+    df = df.withColumn("__place", F.least("__guarded", F.size("__kept")))
+    with_mark = F.concat(F.slice("__kept", F.lit(1), F.col("__place")), F.array(F.lit(TRUNCATED)), F.slice("__kept", F.col("__place") + 1, F.size("__kept")))
+    new = F.array_join(F.when(F.col("__done.n") > 0, with_mark).otherwise(F.col("__kept")), "\n")
+    same = (F.col("__drop") <= 0) | (F.col(text) == "")
+    return df.withColumn(out, F.when(same, F.col(text)).otherwise(new)).drop("__rows", "__drop", "__at", "__guarded", "__done", "__kept", "__place")
 
 
 def fit_prompt(df: DataFrame, schema: str, question: str, reserve: Column, budget: int, attempts: int = 5, count: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -224,15 +231,15 @@ def fit_prompt(df: DataFrame, schema: str, question: str, reserve: Column, budge
     The loop is unrolled, a projection each, so it stays one stage without Python.
     """
     count = count or (lambda p: F.size(tokens(p)))
-    df = df.withColumns({"schema_text": F.coalesce(F.col(schema), F.lit("")), "schema_trimmed": F.lit(False), "over_budget": F.lit(False), "__done": F.lit(False), "prompt": F.lit(""), "prompt_tokens": F.lit(0)})
+    df = df.withColumns({"schema_text": F.coalesce(F.col(schema), F.lit("")), "schema_trimmed": F.lit(False), "over_budget": F.lit(False), "__fits": F.lit(False), "prompt": F.lit(""), "prompt_tokens": F.lit(0)})
     df = df.withColumn("schema_chars_untrimmed", F.length("schema_text"))
     for k in range(attempts):
-        df = df.withColumn("prompt", F.when(F.col("__done"), F.col("prompt")).otherwise(plain_prompt(F.col("schema_text"), F.col(question))))
-        df = df.withColumn("prompt_tokens", F.when(F.col("__done"), F.col("prompt_tokens")).otherwise(count(F.col("prompt"))))
-        df = df.withColumn("__over", F.when(F.col("__done"), 0).otherwise(F.col("prompt_tokens") + reserve - budget))
-        df = df.withColumns({"schema_trimmed": F.col("schema_trimmed") | (F.col("__over") > 0), "__done": F.col("__done") | (F.col("__over") <= 0)})
+        df = df.withColumn("prompt", F.when(F.col("__fits"), F.col("prompt")).otherwise(plain_prompt(F.col("schema_text"), F.col(question))))
+        df = df.withColumn("prompt_tokens", F.when(F.col("__fits"), F.col("prompt_tokens")).otherwise(count(F.col("prompt"))))
+        df = df.withColumn("__over", F.when(F.col("__fits"), 0).otherwise(F.col("prompt_tokens") + reserve - budget))
+        df = df.withColumns({"schema_trimmed": F.col("schema_trimmed") | (F.col("__over") > 0), "__fits": F.col("__fits") | (F.col("__over") <= 0)})
         if k == attempts - 1:
-            df = df.withColumn("over_budget", ~F.col("__done"))
-        else:
-            df = df.withColumn("schema_text", F.when(F.col("__done"), F.col("schema_text")).otherwise(trim(F.col("schema_text"), F.floor(F.col("__over") * 3.5).cast("int") + 64)))
-    return df.drop("__done", "__over")
+            df = df.withColumn("over_budget", ~F.col("__fits"))
+        else:  # what fits has nothing over and stays as it is
+            df = trim(df, "schema_text", F.when(F.col("__over") > 0, F.floor(F.col("__over") * 3.5).cast("int") + 64).otherwise(0), "schema_text")
+    return df.drop("__fits", "__over")

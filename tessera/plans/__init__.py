@@ -1 +1,11 @@
+"""All named queries with their SQL."""
 
+
+def all_plans() -> dict:
+    """name -> (callable of (spark, sf_dir), SQL or None)."""
+    from tessera.plans import schemas, scoring, statistics, streams, tables
+
+    out: dict = {}
+    for module in (scoring, statistics, schemas, tables, streams):
+        out |= module.PLANS
+    return out
