@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.tokens import KEYWORDS, TOKEN
-from tessera.session import read
+from tessera.session import read, spread
 
 PAIR_ID = "a.conv_id * 1000 + a.turn"
 PREDICTED = "CASE (a.conv_id + a.turn) % 6 WHEN 0 THEN concat(a.text, ' ;') WHEN 1 THEN concat('  ', a.text, '  ') WHEN 2 THEN '' ELSE b.text END"
@@ -32,7 +32,7 @@ FLAGS = {
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
-    a, b = c.filter("role = 'user'").alias("a"), c.filter("role = 'assistant'").alias("b")
+    a, b = spread(c).filter("role = 'user'").alias("a"), c.filter("role = 'assistant'").alias("b")
     both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
     return both.selectExpr(f"{PAIR_ID} AS id", "a.conv_id AS conv_id", "a.turn AS turn", "a.text AS gold_cypher", f"{PREDICTED} AS predicted_cypher")
 

@@ -8,7 +8,7 @@ from tessera.functions.tokens import tokens
 from tessera.operators import schema as S
 from tessera.plans.bindings import _T
 from tessera.plans.scoring import rounded
-from tessera.session import read
+from tessera.session import read, spread
 
 PLANS: dict = {}
 
@@ -32,7 +32,7 @@ _KIND = "p_partkey % 3"
 
 
 def _parts(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(_SCHEMA).alias("schema_text"), F.expr(_QUESTION).alias("question"))
+    return spread(read(spark, sf_dir, "part")).select("p_partkey", "p_size", F.expr(_SCHEMA).alias("schema_text"), F.expr(_QUESTION).alias("question"))
 
 
 @plan(f"""SELECT p_partkey, p_partkey % 3 <> 2 AS parsed, (CASE {_KIND} WHEN 2 THEN 0 ELSE 2 END)::INTEGER AS nodes, (CASE {_KIND} WHEN 2 THEN 0 ELSE 3 END)::INTEGER AS node_properties,
@@ -104,12 +104,12 @@ def identifier_split(spark, sf_dir):
 
 @plan()
 def question_words(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(question_tokens(F.col("text"))).alias("n_words"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.size(question_tokens(F.col("text"))).alias("n_words"))
 
 
 @plan()
 def masked_questions(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", ner_mask(F.col("text")).alias("masked"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", ner_mask(F.col("text")).alias("masked"))
 
 
 _RAW = f"""CASE conv_id % 4 WHEN 0 THEN concat('Sure.', {_NL}, {_NL}, 'MATCH (n) RETURN n.x', turn, ';', {_NL}, {_NL}, 'Bye') WHEN 1 THEN concat('```cypher', {_NL}, 'RETURN ', turn, ';', {_NL}, '```')
@@ -142,7 +142,7 @@ def query_parts(spark, sf_dir):
 
 def _coverage(spark, sf_dir):
     """Elements of a query that its schema has, and those that the pruned schema has lost."""
-    d = _parts(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", query_elements(F.expr(_GOLD)).alias("e")), "p_partkey")
+    d = _parts(spark, sf_dir).withColumn("e", query_elements(F.expr(_GOLD)))
     d = S.prune(S.parsed(d, "schema_text"), "schema", "question", "small").filter("schema.parsed")
 
     def names(s, kind):
@@ -153,8 +153,9 @@ def _coverage(spark, sf_dir):
         return F.array_distinct(F.flatten(F.transform(F.concat(s["nodes"], s["rel_props"]), lambda x: F.transform(x["props"], lambda p: p["name"]))))
 
     for k in ("labels", "rel_types", "properties"):
-        known = F.array_intersect(F.col(f"e.{k}"), names(F.col("schema"), k))
-        d = d.withColumns({f"missing_{k}": F.size(F.array_except(known, names(F.col("small"), k))), f"unknown_{k}": F.size(F.array_except(F.col(f"e.{k}"), names(F.col("schema"), k)))})
+        d = d.withColumn(f"full_{k}", names(F.col("schema"), k))
+        lost = F.array_except(F.array_intersect(F.col(f"e.{k}"), F.col(f"full_{k}")), names(F.col("small"), k))
+        d = d.withColumns({f"missing_{k}": F.size(lost), f"unknown_{k}": F.size(F.array_except(F.col(f"e.{k}"), F.col(f"full_{k}")))})
     return d.withColumn("kind", (F.col("p_partkey") % 3).cast("string"))
 
 

@@ -7,7 +7,7 @@ from tessera.functions.stats import wilson
 from tessera.functions.tokens import exact_match, gleu, gleu_counts, normalised_exact_match, tokens
 from tessera.operators.evaluation import ERRORS, RESULTS, agreement, error_category, error_table, grouping_sets, is_true, result_category, score_rows, subsets, summarise
 from tessera.plans.bindings import SQL_COUNTS, SQL_PAIRS, SQL_ROWS, SQL_SCORED, _T, pairs, rows, sql_bare, sql_complexity, sql_gleu, sql_normal
-from tessera.session import read
+from tessera.session import read, spread
 
 PLANS: dict = {}
 
@@ -26,7 +26,7 @@ def rounded(df, digits: int = 4):
 
 @plan(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), {_T}))::INTEGER AS n_tokens FROM documents")
 def tokenize_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
 @plan(f"WITH {SQL_PAIRS}, {SQL_COUNTS} SELECT id, overlap, n_gold, n_pred, round({sql_gleu('overlap', 'n_pred', 'n_gold')}, 4) AS gleu FROM counts")

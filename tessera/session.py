@@ -25,3 +25,9 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def read(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan):
+    """A scan in at least as many partitions as there are cores, for heavy work on small files; a scan of many splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
