@@ -164,5 +164,6 @@ def flat(c: Column, kind: str) -> Column:
 
 
 def with_interval_text(value: Column, low: Column, high: Column) -> Column:
-    """`v [low, high]`, empty without a value."""
-    return F.when(value.isNull(), F.lit("")).when(low.isNull(), F.format_string("%.3f", value)).otherwise(F.format_string("%.3f [%.3f, %.3f]", value, low, high))
+    """`v [low, high]` with three digits, halves to even; empty without a value."""
+    v, lo, hi = (F.bround(c, 3) for c in (value, low, high))
+    return F.when(value.isNull(), F.lit("")).when(low.isNull(), F.format_string("%.3f", v)).otherwise(F.format_string("%.3f [%.3f, %.3f]", v, lo, hi))

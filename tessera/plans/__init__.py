@@ -3,9 +3,9 @@
 
 def all_plans() -> dict:
     """name -> (callable of (spark, sf_dir), SQL or None)."""
-    from tessera.plans import schemas, scoring, statistics, streams, tables
+    from tessera.plans import analysis, schemas, scoring, statistics, streams, tables
 
     out: dict = {}
-    for module in (scoring, statistics, schemas, tables, streams):
+    for module in (scoring, statistics, schemas, tables, analysis, streams):
         out |= module.PLANS
     return out
