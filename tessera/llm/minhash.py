@@ -10,6 +10,8 @@ from tessera.llm.common import materialise, mix, table, text_words, with_columns
 
 #: A pair at exactly the threshold shares no band with this probability at most; more similar pairs still less.
 MISS = 5e-5
+#: Buckets of so many classes at most are compared pair by pair; so many times buckets are split (the last compares what is left).
+SMALL, LEVELS = 4, 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,19 +109,24 @@ def _sets(n: int):
     return run
 
 
-def _verify(percent: int):
+def _compare(percent: int):
+    """For rows of u, v and their sets x, y: nu, nv, both = |x & y|, and rest, a prefix of x \\ y in the order of the hashes.
+
+    A set that is similar to x shares at least percent * |x| / 100 of it, so at least that less `both` (and one) of x \\ y if it shares any
+    of it; two sets that share so much of what lies outside y share a hash among the prefixes that leave out one less.
+    """
+
     def run(batches):
         for b in batches:
-            good = []
+            out: list[list] = [[], [], [], []]
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["u", "v"])
+                inside = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                both = int(inside.sum())
+                least = max(1, -(-(percent * len(x) - 100 * both) // 100))
+                for c, v in zip(out, (len(x), len(y), both, x[~inside][: max(0, len(x) - both - least + 1)].view(np.int64)), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.list_(pa.int64()))], ["u", "v", "nu", "nv", "both", "rest"])
 
     return run
 
@@ -147,9 +154,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct n-word shingles (words `[^ \\t-\\r]+`, A-Z
     lower-cased). 1. Every text is reduced to a class of equal sets and the keys of its SuperMinHash bands. 2. Classes that share a
-    band are candidates. A bucket's members are compared with its least member, so a bucket of k classes costs k comparisons. 3.
-    Candidates are checked on their full sets, and links are joined into components. 4. Members of a bucket that are still in
-    different components are compared with each other, so no bucket loses a link; copies and members of one component are not.
+    band are candidates. A bucket's head is the class with the most company over all its buckets, and its members are compared with the
+    head on full sets: a bucket of k classes costs k comparisons. Links are joined into components. 3. What may still link two members
+    A, B of a bucket in different components is found from what is known of both and the head h. At least one, say A, isn't linked
+    with h. If A and B share nothing outside h, then |A & B| <= min(|A & h|, |B & h|), which must suffice. If they do, they share a
+    hash among short prefixes of A \\ h and B \\ h. Classes that do are a new, smaller bucket: up to SMALL of them are compared with each
+    other, more are treated as in 2 and 3 again, with a head that shares that hash too. So near copies of one text that have each been
+    changed in other places are told apart without comparing them all with each other. All links are checked on full sets.
 
     A text with fewer than n words has its whole sequence as its one shingle; a null text or one without words has none and is linked
     with nothing. A null id is a document that takes no part: component_id is null and kept is true. Rows with the same id are
@@ -161,35 +172,54 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sketch = materialise(d.mapInArrow(_sketch(n, bands, rows), f"id {kind}, n_shingles long, cls long, bands array<long>"), "sketch")
     classes = materialise(sketch.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     member = classes.select("cls", "n", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = materialise(member.join(bucket, "key"), "shared")
-    star = shared.filter("cls <> head").groupBy(F.col("cls").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    star = materialise(star, "star")
-
-    need = star.select(F.col("u").alias("__c")).union(star.select("v")).distinct()
+    need = shared.select(F.col("cls").alias("__c")).distinct()
     need = classes.join(need, F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep")
     chosen = d.join(need, F.col("id") == F.col("rep")).select("cls", "text").mapInArrow(_sets(n), "cls long, own long, hashes binary")
     sets = materialise(chosen.filter("cls = own").drop("own"), "sets")  # of rows with the same id, those with the class's own set
 
-    def verified(pairs):
+    def compared(pairs):
         a, b = sets.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
         full = pairs.select("u", "v").join(a, F.col("u") == F.col("__a")).join(b, F.col("v") == F.col("__b")).select("u", "v", "x", "y")
-        return full.mapInArrow(_verify(percent), "u long, v long")
-
-    links = materialise(verified(star), "verified")
-    comp = components(links)
-    label = shared.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    label = materialise(label, "labelled")
-    mixed = label.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("key")
-    open_ = label.join(mixed, "key")
-    a, b = open_.select("key", F.col("cls").alias("u"), F.col("n").alias("__nu"), F.col("root").alias("__ru")), open_.select("key", F.col("cls").alias("v"), F.col("n").alias("__nv"), F.col("root").alias("__rv"))
-    near = (F.col("__ru") < F.col("__rv")) & (100 * F.least("__nu", "__nv") >= percent * F.greatest("__nu", "__nv"))
-    pairs = a.join(b, "key").filter(near).select("u", "v").distinct()
-    tried = star.select("u", "v").union(star.select("v", "u"))
-    pairs = materialise(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-    more = materialise(verified(pairs), "more")
-    if more.limit(1).count():
-        comp = components(links.union(more))
+        return full.mapInArrow(_compare(percent), "u long, v long, nu long, nv long, both long, rest array<long>")
+
+    linked = 100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))
+    links, buckets = None, shared
+    for level in range(LEVELS):
+        company = buckets.groupBy("cls").agg(F.sum("k").alias("company"))
+        heads = buckets.join(company, "cls").groupBy("key").agg(F.max(F.struct("company", "n", "cls"))["cls"].alias("head"))
+        star = buckets.select("key", "cls").join(heads, "key").filter("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
+        known = materialise(compared(materialise(star, "star")).withColumn("linked", linked), "known")
+        new = known.filter("linked").select("u", "v")
+        links = new if links is None else links.union(new)
+        comp = components(links)
+        apart = known.filter(~F.col("linked")).select("v").distinct()  # heads with members that are not linked with them
+        known = known.join(apart, "v", "left_semi").join(comp, F.col("u") == F.col("node"), "left").withColumn("root", F.coalesce("root", "u")).drop("node")
+        known = materialise(known, "apart")
+        # pairs that may be linked by what they share with the head alone
+        inside = known.filter(100 * F.col("both") >= percent * F.col("nu"))
+        a = inside.filter(~F.col("linked")).select("v", F.col("u").alias("a"), F.col("nu").alias("na"), F.col("both").alias("ia"), F.col("root").alias("ra"))
+        b = inside.filter("nu < nv").select("v", F.col("u").alias("b"), F.col("nu").alias("nb"), F.col("both").alias("ib"), F.col("root").alias("rb"))
+        enough = (F.col("ra") != F.col("rb")) & ((100 + percent) * F.least("ia", "ib") >= percent * (F.col("na") + F.col("nb")))
+        pairs = a.join(b, "v").filter(enough).select("a", "b")
+        # and those that share more: a bucket for each head and hash
+        tokens = known.select("v", F.col("u").alias("cls"), F.col("nu").alias("n"), "root", "linked", F.explode("rest").alias("g"))
+        more = tokens.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.every("linked").alias("__all"))
+        more = more.filter("k > 1 and __lo < __hi and not __all").select("v", "g", "k")
+        nxt = materialise(tokens.join(more, ["v", "g"]).select(F.xxhash64("v", "g", F.lit(level)).alias("key"), "cls", "n", "root", "k"), "next")
+        few = nxt if level == LEVELS - 1 else nxt.filter(F.col("k") <= SMALL)
+        a, b = few.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), few.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = pairs.union(a.join(b, "key").filter(fits).select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        links = links.union(materialise(compared(materialise(pairs, "pairs")).filter(linked).select("u", "v"), "more"))
+        comp = components(links)
+        # what is one component by now needs no more comparing
+        nxt = nxt.filter(F.col("k") > SMALL).drop("root").join(comp, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        still = nxt.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("key")
+        buckets = materialise(nxt.join(still, "key", "left_semi").drop("root"), "shared")
+        if not buckets.limit(1).count():
+            break
     top = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = top.groupBy(F.col("root").alias("__root")).agg(F.min("rep").alias("component_id"))
     name = top.join(least, F.col("root") == F.col("__root")).select(F.col("cls").alias("__c"), "component_id")
