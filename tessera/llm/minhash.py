@@ -11,7 +11,7 @@ from tessera.llm.common import materialise, mix, table, text_words, with_columns
 #: A pair at exactly the threshold shares no band with this probability at most; more similar pairs still less.
 MISS = 5e-5
 #: Buckets of so many classes at most are compared pair by pair; so many times buckets are split (the last compares what is left).
-SMALL, LEVELS = 4, 6
+SMALL, LEVELS = 4, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,13 +213,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         pairs = pairs.union(a.join(b, "key").filter(fits).select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         links = links.union(materialise(compared(materialise(pairs, "pairs")).filter(linked).select("u", "v"), "more"))
-        comp = components(links)
-        # what is one component by now needs no more comparing
-        nxt = nxt.filter(F.col("k") > SMALL).drop("root").join(comp, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        still = nxt.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("key")
-        buckets = materialise(nxt.join(still, "key", "left_semi").drop("root"), "shared")
-        if not buckets.limit(1).count():
+        buckets = materialise(nxt.filter(F.col("k") > SMALL).drop("root"), "shared")
+        if level == LEVELS - 1 or not buckets.limit(1).count():
             break
+    comp = components(links)
     top = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = top.groupBy(F.col("root").alias("__root")).agg(F.min("rep").alias("component_id"))
     name = top.join(least, F.col("root") == F.col("__root")).select(F.col("cls").alias("__c"), "component_id")
