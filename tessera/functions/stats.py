@@ -52,7 +52,7 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(p)).cast("int")))
 
 
-def resampled(df: DataFrame, by: list[str], order: list[str], values: list[str], resamples: int) -> DataFrame:
+def resampled(df: DataFrame, by: list[str], order: list[str], values: list[str], resamples: int = RESAMPLES) -> DataFrame:
     """Bootstrap: by, b (1 to resamples) and the sums of values over n draws with replacement from each group's n rows.
 
     Draw i of resample b is row md5(b:i) modulo n in the given order, the same in any engine. Instead of pairing every draw with its row,

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import MARGIN, holm, mcnemar, resampled
+from tessera.functions.stats import MARGIN, RESAMPLES, holm, mcnemar, resampled
 from tessera.operators.evaluation import JUDGED, first_rows, is_true
 
 METRICS = ("exact_match", "normalised_exact_match", "execution_match")
@@ -48,7 +48,7 @@ def floored(p, resamples: int):
     return value, p < floor, F.when(p < floor, F.lit(f"< {floor:.2g}")).otherwise(F.format_string("%.3g", value))
 
 
-def bootstrap_difference(pairs: DataFrame, by: list[str], item: str, a: str, b: str, resamples: int, level: float = 0.95, margin: float = MARGIN) -> DataFrame:
+def bootstrap_difference(pairs: DataFrame, by: list[str], item: str, a: str, b: str, resamples: int = RESAMPLES, level: float = 0.95, margin: float = MARGIN) -> DataFrame:
     """The mean of b - a with a percentile interval, a (2 * level - 1) interval for equivalence within the margin, and a two-sided p."""
     diffs = pairs.select(*by, item, (F.coalesce(F.col(b), F.lit(0.0)) - F.coalesce(F.col(a), F.lit(0.0))).alias("d"))
     means = resampled(diffs, by, [item], ["d"], resamples).withColumn("m", F.col("d") / F.col("n"))

@@ -11,7 +11,7 @@ from tessera.plans.scoring import rounded
 from tessera.session import read
 
 PLANS: dict = {}
-#: Resamples of the queries here; the operators' own default is larger.
+#: Resamples of the SQL here. The queries take the operators' default, RESAMPLES, so the two differ; tests have brute force.
 B = 100
 
 
@@ -97,7 +97,7 @@ m AS (SELECT grp, {sql_gleu('overlap', 'n_pred', 'n_gold')} AS g FROM bs)
 SELECT grp, round(quantile_cont(g, 0.025), 6) AS ci_low, round(quantile_cont(g, 0.975), 6) AS ci_high FROM m GROUP BY 1""")
 def bootstrap_gleu_ci(spark, sf_dir):
     c = gleu_counts(pairs(spark, sf_dir), "gold_cypher", "predicted_cypher", ["id"]).withColumn("grp", F.expr("(id div 1000) % 4"))
-    sums = resampled(c, ["grp"], ["id"], ["overlap", "n_gold", "n_pred"], B).withColumn("g", gleu(F.col("overlap"), F.col("n_pred"), F.col("n_gold")))
+    sums = resampled(c, ["grp"], ["id"], ["overlap", "n_gold", "n_pred"]).withColumn("g", gleu(F.col("overlap"), F.col("n_pred"), F.col("n_gold")))
     q = sums.groupBy("grp").agg(F.percentile("g", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return rounded(q.select("grp", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high")), 6)
 
@@ -110,7 +110,7 @@ SELECT comparison, n_pairs, round(difference, 6) AS difference, round(ci_low, 6)
   tost_low > -0.05 AND tost_high < 0.05 AS equivalent, round(greatest(p, {1 / B}), 6) AS p_value, p < {1 / B} AS p_is_bound FROM p JOIN q USING (comparison)""")
 def paired_bootstrap_tost(spark, sf_dir):
     p = _compared(spark, sf_dir).withColumns({"zero": F.lit(0.0), "d": F.round(F.col("b_gleu") - F.col("a_gleu"), 6)})
-    return rounded(bootstrap_difference(p, ["comparison"], "item", "zero", "d", B), 6)
+    return rounded(bootstrap_difference(p, ["comparison"], "item", "zero", "d"), 6)
 
 
 @plan("""WITH k AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY 1, 2), w AS (SELECT n_nationkey AS c_nationkey, s AS c_mktsegment FROM nation, (SELECT unnest(['BUILDING', 'MACHINERY', 'NONE']) AS s))
