@@ -15,18 +15,23 @@ SECRET_NAMES = "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key"
 _TITLES = "|".join(t for g in HONORIFICS.values() for t in g)
 _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_US = r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+#: Four groups of four count as a card at once, other lengths and forms by Luhn's check.
+_CARD = r"\d{4}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})"
+#: Country calling codes: one digit, the two-digit ones, else three.
+_CALLING = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: In the order in which they are tried at each place. Java's regular expressions.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,200}}",
+    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,}}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "card": rf"(?<!\d)(?:{_CARD}(?!\d)|\d(?:[ -]?\d){{12,18}}(?![ -]?\d))",
+    "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?{_US}(?!\d)|\+(?:[ .-]?\(?\d\)?){{8,15}}(?!\d)|(?<![\d.-])\d{{10}}(?!\w))",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}\d])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -]?)\d{4}\1\d{4}\1\d{4}", r"(?:[ -]?\d{4}){3}")
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Rounds in which colliding surrogates are drawn again.
 ROUNDS = 20
 _SYLLABLES = {"latin": "ba be bi bo da de di do la le li lo ma me ra ro".split(), "cyrillic": "ба бе би бо да де ди до ла ле ли ло ма ме ра ро".split(), "greek": "βα βε βι βο δα δε δι δο λα λε λι λο μα με ρα ρο".split()}
@@ -38,12 +43,15 @@ def _kind(m: Column) -> Column:
     for k in ("secret", "person", "email", "ssn", "ip", "iban", "phone"):
         hit = m.rlike(rf"\A(?:{PATTERNS[k]})\z".replace(r"(?<![A-Za-z0-9])", "").replace(r"(?<![\p{L}\d])", ""))
         out = F.when(hit, k) if out is None else out.when(hit, k)
-    return out.otherwise("card")
+    digits = F.regexp_replace(m, r"\D", "")
+    n = F.length(digits)
+    valid = m.rlike(rf"\A{_CARD}\z") | (_luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
+    return out.when(valid, "card").otherwise("none")
 
 
 def _prefix(kind: Column, m: Column) -> Column:
     """What of a match stays as it is: the name of a secret, the title of a person, the country code of a number."""
-    return F.when(kind == "secret", F.regexp_extract(m, r"\A[^=:]*[=:]\s*[\"']?", 0)).when(kind == "person", F.regexp_extract(m, r"\A[^ ]+ ", 0)).when(kind == "phone", F.regexp_extract(m, r"\A\+\d{1,3}[ .-]?(?=(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}\z)", 0)).otherwise("")
+    return F.when(kind == "secret", F.regexp_extract(m, r"\A[^=:]*[=:]\s*[\"']?", 0)).when(kind == "person", F.regexp_extract(m, r"\A[^ ]+ ", 0)).when(kind == "phone", F.regexp_extract(m, rf"\A(?:\+\d{{1,3}}[ .-]?(?={_US}\z)|\+{_CALLING}[ .-]?)", 0)).otherwise("")
 
 
 def _script(s: Column) -> Column:
@@ -60,7 +68,7 @@ def entities(m: Column) -> Column:
     given = F.struct(F.concat(F.lit("given_"), gender).alias("type"), F.get(names, F.lit(0)).alias("canon"))
     family = F.struct(F.lit("family").alias("type"), F.element_at(names, -1).alias("canon"))
     canon = F.when(kind == "email", F.lower(body)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(body, r"\D", "")).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
-    return F.when(kind == "person", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(F.struct(kind.alias("type"), canon.alias("canon"))))
+    return F.when(kind == "none", F.expr("cast(array() as array<struct<type: string, canon: string>>)")).when(kind == "person", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(F.struct(kind.alias("type"), canon.alias("canon"))))
 
 
 def _stream(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
@@ -116,8 +124,8 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
     # an area code and an exchange start with 2 to 9
     d = lambda a, k: F.substring(digits, a, k)
     high = lambda a: F.translate(d(a, 1), "01", "29")
-    phone = F.concat(high(1), d(2, 2), high(4), d(5, 2), d(7, 4))
-    card = F.concat(F.substring(canon, 1, 1), d(1, 14))
+    phone = F.when(F.length(canon) == 10, F.concat(high(1), d(2, 2), high(4), d(5, 2), d(7, 4))).otherwise(F.concat(high(1), F.substring(like, F.lit(2), F.length(canon))))
+    card = F.concat(F.substring(canon, 1, 1), F.when(F.length(canon) == 16, d(1, 14)).otherwise(F.substring(like, F.lit(2), F.length(canon) - 2)))
     ssn = F.concat(F.translate(d(1, 1), "09", "12"), d(2, 2), F.translate(d(4, 1), "0", "5"), d(5, 5))
     email = F.concat(_like(F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 1), s), F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 2))
     script = _script(canon)
@@ -146,7 +154,25 @@ def replaced(key: str, m: Column, attempts: Column) -> Column:
     prefix = _prefix(kind, m)
     raw = F.substring(m, F.length(prefix) + 1, F.length(m))
     parts = F.transform(entities(m), lambda e: surrogate(key, e, F.coalesce(F.element_at(attempts, F.concat_ws("|", e["type"], e["canon"])), F.lit(0))))
-    return F.concat(prefix, F.when(kind == "person", F.array_join(parts, " ")).otherwise(_formed(kind, raw, F.get(parts, F.lit(0)))))
+    return F.when(kind == "none", m).otherwise(F.concat(prefix, F.when(kind == "person", F.array_join(parts, " ")).otherwise(_formed(kind, raw, F.get(parts, F.lit(0))))))
+
+
+def _names(hits: Column) -> Column:
+    """The distinct names of the matches that are persons, as entities; the longest first, so that Ann-Lee comes before Ann."""
+    persons = F.filter(hits, lambda m: m.rlike(rf"\A(?:{_TITLES})\.? "))
+    each = F.array_distinct(F.flatten(F.transform(persons, entities)))
+    return F.transform(F.array_sort(F.transform(each, lambda e: F.struct((-F.length(e["canon"])).alias("n"), e["canon"].alias("canon"), e["type"].alias("type")))), lambda e: F.struct(e["type"].alias("type"), e["canon"].alias("canon")))
+
+
+def _bare(names: Column) -> Column:
+    """A pattern of the names as whole words. Names are letters, hyphens and apostrophes alone."""
+    return F.concat(F.lit(r"(?<![\p{L}\d])(?:"), F.array_join(F.transform(names, lambda e: e["canon"]), "|"), F.lit(r")(?![\p{L}\d])"))
+
+
+def _unnamed(gap: Column, pattern: Column, stands: Column) -> Column:
+    """A stretch between matches, with the names replaced that stands has."""
+    parts, own = F.split(gap, pattern, -1), F.regexp_extract_all(gap, pattern, F.lit(0))
+    return F.concat(F.get(parts, F.lit(0)), _join(F.transform(own, lambda x, i: F.concat(F.element_at(stands, x), F.get(parts, i + 1)))))
 
 
 def dictionary(found: DataFrame, key: str) -> DataFrame:
@@ -169,8 +195,9 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replaces the text's entities by surrogates, and adds n_entities.
 
-    Detected: secrets after their names, e-mail addresses, IBANs, US social security numbers, card numbers, phone numbers, IPv4
-    addresses, and persons after a title. A surrogate is drawn from a keyed hash of type and canonical form, so the same entity has the
+    Detected: secrets after their names, to their end, e-mail addresses, IBANs, US social security numbers, card numbers (16 digits, or
+    13 to 19 that pass Luhn's check), phone numbers (3-3-4, ten digits, or + and 8 to 15 digits), IPv4 addresses, persons after a title,
+    and the same names elsewhere in a text that has one after a title. A surrogate is drawn from a keyed hash of type and canonical form, so the same entity has the
     same surrogate in all texts and forms (coreference). It keeps separators, lengths, top-level domains, country codes, capitals,
     Luhn and IBAN check digits, and a name's script and the gender that its title tells. The distinct entities are checked: those that
     share a surrogate or hit a real entity are drawn again. Texts are not shuffled unless they hold an entity that was drawn again.
@@ -184,19 +211,29 @@ def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id",
     found = found.select(F.explode(entities(F.col("m"))).alias("e")).select("e.type", "e.canon")
     again = materialise(dictionary(found, key), "again")
     none = F.expr("cast(map() as map<string, int>)")
-    rows = with_columns(docs, {"n_entities": F.when(has, F.size(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).otherwise(0)})
+    held = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    rows = with_columns(docs, {"n_entities": F.lit(0), "__hits": held, "__gaps": F.when(has, F.split(text, ANY, -1))})
 
     def rewritten(df, attempts):
-        gaps, hits = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-        new = F.concat(F.get(gaps, F.lit(0)), _join(F.transform(hits, lambda m, i: F.concat(replaced(key, m, attempts), F.get(gaps, i + 1)))))
-        return df.withColumn(text_col, F.when(F.col("n_entities") > 0, new).otherwise(text)).select(*[f"`{c}`" for c in docs.columns if c != "n_entities"], "n_entities")
+        own = [c for c in docs.columns if c.lower() != "n_entities"]
+        df = df.select(*[f"`{c}`" for c in own], "__hits", "__gaps", attempts.alias("__attempts"), F.when(F.exists("__hits", lambda m: m.rlike(rf"\A(?:{_TITLES})\.? ")), _names(F.col("__hits"))).alias("__names"))
+        named = F.col("__names").isNotNull()
+        drawn = lambda e: surrogate(key, e, F.coalesce(F.element_at("__attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
+        first = F.filter("__names", lambda e, i: (i == 0) | (F.get(F.col("__names"), i - 1)["canon"] != e["canon"]))
+        df = df.withColumns({"__bare": F.when(named, _bare(F.col("__names"))), "__stands": F.when(named, F.map_from_entries(F.transform(first, lambda e: F.struct(e["canon"], drawn(e)))))})
+        repeats = F.aggregate("__gaps", F.lit(0), lambda a, g: a + F.size(F.regexp_extract_all(g, F.col("__bare"), F.lit(0))))
+        n = F.size(F.filter("__hits", lambda m: _kind(m) != "none")) + F.when(named, repeats).otherwise(0)
+        gap = lambda g: F.when(named, _unnamed(g, F.col("__bare"), F.col("__stands"))).otherwise(g)
+        new = F.concat(gap(F.get("__gaps", F.lit(0))), _join(F.transform("__hits", lambda m, i: F.concat(replaced(key, m, F.col("__attempts")), gap(F.get(F.col("__gaps"), i + 1))))))
+        cols = [F.when(F.col("__hits").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
+        return df.select(*cols, F.when(F.col("__hits").isNotNull(), n).otherwise(0).alias("n_entities"))
 
     if not again.limit(1).count():
         return rewritten(rows, none)
     name = F.struct(F.col(f"`{id_col}`"), F.xxhash64(text))
     theirs = docs.filter(has).select(name.alias("__doc"), F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), entities)))).alias("e")).distinct()
     theirs = theirs.join(again, (F.col("e.type") == F.col("type")) & (F.col("e.canon") == F.col("canon"))).groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("__map"))
-    joined = rows.withColumn("__name", F.when(F.col("n_entities") > 0, name)).join(theirs, F.col("__name").eqNullSafe(F.col("__doc")), "left")
+    joined = rows.withColumn("__name", F.when(F.col("__hits").isNotNull(), name)).join(theirs, F.col("__name").eqNullSafe(F.col("__doc")), "left")
     return rewritten(joined, F.coalesce("__map", none))
 
 
