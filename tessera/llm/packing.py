@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tessera.llm.bpe import Encoder
-from tessera.llm.common import slices, table, text_buffers
+from tessera.llm.common import materialise, slices, table, text_buffers, worker_cache
 
 VOCABULARY, WINDOW, END = "byte_bpe_50k.json", 2048, 1
 #: Documents of one shard of the index, query terms of a seed, and neighbours that are tried whole before one is cut.
@@ -41,6 +41,74 @@ def _pieces(vocabulary: str, window: int, end: int, shards: int, with_ids: bool)
     return run
 
 
+def _ids(batch, k: int, small: bool) -> np.ndarray:
+    return np.frombuffer(batch.column("ids")[k].as_buffer(), "<u2" if small else "<u4").astype(np.int64)
+
+
+def _document_counts(window: int, small: bool):
+    """Terms and in how many remainders they are, once a task."""
+
+    def run(batches):
+        worker_cache().clear()  # the encoder's tables, which are large
+        pa.default_memory_pool().release_unused()
+        counts = np.zeros(0, np.int64)
+        for b in batches:
+            for k in np.flatnonzero(b.column("length").to_numpy() < window).tolist():
+                own = np.unique(_ids(b, k, small))
+                if own[-1] >= len(counts):
+                    counts = np.append(counts, np.zeros(own[-1] + 1 - len(counts), np.int64))
+                counts[own] += 1
+        terms = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
+
+    return run
+
+
+def leading_term(ids: np.ndarray, df: np.ndarray, n: int, mean: float) -> int:
+    """The heaviest term by BM25 over the whole corpus that another document has too, or -1."""
+    terms, tf = np.unique(ids, return_counts=True)
+    own = df[terms]
+    weight = np.log1p((n - own + 0.5) / (own + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+    weight[own < 2] = -1.0
+    best = int(np.argmax(weight))
+    return int(terms[best]) if weight[best] >= 0 else -1
+
+
+def _leading(window: int, small: bool, df: np.ndarray, n: int, mean: float):
+    """Puts the leading term of each remainder, from 1 (0: none), in place of its shard; full windows keep theirs, below 0."""
+
+    def run(batches):
+        for b in batches:
+            length = b.column("length").to_numpy()
+            lead = [-1 - s if full else leading_term(_ids(b, k, small), df, n, mean) + 1 for k, (s, full) in enumerate(zip(b.column("shard").to_pylist(), length == window, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int32()), *b.columns[1:]], b.schema.names)
+
+    return run
+
+
+def by_content(pieces: DataFrame, window: int, small: bool) -> DataFrame:
+    """Deals the remainders of pieces to shards of about SHARD_ROWS by their leading terms: those of one term lie side by side, in random
+    order where they fill many shards. What is collected has a row a term of the vocabulary at most."""
+    pieces = materialise(pieces, "pieces")
+    rest = pieces.filter(F.col("length") < window)
+    n, tokens = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
+    if n <= SHARD_ROWS:
+        return pieces.withColumn("shard", F.when(F.col("length") < window, F.lit(0)).otherwise(F.col("shard")).cast("int"))
+    found = rest.mapInArrow(_document_counts(window, small), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(max(r["term"] for r in found) + 1, np.int64)
+    for r in found:
+        df[r["term"]] = r["n"]
+    schema = ", ".join(f"{c} {k}" for c, k in pieces.dtypes)
+    led = materialise(pieces.mapInArrow(_leading(window, small, df, n, tokens / n), schema), "led")
+    sizes, start, at = led.filter("shard >= 0").groupBy("shard").count().orderBy("shard").collect(), 0, []
+    for r in sizes:
+        at.append((r["shard"], start, r["count"]))
+        start += r["count"]
+    dealt = led.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(led.sparkSession.createDataFrame(at, "__lead int, __start long, __size long")), F.col("shard") == F.col("__lead"), "left")
+    place = ((F.col("__start") + F.pmod(F.xxhash64("__row"), F.col("__size"))) / SHARD_ROWS).cast("int")
+    return dealt.select(F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(place).cast("int").alias("shard"), *[c for c in led.columns if c != "shard"])
+
+
 class Index:
     """A BM25 inverted index of a shard's remainders; terms are token ids."""
 
@@ -164,8 +232,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     A document is its ids and one end id. Every full window of a long document is a sequence of its own; what is left of each document,
     shorter than a window, goes to a shard of the index with about SHARD_ROWS documents, and fill_windows() packs each shard: one
-    sequence a shard has padding. Texts are encoded once; ids of full windows are not shuffled (unless asked for). The shard depends
-    on a row's place in its partition, so no key, text or null can make a shard large.
+    sequence a shard has padding. Remainders with the same leading term, see leading_term(), lie in the same shard or in those beside
+    it; a term that fills many shards is dealt at random over them, so no key, text or null can make a shard large. Texts are encoded
+    once; ids of full windows are not shuffled (unless asked for).
 
     A null text is empty and has the end id alone. Rows that repeat are packed each for itself; a null id stays null. An empty table
     gives an empty result. Other columns are not read.
@@ -175,6 +244,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     small = Encoder.is_small(vocabulary) and end < 65536
     kind = dict(d.dtypes)["id"]
     pieces = d.mapInArrow(_pieces(vocabulary, window, end, shards, with_ids), f"shard int, id {kind}, start long, length long, crc long, doc_tokens long, ids binary")
+    pieces = by_content(pieces, window, small) if shards > 1 else pieces
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return pieces.groupBy("shard").applyInArrow(_fill(window, small, with_ids), schema).withColumnRenamed("id", id_col)
 

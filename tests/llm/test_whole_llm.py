@@ -1,8 +1,11 @@
 """Whole jobs of the training-data operators, where they once did a part."""
 
 import re
+from collections import Counter, defaultdict
 
-from tessera.llm import pii
+from pyspark.sql import functions as F
+
+from tessera.llm import packing, pii
 
 
 def test_all_forms_are_found(spark):
@@ -21,3 +24,16 @@ def test_all_forms_are_found(spark):
     assert a == b != "378282246310005" and sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(a[::-1])) % 10 == 0
     given, family = re.match(r"Dr\. (\w+) (\w+) came", out[8]).groups()
     assert out[8] == f"Dr. {given} {family} came. {family} said so; {given}'s Smithson left. smith" and family != "Smith"
+
+
+def test_neighbours_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 40)
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("the common words of all "), F.repeat(F.concat(F.lit(" Q"), F.pmod("id", F.lit(50)).cast("string")), 20)).alias("text")).repartition(3)
+    rows = packing.pack(d).collect()
+    assert sorted(r["doc_id"] for r in rows if r["start"] == 0) == list(range(400))
+    assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+    shards = defaultdict(Counter)
+    for r in rows:
+        if r["start"] == 0:
+            shards[r["doc_id"] % 50][r["sequence_id"] >> 32] += 1
+    assert sum(max(c.values()) for c in shards.values()) > 0.75 * 400
