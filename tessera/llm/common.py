@@ -68,20 +68,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n. Those for a slice of text are kept; longer ones are not."""
     cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
+    if "powers" not in cache or n > SLICE_BYTES:
         with np.errstate(over="ignore"):
-            cache["powers"] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(b), np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE_BYTES), np.uint64(b), np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        if n > SLICE_BYTES:
+            return made
+        cache["powers"] = made
     return cache["powers"]
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each codes[start:end]: a polynomial modulo 2**64, mixed with the length."""
-    up, down = _powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each codes[start:end]: a polynomial modulo 2**64, mixed with the length. Spans ascend and don't overlap; they are
+    worked on in runs of SLICE_BYTES codes (or one span), so that a long text needs no long tables."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        own, a, e = codes[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        up, down = _powers(len(own))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[a]) * down[a] + (e - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def text_buffers(arr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

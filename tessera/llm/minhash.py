@@ -3,15 +3,16 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, mix, table, text_words, with_columns
 
 #: A pair at exactly the threshold shares no band with this probability at most; more similar pairs still less.
 MISS = 5e-5
-#: Buckets of so many classes at most are compared pair by pair; so many times buckets are split (the last compares what is left).
-SMALL, LEVELS = 4, 4
+#: Groups of so many classes at most are compared pair by pair; members of a larger group, about, whose majority is its pivot; members
+#: of a group that one copy of its pivot meets, about; links that a task unites at a time.
+SMALL, SAMPLE, SALT, UNITE = 4, 16, 256, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,19 +75,20 @@ def superminhash(h: np.ndarray, own: np.ndarray, texts: int, m: int) -> np.ndarr
     return sig.reshape(texts, m)
 
 
-def _classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from 128 bits."""
+def _classes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit name of each set, as two 64-bit numbers."""
     count, x = np.diff(at), mix(h + np.uint64(77))
     s1, s2, some = np.zeros(len(count), np.uint64), np.zeros(len(count), np.uint64), np.flatnonzero(np.diff(at))
     if len(some):
-        s1[some], s2[some] = np.add.reduceat(x, at[:-1][some]), np.bitwise_xor.reduceat(mix(x ^ _GOLD), at[:-1][some])
-    return mix(mix(s1) * _GOLD + s2 + count.astype(np.uint64)).view(np.int64)
+        s1[some], s2[some] = np.add.reduceat(x, at[:-1][some]), np.add.reduceat(mix(x ^ _GOLD), at[:-1][some])
+    n = count.astype(np.uint64)
+    return mix(s1 + n).view(np.int64), mix(mix(s2) + n).view(np.int64)
 
 
 def _sketch(n: int, bands: int, rows: int):
     def run(batches):
         for b in batches:
-            for i, j, h, own, at in shingle_sets(b.column(1), n):
+            for i, j, h, own, at in shingle_sets(b.column(2), n):
                 count = np.diff(at)
                 sig = superminhash(h, own, j - i, bands * rows).reshape(j - i, bands, rows)
                 keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD, (j - i, bands)).copy()
@@ -94,50 +96,103 @@ def _sketch(n: int, bands: int, rows: int):
                     keys = mix(keys * _GOLD + sig[:, :, r])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
                 none = pa.array(count == 0)
-                cls = pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(_classes(h, at)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), cls, pa.compute.if_else(none, pa.scalar(None, lists.type), lists)], ["id", "n_shingles", "cls", "bands"])
+                names = [pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(c)) for c in _classes(h, at)]
+                own_bands = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(count.astype(np.int64)), *names, own_bands], ["id", "tag", "n", "c1", "c2", "bands"])
 
     return run
 
 
 def _sets(n: int):
+    """Of rows cls, c1, c2, text: the sets of the texts that are of the class so named."""
+
     def run(batches):
         for b in batches:
-            for i, j, h, _, at in shingle_sets(b.column(1), n):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(_classes(h, at)), pa.array([h[a:e].tobytes() for a, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["cls", "own", "hashes"])
+            c1, c2 = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for i, j, h, _, at in shingle_sets(b.column(3), n):
+                a1, a2 = _classes(h, at)
+                ok = np.flatnonzero((a1 == c1[i:j]) & (a2 == c2[i:j]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(ok)), pa.array([h[at[k] : at[k + 1]].tobytes() for k in ok.tolist()], pa.binary())], ["cls", "hashes"])
 
     return run
 
 
-def _compare(percent: int):
-    """For rows of u, v and their sets x, y: nu, nv, both = |x & y|, and rest, a prefix of x \\ y in the order of the hashes.
-
-    A set that is similar to x shares at least percent * |x| / 100 of it, so at least that less `both` (and one) of x \\ y if it shares any
-    of it; two sets that share so much of what lies outside y share a hash among the prefixes that leave out one less.
-    """
+def _same(percent: int):
+    """Of rows u, v and their sets, those that are linked."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                inside = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                both = int(inside.sum())
-                least = max(1, -(-(percent * len(x) - 100 * both) // 100))
-                for c, v in zip(out, (len(x), len(y), both, x[~inside][: max(0, len(x) - both - least + 1)].view(np.int64)), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.list_(pa.int64()))], ["u", "v", "nu", "nv", "both", "rest"])
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _majority(t: pa.Table) -> pa.Table:
+    """The hashes that at least half of a group's sample have."""
+    t = t.combine_chunks()
+    h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]), return_counts=True)
+    return pa.table([t.column("grp").slice(0, 1), t.column("k").slice(0, 1), pa.array([h[2 * n >= t.num_rows].tobytes()], pa.binary())], ["grp", "k", "pivot"])
+
+
+def _differ(batches):
+    """Of rows grp, cls, n, k, hashes, pivot: pivot's size, how many of its hashes the set lacks, and where set and pivot differ, ascending."""
+    for b in batches:
+        size, lacks, diff = [], [], []
+        for x, y in zip(b.column(4), b.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer() if y.is_valid else b"", np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            size.append(len(y))
+            lacks.append((len(d) + len(y) - len(x)) // 2)
+            diff.append(d.view(np.int64))
+        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(d) for d in diff])]).astype(np.int32)), pa.array(np.concatenate(diff) if diff else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64()), pa.array(lacks, pa.int64()), flat], ["grp", "cls", "n", "k", "np", "lacks", "diff"])
+
+
+def _forest(batches):
+    """Unites links u, v, UNITE at a time: each node that isn't the smallest of its tree, with that."""
+
+    def unite(parts):
+        ends = np.concatenate(parts)
+        node, at = np.unique(ends, return_inverse=True)
+        root = list(range(len(node)))
+        for a, b in at.reshape(-1, 2).tolist():
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        for k in range(len(root)):  # a root is smaller than its nodes
+            root[k] = root[root[k]]
+        top = node[np.array(root, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(node[top != node]), pa.array(top[top != node])], ["u", "v"])
+
+    parts, seen = [], 0
+    for b in batches:
+        if b.num_rows:
+            parts.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+            seen += b.num_rows
+        if seen >= UNITE:
+            yield unite(parts)
+            parts, seen = [], 0
+    if parts:
+        yield unite(parts)
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links u, v: every node with the smallest node reachable from it, as node and root.
 
-    Each round takes the least label among neighbours and then the label's own label, so labels travel twice as far each round. Tables
-    are written to the shared folder; only counts reach the driver.
+    Union-find within each task first, which leaves a tree of at most one link a node. The trees of all tasks are united in rounds: each
+    node takes the least root among its neighbours and then that root's own, so roots travel twice as far each round. Tables are written
+    to the shared folder; only whether anything has changed reaches the driver.
     """
-    both = materialise(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), "links")
+    tree = links.select("u", "v").mapInArrow(_forest, "u long, v long")
+    both = materialise(tree.union(tree.select(F.col("v"), F.col("u"))).distinct(), "links")
     label = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "label")
     while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("__r"))
@@ -149,83 +204,158 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def _salted(small: DataFrame) -> DataFrame:
+    """A row a group, with its size k, once for every SALT members: so that a large group's members meet it in many tasks."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"k div {SALT}")))).drop("k")
+
+
+def _salt():
+    return F.pmod(F.xxhash64(F.lit(3), "cls"), F.expr(f"k div {SALT} + 1"))
+
+
+def _open(tokens: DataFrame) -> DataFrame:
+    """The groups (grp, g) of tokens that may have a link between two components, with their size k, and s and t that tell the members."""
+    more = tokens.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("lo"), F.max("colour").alias("hi"), F.some("is_odd").alias("odd"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.sum(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 32))).alias("t"))
+    return more.filter("lo < hi and odd").select("grp", "g", "k", "s", "t")
+
+
+def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The distinct classes (c1, c2, rep) and their components: see near_duplicates()."""
+    classes = sketch.filter("c1 is not null and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    member = classes.select("cls", "n", F.explode("bands").alias("key"))
+    bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = materialise(member.join(bucket, "key").withColumn("company", F.sum("k").over(Window.partitionBy("cls"))), "shared")
+    heads = shared.groupBy("key").agg(F.max(F.struct("company", "n", "cls"))["cls"].alias("grp"))
+    groups = materialise(shared.select("key", "cls", "n").join(heads, "key").select("grp", "cls", "n").distinct(), "groups")
+    colours = materialise(groups.select("cls").distinct().withColumn("colour", F.col("cls")), "colours")
+
+    named = classes.join(colours.select(F.col("cls").alias("__c")), F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep", "c1", "c2")
+    sets = materialise(docs.join(named, F.col("id") == F.col("rep")).select("cls", "c1", "c2", "text").mapInArrow(_sets(n), "cls long, hashes binary"), "sets")
+    if sets.count() > named.count():  # rows that repeat with id and text
+        sets = materialise(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
+
+    def coloured(rows):
+        return rows.join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c")).drop("__c")
+
+    level, whole, seen = 0, 100 + percent, None
+    while groups.limit(1).count():
+        level += 1
+        g = coloured(groups)
+        sizes = g.groupBy(F.col("grp").alias("__g")).agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("__lo"), F.max("colour").alias("__hi")).filter("__lo < __hi").select("__g", "k")
+        g = materialise(g.join(sizes, F.col("grp") == F.col("__g")).drop("__g"), "open")
+
+        # small groups: each pair of unlike colour and like size
+        few = g.filter(F.col("k") <= SMALL).groupBy("grp").agg(F.collect_list(F.struct("cls", "n", "colour")).alias("m"))
+        fits = lambda x, y: (y["cls"] > x["cls"]) & (y["colour"] != x["colour"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["cls"].alias("u"), y["cls"].alias("v")))))
+        pairs = few.select(F.explode(pairs).alias("p")).select("p.u", "p.v").distinct()
+        a, b = sets.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
+        links = pairs.join(a, F.col("u") == F.col("__a")).join(b, F.col("v") == F.col("__b")).select("u", "v", "x", "y").mapInArrow(_same(percent), "u long, v long")
+
+        # large groups: each member against the pivot
+        large = g.filter(F.col("k") > SMALL)
+        some = bool(large.limit(1).count())
+        if some:
+            unit = F.shiftrightunsigned(F.xxhash64(F.lit(13), "grp", "cls"), 11) * F.lit(2.0**-53)
+            own = sets.withColumnRenamed("cls", "__c")
+            sample = large.filter(unit * F.col("k") < SAMPLE).join(own, F.col("cls") == F.col("__c")).select("grp", "k", "hashes")
+            pivots = materialise(sample.groupBy("grp").applyInArrow(_majority, "grp long, k long, pivot binary"), "pivots")
+            full = large.withColumn("salt", _salt()).join(own, F.col("cls") == F.col("__c")).join(_salted(pivots), ["grp", "salt"], "left")
+            far = materialise(full.select("grp", "cls", "n", "k", "hashes", "pivot").mapInArrow(_differ, "grp long, cls long, n long, k long, np long, lacks long, diff array<long>"), "differ")
+            far = far.withColumn("w", whole * F.col("lacks") + percent * F.col("n")).withColumn("r", whole * F.col("np")).withColumn("salt", _salt())
+            nearest = far.groupBy("grp").agg(F.min(F.struct("w", F.col("cls").alias("c"))).alias("first"), F.first("k").alias("k"))
+            far = far.join(_salted(nearest), ["grp", "salt"])
+            sure = F.col("w") + F.col("first.w") <= F.col("r")
+            links = links.union(far.filter(sure & (F.col("cls") != F.col("first.c"))).select(F.col("cls").alias("u"), F.col("first.c").alias("v")))
+        links = materialise(links, "linked")
+        at = lambda c: colours.select(F.col("cls").alias(f"__{c}"), F.col("colour").alias(f"c{c}"))
+        ends = links.join(at("u"), F.col("u") == F.col("__u")).join(at("v"), F.col("v") == F.col("__v")).filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+        comp = components(ends)
+        colours = materialise(colours.join(comp, F.col("colour") == F.col("node"), "left").select("cls", F.coalesce("root", "colour").alias("colour")), "colours")
+        if not some:
+            break
+
+        # what may still be linked shares hashes where it differs from the pivot, as many as the least
+        odd = far.filter(~sure).groupBy("grp").agg(F.min("w").alias("odd"), F.first("k").alias("k"))
+        rows = coloured(far).join(_salted(odd), ["grp", "salt"]).withColumn("is_odd", ~sure)
+        least = F.ceil((F.col("w") + F.when(F.col("is_odd"), F.col("first.w")).otherwise(F.col("odd")) - F.col("r")) / whole)
+        rows = rows.withColumn("least", F.greatest(F.lit(1), least).cast("int")).filter(F.size("diff") >= F.col("least"))
+        tokens = materialise(rows.select("grp", "cls", "n", "colour", "is_odd", "least", F.explode("diff").alias("g")), "tokens")
+        times = _open(tokens).select("grp", "g", "k")
+        rare = F.sort_array(F.collect_list(F.struct("k", "g")))
+        rows = tokens.join(times, ["grp", "g"]).groupBy("grp", "cls", "n", "colour", "is_odd", "least").agg(rare.alias("diff")).filter(F.size("diff") >= F.col("least"))
+        tokens = materialise(rows.select("grp", "cls", "n", "colour", "is_odd", F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)["g"]).alias("g")), "tokens")
+        more = _open(tokens).groupBy("k", "s", "t").agg(F.min(F.struct("grp", "g")).alias("m"))  # one of those with the same members
+        if seen is not None:
+            more = more.join(seen, ["k", "s", "t"], "left_anti")
+        more = materialise(more, "more")
+        seen = more.drop("m") if seen is None else seen.union(more.drop("m"))
+        groups = tokens.join(more.select("m.grp", "m.g"), ["grp", "g"]).select(F.xxhash64("grp", "g", F.lit(level)).alias("grp"), "cls", "n")
+        groups = materialise(groups, "groups")
+
+    top = classes.select("c1", "c2", "cls", "rep").join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c"), "left")
+    top = materialise(top.select("c1", "c2", "rep", F.coalesce("colour", "cls").alias("root")), "roots")
+    least = top.groupBy(F.col("root").alias("__root")).agg(F.min("rep").alias("component_id"))
+    return top.join(least, F.col("root") == F.col("__root")).select(F.col("c1").alias("__1"), F.col("c2").alias("__2"), "root", "component_id")
+
+
+def _rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, tag (a hash of the text), n, root (null where the row is linked with nothing) and component_id of each row."""
+    bands, rows = banding(percent / 100)
+    text = F.col(f"`{text_col}`").cast("string")
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    kind = dict(d.dtypes)["id"]
+    sketch = materialise(d.mapInArrow(_sketch(n, bands, rows), f"id {kind}, tag long, n long, c1 long, c2 long, bands array<long>"), "sketch")
+    named = _group_rows(sketch, d, n, percent)
+    one = F.col("id").isNotNull() & (F.col("c1") == F.col("__1")) & (F.col("c2") == F.col("__2"))
+    out = sketch.drop("bands").join(named, one, "left")
+    return out.select("id", "tag", "n", "root", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct n-word shingles (words `[^ \\t-\\r]+`, A-Z
-    lower-cased). 1. Every text is reduced to a class of equal sets and the keys of its SuperMinHash bands. 2. Classes that share a
-    band are candidates. A bucket's head is the class with the most company over all its buckets, and its members are compared with the
-    head on full sets: a bucket of k classes costs k comparisons. Links are joined into components. 3. What may still link two members
-    A, B of a bucket in different components is found from what is known of both and the head h. At least one, say A, isn't linked
-    with h. If A and B share nothing outside h, then |A & B| <= min(|A & h|, |B & h|), which must suffice. If they do, they share a
-    hash among short prefixes of A \\ h and B \\ h. Classes that do are a new, smaller bucket: up to SMALL of them are compared with each
-    other, more are treated as in 2 and 3 again, with a head that shares that hash too. So near copies of one text that have each been
-    changed in other places are told apart without comparing them all with each other. All links are checked on full sets.
+    lower-cased). 1. Every text is reduced to a class of equal sets, with a name of 128 bits, and the keys of its SuperMinHash bands.
+    Classes that share a band are candidates. 2. Each bucket belongs to the member with the most company over all its buckets; all
+    buckets of one head are one group. Groups of SMALL members at most are compared pair by pair on full sets. 3. A larger group gets a
+    pivot P, the hashes that most of a bounded sample of its members have, and each member's full set is reduced to its difference from P.
+    Where A lacks a hashes of P and B lacks b, |A & B| = |P| - a - b + the number of hashes in both differences. So without any of these
+    last, links depend on one number a member alone, and the member nearest to P is linked with all that have a link of that kind: these
+    links are counted, not searched. 4. All other links need hashes in both differences, as many as the numbers of the two tell. Hashes
+    that no link can need are left out, the rarest come first, and two members that share enough share one in short prefixes. Those
+    that do, if not all in one component yet, are a new group of half the size or so, and go to 2; groups of the same members are one.
+    A group of k members costs k comparisons with its pivot; members are never joined with members.
 
     A text with fewer than n words has its whole sequence as its one shingle; a null text or one without words has none and is linked
     with nothing. A null id is a document that takes no part: component_id is null and kept is true. Rows with the same id are
-    one node each for their texts and share kept. An empty table gives an empty result. Other columns are not read.
+    one node each for their texts and share kept; drop_near_duplicates() decides by row. An empty table gives an empty result. Other
+    columns are not read.
     """
-    bands, rows = banding(percent / 100)
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kind = dict(d.dtypes)["id"]
-    sketch = materialise(d.mapInArrow(_sketch(n, bands, rows), f"id {kind}, n_shingles long, cls long, bands array<long>"), "sketch")
-    classes = materialise(sketch.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
-    member = classes.select("cls", "n", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = materialise(member.join(bucket, "key"), "shared")
-    need = shared.select(F.col("cls").alias("__c")).distinct()
-    need = classes.join(need, F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep")
-    chosen = d.join(need, F.col("id") == F.col("rep")).select("cls", "text").mapInArrow(_sets(n), "cls long, own long, hashes binary")
-    sets = materialise(chosen.filter("cls = own").drop("own"), "sets")  # of rows with the same id, those with the class's own set
-
-    def compared(pairs):
-        a, b = sets.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
-        full = pairs.select("u", "v").join(a, F.col("u") == F.col("__a")).join(b, F.col("v") == F.col("__b")).select("u", "v", "x", "y")
-        return full.mapInArrow(_compare(percent), "u long, v long, nu long, nv long, both long, rest array<long>")
-
-    linked = 100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))
-    links, buckets = None, shared
-    for level in range(LEVELS):
-        company = buckets.groupBy("cls").agg(F.sum("k").alias("company"))
-        heads = buckets.join(company, "cls").groupBy("key").agg(F.max(F.struct("company", "n", "cls"))["cls"].alias("head"))
-        star = buckets.select("key", "cls").join(heads, "key").filter("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
-        known = materialise(compared(materialise(star, "star")).withColumn("linked", linked), "known")
-        new = known.filter("linked").select("u", "v")
-        links = new if links is None else links.union(new)
-        comp = components(links)
-        apart = known.filter(~F.col("linked")).select("v").distinct()  # heads with members that are not linked with them
-        known = known.join(apart, "v", "left_semi").join(comp, F.col("u") == F.col("node"), "left").withColumn("root", F.coalesce("root", "u")).drop("node")
-        known = materialise(known, "apart")
-        # pairs that may be linked by what they share with the head alone
-        inside = known.filter(100 * F.col("both") >= percent * F.col("nu"))
-        a = inside.filter(~F.col("linked")).select("v", F.col("u").alias("a"), F.col("nu").alias("na"), F.col("both").alias("ia"), F.col("root").alias("ra"))
-        b = inside.filter("nu < nv").select("v", F.col("u").alias("b"), F.col("nu").alias("nb"), F.col("both").alias("ib"), F.col("root").alias("rb"))
-        enough = (F.col("ra") != F.col("rb")) & ((100 + percent) * F.least("ia", "ib") >= percent * (F.col("na") + F.col("nb")))
-        pairs = a.join(b, "v").filter(enough).select("a", "b")
-        # and those that share more: a bucket for each head and hash
-        tokens = known.select("v", F.col("u").alias("cls"), F.col("nu").alias("n"), "root", "linked", F.explode("rest").alias("g"))
-        more = tokens.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.every("linked").alias("__all"))
-        more = more.filter("k > 1 and __lo < __hi and not __all").select("v", "g", "k")
-        nxt = materialise(tokens.join(more, ["v", "g"]).select(F.xxhash64("v", "g", F.lit(level)).alias("key"), "cls", "n", "root", "k"), "next")
-        few = nxt if level == LEVELS - 1 else nxt.filter(F.col("k") <= SMALL)
-        a, b = few.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), few.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = pairs.union(a.join(b, "key").filter(fits).select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        links = links.union(materialise(compared(materialise(pairs, "pairs")).filter(linked).select("u", "v"), "more"))
-        buckets = materialise(nxt.filter(F.col("k") > SMALL).drop("root"), "shared")
-        if level == LEVELS - 1 or not buckets.limit(1).count():
-            break
-    comp = components(links)
-    top = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = top.groupBy(F.col("root").alias("__root")).agg(F.min("rep").alias("component_id"))
-    name = top.join(least, F.col("root") == F.col("__root")).select(F.col("cls").alias("__c"), "component_id")
-    out = sketch.join(name, F.col("cls") == F.col("__c"), "left")
-    cid = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"))
+    out = _rows(docs, n, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return with_columns(out, {"kept": F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True))})
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: one row of each group that near_duplicates() links, that of the smallest id.
+
+    Decided by row, that is by id and text: rows that share an id stay unless their own texts are near copies. Of rows with the
+    same id and text that are a group's best, one stays. Rows with a null id, or without a word, all stay. All columns are kept.
+    """
+    rows = materialise(_rows(docs, n, percent, id_col, text_col).filter("root is not null").groupBy("root", "id", "tag").agg(F.count(F.lit(1)).alias("times")), "rows")
+    best = rows.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct("id", "tag")).alias("best"))
+    marked = rows.join(best, F.col("root") == F.col("__root")).withColumn("kept", F.struct("id", "tag") == F.col("best"))
+    marked = materialise(marked.filter("not kept or times > 1").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "kept"), "gone")
+    mine = (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__tag"))
+    out = docs.join(marked, mine, "left_anti")
+    if marked.filter("kept").limit(1).count():
+        again = docs.join(marked.filter("kept"), mine)
+        again = again.groupBy("__id", "__tag").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+        out = out.unionByName(again)
+    return out
+
+
 def op5_minhash(spark, sf_dir):
     """Near-duplicate components of all documents on 3-word shingles at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
