@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.complexity import complexity
-from tessera.functions.stats import nearest_rank, wilson
+from tessera.functions.stats import nearest_rank_of, wilson
 from tessera.functions.tokens import exact_match, gleu, gleu_counts, normalised_exact_match
 
 #: Statuses that say nothing about the prediction, statuses that are judged, classes of errors and results.
@@ -71,7 +71,7 @@ def measures(pred: str = "predicted_cypher", percentiles: bool = True) -> dict[s
         "prompt_tokens_mean": F.avg(counted),
     }
     if percentiles:
-        out["prompt_tokens_p95"] = nearest_rank(counted, 0.95)
+        out["prompt_tokens_p95"] = nearest_rank_of("CASE WHEN prompt_tokens >= 0 THEN prompt_tokens END", 0.95)
     return out
 
 

@@ -2,14 +2,27 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
-from tessera.functions.stats import nearest_rank
+from tessera.functions.stats import nearest_ranks
 
 
 # ---- health of gold queries ------------------------------------------------------------------------------------------------------------
-def gold_health(rows: DataFrame, by: str, failed: Column, error: Column, top: int = 5) -> DataFrame:
-    """Groups with a failure: rows, failures, their rate, whether all fail (dead), and the most frequent errors."""
-    base = rows.select(F.coalesce(by, F.lit("(none)")).alias(by), failed.alias("__f"), error.alias("__e"))
+def _group(by: str) -> Column:
+    """A group's name; a null or an empty one is `(none)`."""
+    name = F.col(by).cast("string")
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("(none)")).otherwise(name)
+
+
+def gold_health(rows: DataFrame, by: str, failed: Column, error: Column, ran: Column | None = None, top: int = 5) -> DataFrame:
+    """Groups with a failure among the rows that ran (all, by default): rows, failures, their rate, whether all fail (dead), and the most
+    frequent errors, of 300 characters at most.
+
+    Null or empty groups are `(none)`, null or empty errors `unknown`; a null in failed is a failure, one in ran is not a run.
+    """
+    rows = rows if ran is None else rows.filter(ran)
+    text = F.when(F.coalesce(error, F.lit("")) == "", F.lit("unknown")).otherwise(F.left(error, F.lit(300)))
+    base = rows.select(_group(by).alias(by), F.coalesce(failed, F.lit(True)).alias("__f"), text.alias("__e"))
     counts = base.groupBy(by).agg(F.count(F.lit(1)).alias("executed"), F.count_if("__f").alias("failed")).filter("failed > 0")
     errors = base.filter("__f").groupBy(by, "__e").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(by).orderBy(F.desc("c"), "__e")
@@ -19,10 +32,13 @@ def gold_health(rows: DataFrame, by: str, failed: Column, error: Column, top: in
     return out.select(by, "executed", "failed", (F.col("failed") / F.col("executed")).alias("failure_rate"), (F.col("failed") == F.col("executed")).alias("dead"), text.alias("top_errors"))
 
 
-def flag_dead(rows: DataFrame, by: str, failed: Column) -> DataFrame:
-    """Adds dead_database: whether all rows of its group fail."""
-    dead = rows.groupBy(by).agg(F.every(failed).alias("__dead")).filter("__dead").select(F.col(by).alias("__by"))
-    return rows.join(dead, F.col(by).eqNullSafe(F.col("__by")), "left").withColumn("dead_database", F.col("__by").isNotNull()).drop("__by")
+def flag_dead(rows: DataFrame, by: str, failed: Column, ran: Column | None = None) -> DataFrame:
+    """Adds dead_database: whether all rows of its group that ran fail; null for a row that didn't run. Null and empty groups are one; a
+    null in failed is a failure."""
+    ran = F.lit(True) if ran is None else F.coalesce(ran, F.lit(False))
+    dead = rows.filter(ran).groupBy(_group(by).alias("__by")).agg(F.every(F.coalesce(failed, F.lit(True))).alias("__dead")).filter("__dead")
+    flag = F.when(ran, F.coalesce("__dead", F.lit(False)))
+    return rows.join(dead, _group(by) == F.col("__by"), "left").withColumn("dead_database", flag).drop("__by", "__dead")
 
 
 def exclude_dead(rows: DataFrame) -> DataFrame:
@@ -78,7 +94,11 @@ def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def lengths(rows: DataFrame, by: list[str], value: str, budget: int) -> DataFrame:
     """Mean, percentiles by nearest rank (which no interpolation gives), and the share over a budget."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *[nearest_rank(v, p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)], F.max(v).alias("longest"), F.avg((v > budget).cast("double")).alias("over_budget"))
+    plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("longest"), F.avg((v > budget).cast("double")).alias("over_budget"))
+    ranks = nearest_ranks(rows, by, value, {f"p{round(p * 100)}": p for p in (0.5, 0.9, 0.95, 0.99)})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = plain.join(ranks.withColumnsRenamed({c: f"__{c}" for c in by}), same, "left").drop(*[f"__{c}" for c in by])
+    return out.select(*by, "n", "mean", "p50", "p90", "p95", "p99", "longest", "over_budget")
 
 
 # ---- samples and splits ----------------------------------------------------------------------------------------------------------------
@@ -125,12 +145,59 @@ def fingerprint(rows: DataFrame, by: list[str], key: str, digits: int = 16) -> D
 
 
 # ---- sets, plans, integrity ------------------------------------------------------------------------------------------------------------
-def same_results(a: DataFrame, b: DataFrame, by: list[str], values: list[Column]) -> DataFrame:
-    """Whether two results are equal as multisets of rows, group by group: counts of each canonical row on both sides must agree."""
-    row = F.concat_ws("|", *[v.cast("string") for v in values])
-    both = a.select(*by, row.alias("__r"), F.lit(1).alias("__s")).union(b.select(*by, row.alias("__r"), F.lit(-1).alias("__s")))
-    each = both.groupBy(*by, "__r").agg(F.sum("__s").alias("__d"), F.count(F.lit(1)).alias("__c"))
-    return each.groupBy(*by).agg(F.every(F.col("__d") == 0).alias("same"), F.sum("__c").alias("rows"), F.sum(F.abs("__d")).alias("differing"))
+def normalised(c: Column, kind: DataType, digits: int = 6) -> Column:
+    """A value of any depth in its canonical form: numbers with a fraction rounded, fields and keys in order, bytes as hex, and what is
+    neither a number, a truth value nor text as text."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.round(c.cast("double"), digits)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: normalised(x, kind.elementType, digits))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[normalised(c[f.name], f.dataType, digits).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, MapType):
+        entry = lambda e: F.struct(e["key"].cast("string").alias("key"), normalised(e["value"], kind.valueType, digits).alias("value"))
+        return F.when(c.isNotNull(), F.array_sort(F.transform(F.map_entries(c), entry), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    if isinstance(kind, BinaryType):
+        return F.lower(F.hex(c))
+    return c if isinstance(kind, (BooleanType, StringType, IntegralType, NullType)) else c.cast("string")
+
+
+def row_text(rows: DataFrame, values: list, digits: int = 6) -> Column:
+    """A row's values (names or columns), in their order, as one text, nulls included, whatever they are called."""
+    kinds = [f.dataType for f in rows.select(*values).schema.fields]
+    cols = [F.col(v) if isinstance(v, str) else v for v in values]
+    return F.to_json(F.struct(*[normalised(c, t, digits).alias(f"c{k}") for k, (c, t) in enumerate(zip(cols, kinds, strict=True))]), {"ignoreNullFields": "false"})
+
+
+def same_results(a: DataFrame, b: DataFrame, by: list[str], values: list, order: list[str] | None = None, theirs: list | None = None, compare_keys: bool = False) -> DataFrame:
+    """Whether two results are equal group by group: as multisets of rows or, with order, row by row in that order.
+
+    Rows are compared by their normalised values in the order of values; theirs: b's, where they differ. With compare_keys the names of
+    both must be the same too.
+    """
+    theirs = values if theirs is None else theirs
+
+    def side(t, cols, sign):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) if order else F.lit(0)
+        return t.select(*by, place.alias("__p"), row_text(t, cols).alias("__r"), F.lit(sign).alias("__s"))
+
+    keys = F.lit(not compare_keys or a.select(*values).columns == b.select(*theirs).columns)
+    both = side(a, values, 1).union(side(b, theirs, -1))
+    each = both.groupBy(*by, "__p", "__r").agg(F.sum("__s").alias("__d"), F.count(F.lit(1)).alias("__c"))
+    return each.groupBy(*by).agg((F.every(F.col("__d") == 0) & keys).alias("same"), F.sum("__c").alias("rows"), F.sum(F.abs("__d")).alias("differing"))
+
+
+def result_signature(rows: DataFrame, by: list[str], values: list[str], order: list[str] | None = None, compare_keys: bool = False) -> DataFrame:
+    """A signature of each group's rows that two results share if they are equal: row count and sums of two halves of each row's MD5, so
+    no group is gathered. With order a row's place counts, with compare_keys the names of the columns."""
+    text = row_text(rows, values)
+    if order:
+        text = F.concat_ws(":", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string"), text)
+    if compare_keys:
+        text = F.concat_ws("|", F.lit(",".join(values)), text)
+    digest = rows.select(*by, F.md5(text.cast("binary")).alias("__m"))
+    half = lambda at: F.sum(F.conv(F.substring("__m", at, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return digest.groupBy(*by).agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), half(1), half(13)).alias("signature"))
 
 
 def expected_against_actual(expected: DataFrame, actual: DataFrame, on: list[str], value: str, missing) -> DataFrame:

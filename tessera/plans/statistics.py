@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import mcnemar, resampled
+from tessera.functions.stats import RESAMPLES, mcnemar, resampled
 from tessera.functions.tokens import gleu, gleu_counts
 from tessera.operators.evaluation import score_rows
 from tessera.operators.paired import adjusted, all_pairs, bootstrap_difference, compare, identical_share, judged_by_all, lookup, paired_rows
@@ -11,8 +11,6 @@ from tessera.plans.scoring import rounded
 from tessera.session import read
 
 PLANS: dict = {}
-#: Resamples of the SQL here. The queries take the operators' default, RESAMPLES, so the two differ; tests have brute force.
-B = 100
 
 
 def plan(sql: str | None = None):
@@ -88,7 +86,7 @@ def _sql_boot(group: str, source: str, values: list[str], order: str) -> str:
     """Sums of values over resamples drawn as resampled() draws them."""
     hexes = "('0x' || substr(md5(concat_ws(':', b, i)), 1, 8))::BIGINT"
     return f"""br AS (SELECT {group}, {', '.join(values)}, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
-bd AS (SELECT {group}, b, {hexes} % n AS d FROM br, range(1, {B + 1}) t(b)),
+bd AS (SELECT {group}, b, {hexes} % n AS d FROM br, range(1, {RESAMPLES + 1}) t(b)),
 bs AS (SELECT bd.{group}, bd.b, {', '.join(f'sum(br.{v}) AS {v}' for v in values)}, count(*) AS n FROM bd JOIN br ON bd.{group} = br.{group} AND bd.d = br.i GROUP BY 1, 2)"""
 
 
@@ -107,7 +105,7 @@ m AS (SELECT comparison, d / n AS m FROM bs), p AS (SELECT comparison, count(*)
 q AS (SELECT comparison, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, quantile_cont(m, 0.05) AS tost_low, quantile_cont(m, 0.95) AS tost_high,
   least(1.0, 2 * least(avg((m <= 0)::INTEGER), avg((m >= 0)::INTEGER))) AS p FROM m GROUP BY 1)
 SELECT comparison, n_pairs, round(difference, 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(tost_low, 6) AS tost_low, round(tost_high, 6) AS tost_high,
-  tost_low > -0.05 AND tost_high < 0.05 AS equivalent, round(greatest(p, {1 / B}), 6) AS p_value, p < {1 / B} AS p_is_bound FROM p JOIN q USING (comparison)""")
+  tost_low > -0.05 AND tost_high < 0.05 AS equivalent, round(greatest(p, {1 / RESAMPLES}), 6) AS p_value, p < {1 / RESAMPLES} AS p_is_bound FROM p JOIN q USING (comparison)""")
 def paired_bootstrap_tost(spark, sf_dir):
     p = _compared(spark, sf_dir).withColumns({"zero": F.lit(0.0), "d": F.round(F.col("b_gleu") - F.col("a_gleu"), 6)})
     return rounded(bootstrap_difference(p, ["comparison"], "item", "zero", "d"), 6)

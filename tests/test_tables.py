@@ -80,3 +80,32 @@ def test_guard_fires_once_a_run(spark, tmp_path):
     assert [(r.at, r.run) for r in got] == [(5, 3), (10, 3)]
     append_log(s, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 11
+
+
+def test_results_are_compared_value_by_value(spark):
+    pair = lambda *r: spark.createDataFrame(list(r), "g int, x string, y string")
+    same = lambda a, b, **k: T.same_results(a, b, ["g"], ["x", "y"], **k).first().same
+    assert not same(pair((1, "a|b", "c")), pair((1, "a", "b|c"))) and not same(pair((1, None, "c")), pair((1, "c", None))) and not same(pair((1, None, "c")), pair((1, "", "c")))
+    assert same(pair((1, "a", "c"), (1, "b", None)), pair((1, "b", None), (1, "a", "c"))) and not same(pair((1, "a", "c"), (1, "a", "c")), pair((1, "a", "c")))
+    a, b = pair((1, "a", "c")), pair((1, "a", "c")).toDF("g", "x", "z")
+    assert same(a, b, theirs=["x", "z"]) and not same(a, b, theirs=["x", "z"], compare_keys=True)
+    o = lambda *r: spark.createDataFrame(list(r), "g int, x string, y string, p int")
+    assert same(o((1, "a", "", 1), (1, "b", "", 2)), o((1, "b", "", 1), (1, "a", "", 2))) and not same(o((1, "a", "", 1), (1, "b", "", 2)), o((1, "b", "", 1), (1, "a", "", 2)), order=["p"])
+
+
+def test_deep_values_are_normalised(spark):
+    kind = "g int, v struct<b: double, a: array<double>>, m map<int, double>, h binary"
+    a = spark.createDataFrame([(1, (0.12345678, [1.0000001]), {2: 0.1, 1: 0.3}, bytearray(b"\x0a"))], kind)
+    b = spark.createDataFrame([(1, (0.1234569, [1.0]), {1: 0.3, 2: 0.1}, bytearray(b"\x0a"))], kind)
+    assert T.same_results(a, b, ["g"], ["v", "m", "h"]).first().same
+    signs = [T.result_signature(t, ["g"], ["v", "m", "h"]).first().signature for t in (a, b, b.union(b), b.withColumn("h", F.lit(None).cast("binary")))]
+    assert signs[0] == signs[1] and len(set(signs)) == 3
+
+
+def test_health_of_odd_groups(spark):
+    rows = [("a", True, "x" * 400), ("a", None, ""), ("", True, None), (None, False, None), ("c", True, "e"), ("d", False, None)]
+    d = spark.createDataFrame([(*r, r[0] != "c") for r in rows], "db string, bad boolean, error string, ran boolean")
+    got = {r.db: (r.executed, r.failed, r.dead, r.top_errors) for r in T.gold_health(d, "db", F.col("bad"), F.col("error"), F.coalesce("ran", F.lit(True))).collect()}
+    assert got == {"a": (2, 2, True, "unknown:1; " + "x" * 300 + ":1"), "(none)": (2, 1, False, "unknown:1")}
+    flags = [(r.db, r.dead_database) for r in T.flag_dead(d, "db", F.col("bad"), F.col("db") != "c").collect()]
+    assert sorted(flags, key=str) == sorted([("a", True), ("a", True), ("", True), (None, None), ("c", None), ("d", False)], key=str)
