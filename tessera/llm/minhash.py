@@ -214,9 +214,12 @@ def _salt():
 
 
 def _open(tokens: DataFrame) -> DataFrame:
-    """The groups (grp, g) of tokens that may have a link between two components, with their size k, and s and t that tell the members."""
-    more = tokens.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("lo"), F.max("colour").alias("hi"), F.some("is_odd").alias("odd"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.sum(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 32))).alias("t"))
-    return more.filter("lo < hi and odd").select("grp", "g", "k", "s", "t")
+    """The groups (grp, g) of tokens that may have a link between two components: size k, s and t that tell the members, and the least w of
+    all and of the odd ones."""
+    more = tokens.groupBy("grp", "g").agg(
+        F.count(F.lit(1)).alias("k"), F.min("colour").alias("lo"), F.max("colour").alias("hi"), F.min("w").alias("near"), F.min(F.when(F.col("is_odd"), F.col("w"))).alias("near_odd"),
+        F.bit_xor(F.xxhash64("cls")).alias("s"), F.sum(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 32))).alias("t"))
+    return more.filter("lo < hi and near_odd is not null").drop("lo", "hi")
 
 
 def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -227,7 +230,7 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = materialise(member.join(bucket, "key").withColumn("company", F.sum("k").over(Window.partitionBy("cls"))), "shared")
     heads = shared.groupBy("key").agg(F.max(F.struct("company", "n", "cls"))["cls"].alias("grp"))
-    groups = materialise(shared.select("key", "cls", "n").join(heads, "key").select("grp", "cls", "n").distinct(), "groups")
+    groups = materialise(shared.select("key", "cls", "n").join(heads, "key").select("grp", "cls", "n").distinct().withColumn("colour", F.col("cls")), "groups")
     colours = materialise(groups.select("cls").distinct().withColumn("colour", F.col("cls")), "colours")
 
     named = classes.join(colours.select(F.col("cls").alias("__c")), F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep", "c1", "c2")
@@ -235,15 +238,11 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     if sets.count() > named.count():  # rows that repeat with id and text
         sets = materialise(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
-    def coloured(rows):
-        return rows.join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c")).drop("__c")
-
     level, whole, seen = 0, 100 + percent, None
     while groups.limit(1).count():
         level += 1
-        g = coloured(groups)
-        sizes = g.groupBy(F.col("grp").alias("__g")).agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("__lo"), F.max("colour").alias("__hi")).filter("__lo < __hi").select("__g", "k")
-        g = materialise(g.join(sizes, F.col("grp") == F.col("__g")).drop("__g"), "open")
+        sizes = groups.groupBy(F.col("grp").alias("__g")).agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("__lo"), F.max("colour").alias("__hi")).filter("__lo < __hi").select("__g", "k")
+        g = materialise(groups.join(sizes, F.col("grp") == F.col("__g")).drop("__g"), "open")
 
         # small groups: each pair of unlike colour and like size
         few = g.filter(F.col("k") <= SMALL).groupBy("grp").agg(F.collect_list(F.struct("cls", "n", "colour")).alias("m"))
@@ -278,20 +277,28 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
 
         # what may still be linked shares hashes where it differs from the pivot, as many as the least
         odd = far.filter(~sure).groupBy("grp").agg(F.min("w").alias("odd"), F.first("k").alias("k"))
-        rows = coloured(far).join(_salted(odd), ["grp", "salt"]).withColumn("is_odd", ~sure)
-        least = F.ceil((F.col("w") + F.when(F.col("is_odd"), F.col("first.w")).otherwise(F.col("odd")) - F.col("r")) / whole)
-        rows = rows.withColumn("least", F.greatest(F.lit(1), least).cast("int")).filter(F.size("diff") >= F.col("least"))
-        tokens = materialise(rows.select("grp", "cls", "n", "colour", "is_odd", "least", F.explode("diff").alias("g")), "tokens")
-        times = _open(tokens).select("grp", "g", "k")
+        rows = far.join(_salted(odd), ["grp", "salt"]).join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c")).withColumn("is_odd", ~sure)
+        least = lambda near, near_odd: F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("is_odd"), near).otherwise(near_odd) - F.col("r")) / whole)).cast("int")
+        rows = rows.withColumn("least", least(F.col("first.w"), F.col("odd"))).filter(F.size("diff") >= F.col("least"))
+        rows = materialise(rows.select("grp", "cls", "n", "w", "r", "colour", "is_odd", "least", "diff"), "rows")
+        own = ["grp", "cls", "n", "w", "r", "colour", "is_odd"]
+        short = rows.select(*own, F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)).alias("g"))
+        alive = short.join(_open(short).select("grp", "g"), ["grp", "g"], "left_semi").select("grp", "cls").distinct()
+        tokens = rows.join(alive, ["grp", "cls"], "left_semi").select(*own, "least", F.explode("diff").alias("g"))
+        tokens = materialise(tokens, "tokens")
         rare = F.sort_array(F.collect_list(F.struct("k", "g")))
-        rows = tokens.join(times, ["grp", "g"]).groupBy("grp", "cls", "n", "colour", "is_odd", "least").agg(rare.alias("diff")).filter(F.size("diff") >= F.col("least"))
-        tokens = materialise(rows.select("grp", "cls", "n", "colour", "is_odd", F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)["g"]).alias("g")), "tokens")
+        rows = tokens.join(_open(tokens).select("grp", "g", "k"), ["grp", "g"]).groupBy(*own, "least").agg(rare.alias("diff")).filter(F.size("diff") >= F.col("least"))
+        tokens = rows.select(*own, F.size("diff").alias("live"), F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)["g"]).alias("g"))
+        tokens = materialise(tokens, "short")
+        for _ in range(2):  # the members of a new group may need more than those of the old
+            tokens = tokens.join(_open(tokens).select("grp", "g", "near", "near_odd"), ["grp", "g"]).filter(F.col("live") >= least(F.col("near"), F.col("near_odd"))).drop("near", "near_odd")
+            tokens = materialise(tokens, "short")
         more = _open(tokens).groupBy("k", "s", "t").agg(F.min(F.struct("grp", "g")).alias("m"))  # one of those with the same members
         if seen is not None:
             more = more.join(seen, ["k", "s", "t"], "left_anti")
         more = materialise(more, "more")
         seen = more.drop("m") if seen is None else seen.union(more.drop("m"))
-        groups = tokens.join(more.select("m.grp", "m.g"), ["grp", "g"]).select(F.xxhash64("grp", "g", F.lit(level)).alias("grp"), "cls", "n")
+        groups = tokens.join(more.select("m.grp", "m.g"), ["grp", "g"]).select(F.xxhash64("grp", "g", F.lit(level)).alias("grp"), "cls", "n", "colour")
         groups = materialise(groups, "groups")
 
     top = classes.select("c1", "c2", "cls", "rep").join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c"), "left")
@@ -323,9 +330,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     pivot P, the hashes that most of a bounded sample of its members have, and each member's full set is reduced to its difference from P.
     Where A lacks a hashes of P and B lacks b, |A & B| = |P| - a - b + the number of hashes in both differences. So without any of these
     last, links depend on one number a member alone, and the member nearest to P is linked with all that have a link of that kind: these
-    links are counted, not searched. 4. All other links need hashes in both differences, as many as the numbers of the two tell. Hashes
-    that no link can need are left out, the rarest come first, and two members that share enough share one in short prefixes. Those
-    that do, if not all in one component yet, are a new group of half the size or so, and go to 2; groups of the same members are one.
+    links are counted, not searched. 4. All other links need hashes in both differences, as many as the numbers of the two tell. Two
+    members that share enough share one in short prefixes of any order. Members that share none there are done. Of the others, hashes that
+    no link can need are left out and the rarest come first. Members that share one in prefixes of that order, if not all in one
+    component yet, are a new group of half the size or so, and go to 2; groups of the same members are one.
     A group of k members costs k comparisons with its pivot; members are never joined with members.
 
     A text with fewer than n words has its whole sequence as its one shingle; a null text or one without words has none and is linked
