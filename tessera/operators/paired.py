@@ -54,7 +54,7 @@ def bootstrap_difference(pairs: DataFrame, by: list[str], item: str, a: str, b:
     means = resampled(diffs, by, [item], ["d"], resamples).withColumn("m", F.col("d") / F.col("n"))
     alpha = 1 - level
     q = F.percentile("m", F.array(*[F.lit(x) for x in (alpha / 2, 1 - alpha / 2, alpha, 1 - alpha)])).alias("q")
-    boot = means.groupBy(*by).agg(q, F.avg((F.col("m") <= 0).cast("double")).alias("__lo"), F.avg((F.col("m") >= 0).cast("double")).alias("__hi"))
+    boot = means.groupBy(*by).agg(q, F.avg((F.col("m") <= 1e-12).cast("double")).alias("__lo"), F.avg((F.col("m") >= -1e-12).cast("double")).alias("__hi"))
     point = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("difference"))
     out = point.join(boot, by)
     p = F.least(F.lit(1.0), 2 * F.least("__lo", "__hi"))

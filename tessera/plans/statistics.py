@@ -103,7 +103,7 @@ def bootstrap_gleu_ci(spark, sf_dir):
 @plan(f"""WITH {_PAIRED}, src AS (SELECT comparison, item, round(b_gleu - a_gleu, 6) AS d FROM pr), {_sql_boot('comparison', 'src', ['d'], 'item')},
 m AS (SELECT comparison, d / n AS m FROM bs), p AS (SELECT comparison, count(*) AS n_pairs, avg(d) AS difference FROM src GROUP BY 1),
 q AS (SELECT comparison, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, quantile_cont(m, 0.05) AS tost_low, quantile_cont(m, 0.95) AS tost_high,
-  least(1.0, 2 * least(avg((m <= 0)::INTEGER), avg((m >= 0)::INTEGER))) AS p FROM m GROUP BY 1)
+  least(1.0, 2 * least(avg((m <= 1e-12)::INTEGER), avg((m >= -1e-12)::INTEGER))) AS p FROM m GROUP BY 1)
 SELECT comparison, n_pairs, round(difference, 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(tost_low, 6) AS tost_low, round(tost_high, 6) AS tost_high,
   tost_low > -0.05 AND tost_high < 0.05 AS equivalent, round(greatest(p, {1 / RESAMPLES}), 6) AS p_value, p < {1 / RESAMPLES} AS p_is_bound FROM p JOIN q USING (comparison)""")
 def paired_bootstrap_tost(spark, sf_dir):
