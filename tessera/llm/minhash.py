@@ -6,13 +6,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix, table, text_words, with_columns
+from tessera.llm.common import Shelter, discard, materialise, mix, table, text_words, with_columns
 
 #: A pair at exactly the threshold shares no band with this probability at most; more similar pairs still less.
 MISS = 5e-5
-#: Groups of so many classes at most are compared pair by pair; members of a larger group, about, whose majority is its pivot; members
-#: of a group that one copy of its pivot meets, about; links that a task unites at a time.
-SMALL, SAMPLE, SALT, UNITE = 4, 16, 256, 1 << 20
+#: Groups of so many classes at most are compared as pairs that are joined with their sets; groups of so many classes and hashes in one task.
+SMALL, MEET, MEET_HASHES = 4, 256, 1 << 22
+#: Members of a larger group, about, whose majority is its pivot; members of a group that one copy of its pivot meets, about; hashes that
+#: are counted at a time; links that a task unites at a time.
+SAMPLE, SALT, COUNTED, UNITE = 16, 256, 1 << 14, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,6 +134,38 @@ def _same(percent: int):
     return run
 
 
+def _meet(percent: int):
+    """Of a group's rows cls, hashes: each class that is linked with others, over links in the group, with the smallest of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cls = t.column("cls").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        own, at = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+        at = np.unique(at, return_inverse=True)[1]
+        order = np.argsort(at, kind="stable")
+        own, at = own[order], at[order]
+        both, a = np.zeros((len(sets), len(sets))), 0
+        while a < len(at):
+            e = int(np.searchsorted(at, at[a] + COUNTED))
+            has = np.zeros((len(sets), min(COUNTED, int(at[e - 1] - at[a]) + 1)), np.float32)
+            has[own[a:e], at[a:e] - at[a]] = 1
+            both += has @ has.T
+            a = e
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        root = np.arange(len(sets))[np.argsort(np.argsort(cls))]  # ranks of the classes
+        while True:
+            new = np.where(linked, root[None, :], len(sets)).min(axis=1)
+            new = np.minimum(new, root)
+            if (new == root).all():
+                break
+            root = new
+        top = np.sort(cls)[root]
+        return pa.table([pa.array(cls[top != cls]), pa.array(top[top != cls])], ["u", "v"])
+
+    return run
+
+
 def _majority(t: pa.Table) -> pa.Table:
     """The hashes that at least half of a group's sample have."""
     t = t.combine_chunks()
@@ -199,9 +233,11 @@ def components(links: DataFrame) -> DataFrame:
         least = label.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("__old"), F.least("root", "__r").alias("root"))
         up = label.select(F.col("node").alias("__n"), F.col("root").alias("__up"))
         new = materialise(least.join(up, F.col("root") == F.col("__n"), "left").select("node", "__old", F.least("root", F.coalesce("__up", "root")).alias("root")), "label")
+        discard(label)
         if not new.filter("__old <> root").limit(1).count():
+            discard(both)
             return new.select("node", "root")
-        label = new.select("node", "root")
+        label = new
 
 
 def _salted(small: DataFrame) -> DataFrame:
@@ -241,7 +277,7 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     level, whole, seen = 0, 100 + percent, None
     while groups.limit(1).count():
         level += 1
-        sizes = groups.groupBy(F.col("grp").alias("__g")).agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("__lo"), F.max("colour").alias("__hi")).filter("__lo < __hi").select("__g", "k")
+        sizes = groups.groupBy(F.col("grp").alias("__g")).agg(F.count(F.lit(1)).alias("k"), F.min("colour").alias("__lo"), F.max("colour").alias("__hi"), F.sum("n").alias("total")).filter("__lo < __hi").select("__g", "k", "total")
         g = materialise(groups.join(sizes, F.col("grp") == F.col("__g")).drop("__g"), "open")
 
         # small groups: each pair of unlike colour and like size
@@ -252,8 +288,13 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         a, b = sets.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
         links = pairs.join(a, F.col("u") == F.col("__a")).join(b, F.col("v") == F.col("__b")).select("u", "v", "x", "y").mapInArrow(_same(percent), "u long, v long")
 
+        # groups that one task holds: all members by counts of shared hashes
+        held = (F.col("k") > SMALL) & (F.col("k") <= MEET) & (F.col("total") <= MEET_HASHES)
+        middle = g.filter(held).join(a, F.col("cls") == F.col("__a")).select("grp", "cls", F.col("x").alias("hashes"))
+        links = links.union(middle.groupBy("grp").applyInArrow(_meet(percent), "u long, v long"))
+
         # large groups: each member against the pivot
-        large = g.filter(F.col("k") > SMALL)
+        large = g.filter((F.col("k") > SMALL) & ~held)
         some = bool(large.limit(1).count())
         if some:
             unit = F.shiftrightunsigned(F.xxhash64(F.lit(13), "grp", "cls"), 11) * F.lit(2.0**-53)
@@ -261,18 +302,20 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
             sample = large.filter(unit * F.col("k") < SAMPLE).join(own, F.col("cls") == F.col("__c")).select("grp", "k", "hashes")
             pivots = materialise(sample.groupBy("grp").applyInArrow(_majority, "grp long, k long, pivot binary"), "pivots")
             full = large.withColumn("salt", _salt()).join(own, F.col("cls") == F.col("__c")).join(_salted(pivots), ["grp", "salt"], "left")
-            far = materialise(full.select("grp", "cls", "n", "k", "hashes", "pivot").mapInArrow(_differ, "grp long, cls long, n long, k long, np long, lacks long, diff array<long>"), "differ")
-            far = far.withColumn("w", whole * F.col("lacks") + percent * F.col("n")).withColumn("r", whole * F.col("np")).withColumn("salt", _salt())
+            differ = materialise(full.select("grp", "cls", "n", "k", "hashes", "pivot").mapInArrow(_differ, "grp long, cls long, n long, k long, np long, lacks long, diff array<long>"), "differ")
+            far = differ.withColumn("w", whole * F.col("lacks") + percent * F.col("n")).withColumn("r", whole * F.col("np")).withColumn("salt", _salt())
             nearest = far.groupBy("grp").agg(F.min(F.struct("w", F.col("cls").alias("c"))).alias("first"), F.first("k").alias("k"))
             far = far.join(_salted(nearest), ["grp", "salt"])
             sure = F.col("w") + F.col("first.w") <= F.col("r")
             links = links.union(far.filter(sure & (F.col("cls") != F.col("first.c"))).select(F.col("cls").alias("u"), F.col("first.c").alias("v")))
         links = materialise(links, "linked")
+        stale = [links, colours]
         at = lambda c: colours.select(F.col("cls").alias(f"__{c}"), F.col("colour").alias(f"c{c}"))
         ends = links.join(at("u"), F.col("u") == F.col("__u")).join(at("v"), F.col("v") == F.col("__v")).filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
         comp = components(ends)
         colours = materialise(colours.join(comp, F.col("colour") == F.col("node"), "left").select("cls", F.coalesce("root", "colour").alias("colour")), "colours")
         if not some:
+            discard(*stale, groups, g)
             break
 
         # what may still be linked shares hashes where it differs from the pivot, as many as the least
@@ -281,17 +324,20 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         least = lambda near, near_odd: F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("is_odd"), near).otherwise(near_odd) - F.col("r")) / whole)).cast("int")
         rows = rows.withColumn("least", least(F.col("first.w"), F.col("odd"))).filter(F.size("diff") >= F.col("least"))
         rows = materialise(rows.select("grp", "cls", "n", "w", "r", "colour", "is_odd", "least", "diff"), "rows")
+        stale.append(rows)
         own = ["grp", "cls", "n", "w", "r", "colour", "is_odd"]
         short = rows.select(*own, F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)).alias("g"))
         alive = short.join(_open(short).select("grp", "g"), ["grp", "g"], "left_semi").select("grp", "cls").distinct()
         tokens = rows.join(alive, ["grp", "cls"], "left_semi").select(*own, "least", F.explode("diff").alias("g"))
         tokens = materialise(tokens, "tokens")
+        stale.append(tokens)
         rare = F.sort_array(F.collect_list(F.struct("k", "g")))
         rows = tokens.join(_open(tokens).select("grp", "g", "k"), ["grp", "g"]).groupBy(*own, "least").agg(rare.alias("diff")).filter(F.size("diff") >= F.col("least"))
         tokens = rows.select(*own, F.size("diff").alias("live"), F.explode(F.slice("diff", F.lit(1), F.size("diff") - F.col("least") + 1)["g"]).alias("g"))
         tokens = materialise(tokens, "short")
         for _ in range(2):  # the members of a new group may need more than those of the old
             tokens = tokens.join(_open(tokens).select("grp", "g", "near", "near_odd"), ["grp", "g"]).filter(F.col("live") >= least(F.col("near"), F.col("near_odd"))).drop("near", "near_odd")
+            stale.append(tokens)
             tokens = materialise(tokens, "short")
         more = _open(tokens).groupBy("k", "s", "t").agg(F.min(F.struct("grp", "g")).alias("m"))  # one of those with the same members
         if seen is not None:
@@ -300,6 +346,7 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         seen = more.drop("m") if seen is None else seen.union(more.drop("m"))
         groups = tokens.join(more.select("m.grp", "m.g"), ["grp", "g"]).select(F.xxhash64("grp", "g", F.lit(level)).alias("grp"), "cls", "n", "colour")
         groups = materialise(groups, "groups")
+        discard(*stale, tokens, pivots, differ, g)
 
     top = classes.select("c1", "c2", "cls", "rep").join(colours.withColumnRenamed("cls", "__c"), F.col("cls") == F.col("__c"), "left")
     top = materialise(top.select("c1", "c2", "rep", F.coalesce("colour", "cls").alias("root")), "roots")
@@ -326,7 +373,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct n-word shingles (words `[^ \\t-\\r]+`, A-Z
     lower-cased). 1. Every text is reduced to a class of equal sets, with a name of 128 bits, and the keys of its SuperMinHash bands.
     Classes that share a band are candidates. 2. Each bucket belongs to the member with the most company over all its buckets; all
-    buckets of one head are one group. Groups of SMALL members at most are compared pair by pair on full sets. 3. A larger group gets a
+    buckets of one head are one group. Groups of MEET members at most are compared on full sets, in one task. 3. A larger group gets a
     pivot P, the hashes that most of a bounded sample of its members have, and each member's full set is reduced to its difference from P.
     Where A lacks a hashes of P and B lacks b, |A & B| = |P| - a - b + the number of hashes in both differences. So without any of these
     last, links depend on one number a member alone, and the member nearest to P is linked with all that have a link of that kind: these
@@ -334,7 +381,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     members that share enough share one in short prefixes of any order. Members that share none there are done. Of the others, hashes that
     no link can need are left out and the rarest come first. Members that share one in prefixes of that order, if not all in one
     component yet, are a new group of half the size or so, and go to 2; groups of the same members are one.
-    A group of k members costs k comparisons with its pivot; members are never joined with members.
+    A group of k members costs k comparisons with its pivot; only in groups of bounded size are members compared with members.
 
     A text with fewer than n words has its whole sequence as its one shingle; a null text or one without words has none and is linked
     with nothing. A null id is a document that takes no part: component_id is null and kept is true. Rows with the same id are
@@ -351,17 +398,19 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     Decided by row, that is by id and text: rows that share an id stay unless their own texts are near copies. Of rows with the
     same id and text that are a group's best, one stays. Rows with a null id, or without a word, all stay. All columns are kept.
     """
-    rows = materialise(_rows(docs, n, percent, id_col, text_col).filter("root is not null").groupBy("root", "id", "tag").agg(F.count(F.lit(1)).alias("times")), "rows")
+    s = Shelter(docs)
+    i, t = s(id_col), s(text_col)
+    rows = materialise(_rows(s.df, n, percent, i, t).filter("root is not null").groupBy("root", "id", "tag").agg(F.count(F.lit(1)).alias("times")), "rows")
     best = rows.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct("id", "tag")).alias("best"))
     marked = rows.join(best, F.col("root") == F.col("__root")).withColumn("kept", F.struct("id", "tag") == F.col("best"))
-    marked = materialise(marked.filter("not kept or times > 1").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "kept"), "gone")
-    mine = (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__tag"))
-    out = docs.join(marked, mine, "left_anti")
+    marked = materialise(marked.filter("not kept or times > 1").select("id", "tag", "kept"), "gone")
+    mine = (F.col(i) == F.col("id")) & (F.xxhash64(F.col(t).cast("string")) == F.col("tag"))
+    out = s.df.join(marked, mine, "left_anti")
     if marked.filter("kept").limit(1).count():
-        again = docs.join(marked.filter("kept"), mine)
-        again = again.groupBy("__id", "__tag").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+        again = s.df.join(marked.filter("kept"), mine)
+        again = again.groupBy("id", "tag").agg(F.first(F.struct(*s.df.columns)).alias("row")).select("row.*")
         out = out.unionByName(again)
-    return out
+    return s.back(out)
 
 
 def op5_minhash(spark, sf_dir):
