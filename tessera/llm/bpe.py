@@ -7,7 +7,7 @@ import numpy as np
 from tessera.llm.common import span_hashes, worker_cache
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
-_SLOTS, _POOL = 1 << 20, 1 << 24
+_SLOTS, _POOL = 1 << 20, 1 << 22
 _ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
@@ -63,15 +63,16 @@ class Encoder:
 
     def __init__(self, name: str):
         """name: a vocabulary in the tokenizers' format; ranks of the same vocabulary lie beside it as .tiktoken."""
+        import json
+
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.name, self.tokenizer = name, None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb"))}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.small = self.tokenizer.get_vocab_size() <= 65536
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.small = self.is_small(name)
+        self.special = [t["content"] for t in json.load(open(public_tokenizers.path(name), encoding="utf-8"))["added_tokens"]]
         self.clear()
 
     @staticmethod
@@ -84,10 +85,21 @@ class Encoder:
     @staticmethod
     def is_small(name: str) -> bool:
         """Whether all ids fit in 16 bits."""
+        import json
+
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(public_tokenizers.path(name)).get_vocab_size() <= 65536
+        made = json.load(open(public_tokenizers.path(name), encoding="utf-8"))
+        return max([*made["model"]["vocab"].values(), *[t["id"] for t in made["added_tokens"]]]) < 65536
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text with strings of special tokens, by the tokenizer itself."""
+        if self.tokenizer is None:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(public_tokenizers.path(self.name))
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self):
         self.keys, self.at, self.size = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
@@ -104,7 +116,7 @@ class Encoder:
         """All ids one after another, and where each text's start (one more than texts)."""
         odd = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
         if odd:  # the strings of special tokens
-            own = {k: np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.int32) for k in odd}
+            own = {k: np.array(self.whole(texts[k]), np.int32) for k in odd}
             ids, at = self.encode(["" if k in own else t for k, t in enumerate(texts)])
             parts = [own[k] if k in own else ids[at[k] : at[k + 1]] for k in range(len(texts))]
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])

@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, one of our own in a local session; on a
+    cluster, whose executors could not see it, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -33,7 +36,19 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing will read again. Others are left alone."""
+    for t in tables:
+        path = getattr(t, "_tessera_path", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_columns(df: DataFrame, cols: dict) -> DataFrame:
@@ -41,6 +56,24 @@ def with_columns(df: DataFrame, cols: dict) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in cols}], *[v.alias(k) for k, v in cols.items()])
 
 
+class Shelter:
+    """The table with its columns as c0, c1, ..., so that no name of an operator's own can clash with one of the input's; and back."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{k}" for k in range(len(self.names))])
+
+    def __call__(self, name: str) -> str:
+        """The name here of an input column: the one so spelled, or the first that differs in case alone."""
+        low = [n.lower() for n in self.names]
+        return f"c{self.names.index(name) if name in self.names else low.index(name.lower())}"
+
+    def back(self, out: DataFrame, *added: str) -> DataFrame:
+        """out under the input's names, and the added columns in place of those that are named so in any case."""
+        new = {a.lower() for a in added}
+        return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(self.names) if n.lower() not in new], *added)
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

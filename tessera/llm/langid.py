@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams."""
 
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,15 @@ from tessera.llm.common import mix, slices, table, text_buffers, with_columns, w
 BUCKETS, ORDERS, ALPHA = 1 << 16, (1, 2, 3), 0.5
 #: Labelled documents of each language that the classifier is fitted on, about: a sample by hash of the id.
 SAMPLE_ROWS = 4000
-_TASKS = 8
+#: Languages at most, which bounds the model that is broadcast to 256 MB; more are refused.
+MOST_LANGS = 1000
+#: Bytes of text that are worked on at a time: a code point has several 8-byte numbers and a probability for each language.
+_TASKS, _SLICE = 8, 1 << 18
 
 
-@dataclass
-class Model:
+class Model(NamedTuple):
+    """Sent to workers as a plain tuple, for they may not have this package."""
+
     langs: list[str]
     weight: np.ndarray  # log-probabilities, buckets by languages
     prior: np.ndarray
@@ -37,11 +41,34 @@ def _codes() -> np.ndarray:
     return cache["letters"]
 
 
-def _grams(text: bytes, offs: np.ndarray):
-    """Codes, each text's first code (one more than texts), and for each order the buckets and which n-grams lie in one text."""
+def _segments(data: np.ndarray, offs: np.ndarray):
+    """Runs of whole texts of _SLICE bytes at most, and stretches of longer texts: texts [i, j), bytes [a, e), and how many characters at
+    the start belong to the stretch before, whose n-grams go over the border."""
+    for i, j in slices(offs, _SLICE):
+        a, end = int(offs[i]), int(offs[j])
+        if j - i > 1 or end - a <= _SLICE:
+            yield i, j, a, end, 0
+            continue
+        over = 0
+        while a < end:
+            e = min(end, a + _SLICE)
+            while e < end and data[e] & 0xC0 == 0x80:
+                e -= 1
+            yield i, j, a, e, over
+            if e == end:
+                break
+            a = e
+            for over in range(1, max(ORDERS)):  # so many characters back
+                a -= 1
+                while data[a] & 0xC0 == 0x80:
+                    a -= 1
+
+
+def _grams(text: bytes, offs: np.ndarray, over: int = 0):
+    """Codes, each text's first code (one more than texts), and for each order the buckets and which n-grams count: those that lie in one
+    text and end after the first `over` characters."""
     raw = np.frombuffer(text, np.uint8)
-    lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    at = lead[offs]
+    at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offs]
     codes = _codes()[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)].astype(np.uint64)
     place = np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))
     grams, h = [], codes
@@ -50,7 +77,7 @@ def _grams(text: bytes, offs: np.ndarray):
             h = h.copy()
             h[n - 1 :] = h[n - 1 :] * np.uint64(0x9E3779B97F4A7C15) + codes[: len(codes) - n + 1]
         if n in ORDERS:
-            grams.append(((mix(h + np.uint64(n << 56)) >> np.uint64(48)).astype(np.int64), place >= n - 1))
+            grams.append(((mix(h + np.uint64(n << 56)) >> np.uint64(48)).astype(np.int64), place >= max(n - 1, over)))
     return codes, at, grams
 
 
@@ -60,9 +87,8 @@ def _count(langs: list[str]):
         for b in batches:
             data, offs, _ = text_buffers(b.column(1))
             lang = np.array([rank[x] for x in b.column(0).to_pylist()], np.int64)
-            for i, j in slices(offs):
-                own = offs[i : j + 1] - offs[i]
-                _, at, grams = _grams(data[offs[i] : offs[j]].tobytes(), own)
+            for i, j, a, e, over in _segments(data, offs):
+                _, at, grams = _grams(data[a:e].tobytes(), np.clip(offs[i : j + 1], a, e) - a, over)
                 who = np.repeat(lang[i:j], np.diff(at))
                 for bucket, ok in grams:
                     counts += np.bincount((who * BUCKETS + bucket)[ok], minlength=counts.size).reshape(counts.shape)
@@ -78,8 +104,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages by BUCKETS counts.
     """
     seen = docs.filter(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
-    share = {r[0]: r[1] for r in seen.groupBy(F.col(f"`{lang_col}`").cast("string")).count().collect()}
+    share = {r[0]: r[1] for r in seen.groupBy(F.col(f"`{lang_col}`").cast("string")).count().limit(MOST_LANGS + 1).collect()}
     langs = sorted(share)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     limit = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(rows / share[k]))])
@@ -94,39 +122,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def score_texts(arr, model: Model) -> tuple[list[str], np.ndarray]:
     """The best language of each text and its posterior probability; `und` and 0 for a text that is null or has no letter."""
+    langs, weight, prior = model
     data, offs, _ = text_buffers(arr)
-    best, prob = [], []
-    for i, j in slices(offs):
-        texts = j - i
-        if offs[i] == offs[j] or not model.langs:
-            best += ["und"] * texts
-            prob.append(np.zeros(texts))
+    total, letters = np.tile(prior, (len(arr), 1)), np.zeros(len(arr), np.int64)
+    if not len(arr) or not langs:
+        return ["und"] * len(arr), np.zeros(len(arr))
+    for i, j, a, e, over in _segments(data, offs):
+        if a == e:
             continue
-        codes, at, grams = _grams(data[offs[i] : offs[j]].tobytes(), offs[i : j + 1] - offs[i])
+        codes, at, grams = _grams(data[a:e].tobytes(), np.clip(offs[i : j + 1], a, e) - a, over)
         some = np.flatnonzero(np.diff(at))
-        total = np.tile(model.prior, (texts, 1))
         for bucket, ok in grams:
-            w = model.weight[bucket]
+            w = weight[bucket]
             w[~ok] = 0
-            total[some] += np.add.reduceat(w, at[:-1][some], axis=0, dtype=np.float64)
-        letters = np.zeros(texts, np.int64)
-        letters[some] = np.add.reduceat(codes != 32, at[:-1][some], dtype=np.int64)
-        top = total.argmax(axis=1)
-        p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        p[letters == 0] = 0
-        best += [model.langs[k] if n else "und" for k, n in zip(top.tolist(), letters.tolist(), strict=True)]
-        prob.append(p)
-    return best, np.concatenate(prob) if prob else np.zeros(0)
+            total[i + some] += np.add.reduceat(w, at[:-1][some], axis=0, dtype=np.float64)
+        letters[i + some] += np.add.reduceat(codes != 32, at[:-1][some], dtype=np.int64)
+    top = total.argmax(axis=1)
+    p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    p[letters == 0] = 0
+    return [langs[k] if n else "und" for k, n in zip(top.tolist(), letters.tolist(), strict=True)], p
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to each row, from the whole text alone; the model is broadcast (languages by BUCKETS floats).
 
     A null text, an empty one and one without a letter is `und` with score 0. An empty table gives an empty result. Input columns
-    named lang_pred or score are replaced. keep: the columns that go along, all by default.
+    named lang_pred or score, in any case, are replaced. keep: the columns that go along, all by default.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     named = {c: f"c{k}" for k, c in enumerate(keep)}
     d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
