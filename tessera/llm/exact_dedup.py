@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, with_columns
+from tessera.llm.common import Shelter, materialise, table
 
 #: Slots of one block of the filter, hashes that it gets on average, and slots that a hash sets (all in its own block).
 BLOCK_SLOTS, BLOCK_HASHES, PROBES = 1 << 13, 1 << 10, 4
@@ -75,31 +75,34 @@ def _tester(sent, blocks: int):
     return repeated
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha_col: str | None = None) -> DataFrame:
     """Adds text_sha256, keep_id, group_size and kept to each row; of equal texts the row with the largest id is kept.
 
     First pass: each task gathers the 64-bit hashes of its own texts by block of a counting Bloom filter; a block's hashes meet in one
     task (about BLOCK_HASHES of them, and two at most from each task for a text repeated without end), which keeps the slots that were
-    set twice. Second pass: a row is shuffled only if all its slots are among these. All others, and all texts, stay where they are.
-    What is shuffled is grouped by the full SHA-256, so false positives cost time and change nothing.
+    set twice. Second pass: a row is shuffled only if all its slots are among these; all others stay where they are. What is shuffled is
+    grouped by the full SHA-256, so false positives cost time and change nothing. sha_col: a column that has the text's SHA-256
+    already, in lowercase hex; the text is then not read.
 
     A null text counts as empty. A null id is smaller than all others; if all ids of a group are null, keep_id is null and one row
     is kept. Of rows with the same text and the same largest id, one is kept. An empty table gives an empty result. Input columns
-    named as added ones are replaced.
+    named as added ones, in any case, are replaced.
     """
-    spark, own = docs.sparkSession, {"text_sha256", "keep_id", "group_size", "kept"}
-    i = f"`{id_col}`"
-    sha = F.sha2(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8"), 256)
-    kind = dict(docs.dtypes)[id_col]
-    rows = with_columns(docs, {"text_sha256": sha})
+    s = Shelter(docs)
+    i = s(id_col)
+    sha = F.col(s(sha_col)) if sha_col else F.sha2(F.encode(F.coalesce(F.col(s(text_col)), F.lit("")), "UTF-8"), 256)
+    added = ("keep_id", "group_size", "kept", "text_sha256")
+    # ties of text and id are broken by the other columns
+    order = [f"c{k}" for k, (c, t) in enumerate(docs.dtypes) if "map<" not in t and "variant" not in t and c.lower() not in added and f"c{k}" not in (i, s(sha_col or text_col))]
+    spark, kind = docs.sparkSession, dict(s.df.dtypes)[i]
     n = docs.count()
     slices = max(1, -(-n // (BLOCK_HASHES * SLICE_BLOCKS)))
     blocks = max(1, min(SLICE_BLOCKS, -(-n // (BLOCK_HASHES * slices))))
-    rows = rows.withColumn("__h", F.xxhash64("text_sha256"))
+    rows = s.df.withColumn("text_sha256", sha).withColumn("h", F.xxhash64("text_sha256"))
     out = None
     for k in range(slices):
-        part = rows if slices == 1 else rows.filter(F.pmod(F.xxhash64("__h"), F.lit(slices)) == k)
-        spread = part.select("__h").mapInArrow(_gather(blocks), "block long, hashes binary")
+        part = rows if slices == 1 else rows.filter(F.pmod(F.xxhash64("h"), F.lit(slices)) == k)
+        spread = part.select("h").mapInArrow(_gather(blocks), "block long, hashes binary")
         made = spread.groupBy("block").applyInPandas(_merge, "block long, bits binary").toArrow()
         bits = np.zeros((blocks, BLOCK_SLOTS // 8), np.uint8)
         for b, x in zip(made.column(0).to_numpy(), made.column(1).to_pylist(), strict=True):
@@ -107,29 +110,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         sent = spark.sparkContext.broadcast(bits)
 
         repeated = _tester(sent, blocks)
-        marked = part.withColumn("__hit", repeated("__h"))
-        plain = {"keep_id": F.col(i), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
-        alone = with_columns(marked.filter(~F.col("__hit")), plain)
-        may = marked.filter("__hit")
-        groups = may.groupBy(F.col("text_sha256").alias("__g"), F.col(i).alias("__i")).agg(F.count(F.lit(1)).alias("__c"))
-        groups = groups.groupBy("__g").agg(F.max("__i").alias("__keep"), F.sum("__c").alias("__size"), F.coalesce(F.max_by("__c", "__i"), F.sum("__c")).alias("__top"))
-        joined = may.join(groups, F.col("text_sha256") == F.col("__g"))
-        joined = with_columns(joined, {"keep_id": F.col("__keep").cast(kind), "group_size": F.col("__size").cast("long"), "kept": F.col(i).eqNullSafe(F.col("__keep"))})
-        top = F.col("kept") & (F.col("__top") > 1)
+        marked = part.withColumn("hit", repeated("h"))
+        alone = marked.filter(~F.col("hit")).withColumns({"keep_id": F.col(i), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+        may = marked.filter("hit")
+        groups = may.groupBy(F.col("text_sha256").alias("g"), F.col(i).alias("i")).agg(F.count(F.lit(1)).alias("c"))
+        groups = groups.groupBy("g").agg(F.max("i").alias("keep"), F.sum("c").alias("size"), F.coalesce(F.max_by("c", "i"), F.sum("c")).alias("top"))
+        joined = may.join(groups, F.col("text_sha256") == F.col("g")).withColumns({"keep_id": F.col("keep").cast(kind), "group_size": F.col("size").cast("long"), "kept": F.col(i).eqNullSafe(F.col("keep"))})
+        top = F.col("kept") & (F.col("top") > 1)
         # Spark runs the window over the few rows that share text and id with the kept one
-        ties = joined.filter(top)
-        order = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-        ties = ties.withColumn("kept", F.row_number().over(Window.partitionBy("__g").orderBy(*[f"`{c}`" for c in order if c not in own])) == 1)
-        joined = joined.filter(~top).unionByName(ties)
-        both = alone.unionByName(joined.drop("__g", "__keep", "__size", "__top"))
+        place = F.row_number().over(Window.partitionBy("g").orderBy(*order, F.lit(0)))
+        ties = joined.filter(top).withColumn("kept", place == 1)
+        both = alone.unionByName(joined.filter(~top).unionByName(ties).drop("g", "keep", "size", "top"))
         out = both if out is None else out.unionByName(both)
-    first = [c for c in docs.columns if c not in own]
-    return out.select(*[f"`{c}`" for c in first], "keep_id", "group_size", "kept", "text_sha256")
+    return s.back(out, *added)
 
 
 def op8_exact_dedup(spark, sf_dir):
-    """Groups of equal texts among all documents, one row a document."""
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """Groups of equal texts among all documents, one row a document. Texts are read and hashed once, into a table of ids and hashes."""
+    sha = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
+    keys = materialise(table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha")), "keys")
+    return exact_dedup(keys, sha_col="sha").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP8_SQL = """
