@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, table
 
 #: Ratio of lengths within a bucket; vectors of one searched part and queries of one block, about; longest vectors that give first thresholds.
-RATIO, PART, BLOCK, SEEDS = 1.05, 1024, 1024, 1024
+RATIO, PART, BLOCK, SEEDS = 1.05, 8192, 8192, 1024
 #: From this local cosine threshold on, coordinates prune; how many of the largest are looked at.
 COSINE, FOCUS = 0.6, 3
 _EXACT = 2.0**20
+#: Queries whose products with a part are held at a time.
+_ROWS = 256
 
 
 def quantise(x: np.ndarray, scale: float) -> np.ndarray:
@@ -87,9 +89,11 @@ def search(q, theta, qid, c, cid, k: int, found):
         with np.errstate(divide="ignore", invalid="ignore"):
             least = np.where(qn[rest] > 0, theta[rest] / qn[rest], -np.inf).min() * (1 - 1e-9)
         at = np.flatnonzero(length >= least)
-        scores = products(q[rest], c[at])
-        for r, i in enumerate(rest.tolist()):
-            best(i, at, scores[r])
+        for a in range(0, len(rest), _ROWS):
+            some = rest[a : a + _ROWS]
+            scores = products(q[some], c[at])
+            for r, i in enumerate(some.tolist()):
+                best(i, at, scores[r])
 
 
 def _thresholds(seeds, k: int, scale: float):
@@ -107,7 +111,7 @@ def _thresholds(seeds, k: int, scale: float):
                     s = products(quantise(_matrix(b.column(1).take(pa.array(rows)), dim), scale), sv).astype(np.float64)
                     s[ids[rows][:, None] == sid[None, :]] = -np.inf
                     own[rows] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], ["id", "vec", "dim", "theta"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], ["id", "vec", "dim", "len", "theta"])
 
     return run
 
@@ -134,21 +138,24 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
     """query_id, rank, vec_id, score: for each row where is_query holds, the k other rows of the highest inner product of floor(scale * x).
 
     1. The SEEDS longest vectors (a bounded broadcast) give each query a first threshold: its k-th best product among them. 2. Vectors are
-    grouped by length; a bucket is dealt by hash into parts of about PART rows, queries into blocks of about BLOCK, and every part meets
-    every block once, in a task of its own; search() prunes there. 3. Each meeting gives k rows a query at most, none under its threshold.
+    grouped by length; a bucket is dealt by hash into parts of about PART rows, queries into blocks of about BLOCK. A query is sent only to
+    buckets whose longest vector can reach its threshold, and a part only to blocks with such a query. Each part meets each such block
+    once, in a task of its own; search() prunes there. 3. Each meeting gives k rows a query at most, none under its threshold.
 
     Rows with a null id, a null vector or a null, NaN or infinite component take no part. Only vectors of the same dimension are compared.
-    Candidates with the query's own id are left out; other rows that repeat are candidates each for itself, and rows that repeat as
-    queries are one query. Ties go to the smaller id. Fewer than k candidates: all of them. An empty table gives an empty result.
+    Candidates with the query's own id are left out; other rows that repeat are candidates each for itself. An id is one query: where
+    its rows differ, that of the fewest and then least components asks. Ties go to the smaller id. Fewer than k candidates: all of them.
+    An empty table gives an empty result. Other columns are not read.
     """
-    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"), is_query.alias("__q"))
+    own = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast(own).alias("vec"), is_query.alias("q"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     v = v.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine).withColumn("dim", F.size("vec"))
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double")))
+    whole = lambda x: F.floor(x.cast("double") * scale).cast("double")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + whole(x) * whole(x)))
     level = F.when(F.col("len") > 0, F.floor(F.log("len") / math.log(RATIO))).otherwise(F.lit(-(2**31))).cast("long")
     v = materialise(v.withColumn("len", length).withColumn("level", level), "vectors")
-    n = v.groupBy("dim", "level").agg(F.count(F.lit(1)).alias("__n"))
-    parts = v.join(n, ["dim", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / PART))).select("id", "vec", "dim", "level", "part")
+    levels = materialise(v.groupBy("dim", "level").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.max("len").alias("longest")), "levels")
 
     longest: dict[int, tuple] = {}
     for r in v.orderBy(F.desc("len"), "id").select("id", "vec", "dim").limit(SEEDS).collect():
@@ -156,13 +163,15 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
         longest[r["dim"]][0].append(r["id"])
         longest[r["dim"]][1].append(r["vec"])
     seeds = v.sparkSession.sparkContext.broadcast({d: (np.array(i), quantise(np.array(x).reshape(len(i), d), scale)) for d, (i, x) in longest.items()})
-    asked = v.filter("__q").select("id", "vec", "dim").distinct()
-    asked = asked.mapInArrow(_thresholds(seeds, k, scale), "id long, vec array<double>, dim int, theta double")
-    blocks = v.filter("__q").groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__blocks"))
-    asked = materialise(asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("__blocks"))).drop("__blocks"), "queries")
-    places = parts.select("dim", "level", "part").distinct()
-    left = asked.join(places, "dim").select("id", "vec", "dim", "theta", "level", "part", "block")
-    right = parts.join(asked.select("dim", "block").distinct(), "dim").select("id", "vec", "dim", "level", "part", "block")
+    asked = v.filter("q").groupBy("id").agg(F.min(F.struct("dim", "vec", "len")).alias("m")).select("id", "m.vec", "m.dim", "m.len")
+    asked = asked.mapInArrow(_thresholds(seeds, k, scale), f"id long, vec {own}, dim int, len double, theta double")
+    blocks = v.filter("q").groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    asked = materialise(asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks"))).drop("blocks"), "queries")
+    reach = (asked["dim"] == levels["dim"]) & ((F.col("theta") == F.lit(float("-inf"))) | (F.col("theta") <= F.col("len") * F.col("longest") + F.abs("theta") * 1e-9))
+    sent = asked.join(levels, reach).select("id", "vec", asked["dim"], "theta", "level", "block", "parts")
+    needed = sent.select("dim", "level", "block", "parts").distinct()
+    left = sent.select("id", "vec", "dim", "theta", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
+    right = v.join(needed, ["dim", "level"]).select("id", "vec", "dim", "level", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "block")
     key = ["dim", "level", "part", "block"]
     left, right = (t.toDF(*t.columns).groupBy(*key) for t in (left, right))
     met = left.cogroup(right).applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
