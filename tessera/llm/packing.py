@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from tessera.llm.bpe import Encoder
 from tessera.llm.common import materialise, slices, table, text_buffers, worker_cache
@@ -19,24 +18,26 @@ K1, B = 1.2, 0.75
 
 def _pieces(vocabulary: str, window: int, end: int, shards: int, with_ids: bool):
     def run(batches):
-        encoder, pid, row = Encoder.get(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, seen = Encoder.get(vocabulary), {}
         for b in batches:
             data, offs, _ = text_buffers(b.column(1))
-            for i, j in slices(offs):
+            tags = b.column(2).to_pylist()
+            for i, j in slices(offs, 1 << 19):
                 texts = [bytes(data[offs[k] : offs[k + 1]]).decode() for k in range(i, j)]
                 ids, at = encoder.encode(texts)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], end).astype("<u4")
-                    shard = (pid * 7919 + row) % shards
-                    row += 1
+                    tag = tags[i + k]
+                    again = seen[tag] = seen.get(tag, -1) + 1  # rows that repeat are dealt to shards in turn
+                    shard = (tag + again) % shards
                     for s in range(0, len(own), window):
                         piece = own[s : s + window]
                         full = len(piece) == window
                         raw = None if full and not with_ids else piece.astype("<u2").tobytes() if end < 65536 and encoder.small else piece.tobytes()
-                        for c, v in zip(out, (i + k, shard, s, len(piece), zlib.crc32(piece.tobytes()) if full else 0, len(own), raw), strict=True):
+                        for c, v in zip(out, (i + k, shard, s, len(piece), zlib.crc32(piece.tobytes()) if full else 0, len(own), raw, again), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int32()), b.column(0).take(pa.array(out[0], pa.int64())), *[pa.array(c, pa.int64()) for c in out[2:6]], pa.array(out[6], pa.binary())], ["shard", "id", "start", "length", "crc", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int32()), b.column(0).take(pa.array(out[0], pa.int64())), *[pa.array(c, pa.int64()) for c in out[2:6]], pa.array(out[6], pa.binary()), pa.array(out[7], pa.int64())], ["shard", "id", "start", "length", "crc", "doc_tokens", "ids", "again"])
 
     return run
 
@@ -104,8 +105,8 @@ def by_content(pieces: DataFrame, window: int, small: bool) -> DataFrame:
     for r in sizes:
         at.append((r["shard"], start, r["count"]))
         start += r["count"]
-    dealt = led.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(led.sparkSession.createDataFrame(at, "__lead int, __start long, __size long")), F.col("shard") == F.col("__lead"), "left")
-    place = ((F.col("__start") + F.pmod(F.xxhash64("__row"), F.col("__size"))) / SHARD_ROWS).cast("int")
+    dealt = led.join(F.broadcast(led.sparkSession.createDataFrame(at, "__lead int, __start long, __size long")), F.col("shard") == F.col("__lead"), "left")
+    place = ((F.col("__start") + F.pmod(F.xxhash64("id", "ids", "again"), F.col("__size"))) / SHARD_ROWS).cast("int")
     return dealt.select(F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(place).cast("int").alias("shard"), *[c for c in led.columns if c != "shard"])
 
 
@@ -192,7 +193,7 @@ def fill_windows(docs: list[np.ndarray], window: int):
 
 def _fill(window: int, small: bool, with_ids: bool):
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        t = t.combine_chunks().sort_by([("id", "ascending"), ("start", "ascending"), ("crc", "ascending"), ("ids", "ascending")])
         shard, ids, doc, start, tokens = t.column("shard")[0].as_py(), t.column("ids"), t.column("id"), t.column("start").to_numpy(), t.column("doc_tokens").to_numpy()
         length, crc = t.column("length").to_numpy(), t.column("crc").to_numpy()
         full = length == window
@@ -236,14 +237,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     it; a term that fills many shards is dealt at random over them, so no key, text or null can make a shard large. Texts are encoded
     once; ids of full windows are not shuffled (unless asked for).
 
+    Shards are dealt by id and text, so the result doesn't depend on how the table is split, but for which of equal rows goes where.
+
     A null text is empty and has the end id alone. Rows that repeat are packed each for itself; a null id stays null. An empty table
     gives an empty result. Other columns are not read.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    d = d.withColumn("tag", F.xxhash64("id", "text"))
     shards = max(1, -(-docs.count() // SHARD_ROWS))
     small = Encoder.is_small(vocabulary) and end < 65536
     kind = dict(d.dtypes)["id"]
-    pieces = d.mapInArrow(_pieces(vocabulary, window, end, shards, with_ids), f"shard int, id {kind}, start long, length long, crc long, doc_tokens long, ids binary")
+    pieces = d.mapInArrow(_pieces(vocabulary, window, end, shards, with_ids), f"shard int, id {kind}, start long, length long, crc long, doc_tokens long, ids binary, again long")
     pieces = by_content(pieces, window, small) if shards > 1 else pieces
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return pieces.groupBy("shard").applyInArrow(_fill(window, small, with_ids), schema).withColumnRenamed("id", id_col)
