@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialise, table, with_columns
+from tessera.llm.common import WORD, Shelter, discard, materialise, table
 
-#: Newton steps on the dual, and rounds that pass on what rounding has left over.
-NEWTON_STEPS, ROUNDS = 10, 6
+#: Newton steps on the dual at most (they end when every source is within half a word, or its bracket within NARROW), and rounds that pass on
+#: what rounding has left over.
+NEWTON_STEPS, NARROW, ROUNDS = 80, 1e-9, 6
 
 
 def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -56,11 +57,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Per-source state stays a DataFrame; nothing is collected.
 
     A null text has no words, and a document without words has size 0 and one copy. Null sources are one source. Rows that agree in id
-    and size get the same copies. Reruns agree. An empty table gives an empty result. Input columns named as added ones are replaced.
+    and size get the same copies. Reruns agree. An empty table gives an empty result. Input columns named as added ones, in any
+    case, are replaced.
     """
-    n = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = with_columns(docs, {"size": n})
-    small = materialise(sized.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col("size").alias("__size")), "sizes")
+    s = Shelter(docs)
+    n = F.coalesce(F.regexp_count(F.col(s(text_col)), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = s.df.withColumn("__size", n)
+    own = F.col(s(source_col)).cast("string")
+    small = materialise(sized.select(F.col(s(id_col)).alias("__id"), own.alias("source"), "__size"), "sizes")
     per = small.groupBy("source").agg(F.sum("__size").alias("source_size"), F.avg("__size").alias("mean"))
     goal = source_targets(per.select("source", "source_size"), weights, share, most)
     state = goal.join(per.select(F.col("source").alias("__s"), F.greatest(F.coalesce("mean", F.lit(0.0)), F.lit(1e-9)).alias("mean")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -72,16 +76,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def after(st, agg):
         return st.join(agg.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
+    def kept(old, st):
+        new = materialise(st, "state")
+        discard(old)
+        return new
+
     for _ in range(NEWTON_STEPS):
         z = F.col("__size") / F.col("mean")
         raw = F.exp(F.least(F.lit(50.0), F.col("lam") * z))
         sums = joined(state).groupBy("source").agg(F.sum(F.least(F.lit(float(most)), raw) * F.col("__size")).alias("__f"), F.sum(F.when(raw < most, raw * z * F.col("__size")).otherwise(0.0)).alias("__d"))
-        st = after(state, sums)
+        st = after(state.drop("near"), sums)
         st = st.withColumn("lo", F.when(F.col("__f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("__f") >= F.col("target"), F.col("lam")).otherwise(F.col("hi")))
         step = F.col("lam") + F.try_divide(F.col("target") - F.col("__f"), F.when(F.col("__d") > 0, F.col("__d")))
         middle = F.when(F.col("hi") > 100, F.greatest(F.lit(1.0), F.col("lo") * 3 + 1)).when(F.col("lo") < -100, F.least(F.lit(-1.0), F.col("hi") * 3 - 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
         safe = F.when(step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise(middle)
-        state = materialise(st.withColumn("lam", F.round(F.when(F.abs(F.col("__f") - F.col("target")) < 0.5, F.col("lam")).otherwise(safe), 12)).drop("__f", "__d"), "state")
+        near = (F.abs(F.col("__f") - F.col("target")) < 0.5) | (F.col("hi") - F.col("lo") < NARROW)
+        st = st.withColumn("near", F.coalesce(near, F.lit(True))).withColumn("lam", F.round(F.when(F.col("near"), F.col("lam")).otherwise(safe), 12)).drop("__f", "__d")
+        state = kept(state, st)
+        if not state.filter(~F.col("near")).limit(1).count():
+            break
     def undo(st, k, gap):  # takes round k back where it has made the gap larger
         last = F.col("steps")[k]
         worse = F.abs(gap) > F.abs(last["gap"])
@@ -93,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         st = after(state, taken)
         gap = F.coalesce(F.col("target") - F.col("__taken"), F.lit(0.0))
         st = undo(st, k - 1, gap) if k else st.withColumn("__gap", gap)
-        st = materialise(st.drop("__taken"), "state")
+        st = kept(state, st.drop("__taken"))
         if k == ROUNDS:
             state = st.drop("__gap")
             break
@@ -101,21 +114,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         room = joined(st).withColumn("__c", _copies(most, seed)).groupBy("source").agg(F.sum(F.when(can, F.col("__size")).otherwise(0)).alias("__room"))
         p = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.abs("__gap"), F.when(F.col("__room") > 0, F.col("__room")))), F.lit(0.0))
         step = F.struct(F.col("__gap").cast("double").alias("gap"), p.alias("p"), F.lit(k).alias("k"))
-        state = materialise(after(st, room).withColumn("steps", F.concat("steps", F.array(step))).drop("__gap", "__room"), "state")
-    final = state.select(F.col("source").alias("__s"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"), "lam", "mean", "steps")
-    final = final.select("__s", F.struct("__source_size", "__target", "lam", "mean", "steps").alias("__state"))
-    out = sized.join(final, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")), "left")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    out = out.select(*[F.col(f"`{c}`") for c in keep], F.col("size"), F.col("__state"), F.col(f"`{id_col}`").alias("__id"), F.col("size").alias("__size"))
-    for c in ("lam", "mean", "steps"):
-        if c in keep:  # a clashing input column gives way while the copies are computed
-            out = out.withColumnRenamed(c, f"__in_{c}")
-    out = out.select("*", F.col("__state.lam").alias("lam"), F.col("__state.mean").alias("mean"), F.col("__state.steps").alias("steps"))
-    out = out.withColumn("copies", _copies(most, seed)).withColumn("source_size", F.col("__state.__source_size")).withColumn("target", F.col("__state.__target")).drop("lam", "mean", "steps")
-    for c in ("lam", "mean", "steps"):
-        if c in keep:
-            out = out.withColumnRenamed(f"__in_{c}", c)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", "copies")
+        state = kept(st, after(st, room).withColumn("steps", F.concat("steps", F.array(step))).drop("__gap", "__room"))
+    final = state.select(F.col("source").alias("__s"), F.col("source_size").cast("long").alias("source_size"), "target", "lam", "mean", "steps")
+    out = sized.withColumn("__id", F.col(s(id_col))).join(final, own.eqNullSafe(F.col("__s")), "left")
+    out = out.withColumn("copies", _copies(most, seed)).withColumnRenamed("__size", "size")
+    return s.back(out, "size", "source_size", "target", "copies")
 
 
 def op6_mixing(spark, sf_dir):
