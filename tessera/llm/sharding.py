@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table, with_columns
+from tessera.llm.common import Shelter, materialise, table
 
 #: Rows that one sorted bucket holds on average; it bounds what a task must sort together.
 BUCKET_ROWS = 2048
@@ -21,17 +21,19 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str =
     A source that holds a third of all rows is spread over as many buckets as it needs.
 
     Null sources are one source. Rows equal in all columns get distinct slots. An empty table gives an empty result.
-    Input columns named shard or slot are replaced.
+    Input columns named shard or slot, in any case, are replaced.
     """
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), 11) * F.lit(2.0**-53)
-    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (id_col, source_col) and "map<" not in kind and "variant" not in kind]
-    rows = with_columns(docs, {"__u": unit, "__tie": F.xxhash64(*rest) if rest else F.lit(0).cast("long")})
-    src = F.col(f"`{source_col}`")
+    s = Shelter(docs)
+    docs, id_col, source_col = s.df, s(id_col), s(source_col)
+    src = F.col(source_col)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53)
+    rest = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, source_col) and "map<" not in kind and "variant" not in kind]
+    rows = docs.withColumns({"__u": unit, "__tie": F.xxhash64(*rest) if rest else F.lit(0).cast("long")})
     sizes = docs.groupBy(src.alias("__s")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.ceil(F.col("__n") / BUCKET_ROWS).cast("long"))
     rows = rows.join(sizes, src.eqNullSafe(F.col("__s")), "left").withColumn("__b", F.floor(F.col("__u") * F.col("__k")).cast("long")).drop("__s")
     counts = docs.select(src.alias("__s"), unit.alias("__u")).join(sizes.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
     counts = counts.groupBy("__s", F.floor(F.col("__u") * F.col("__k")).cast("long").alias("__c")).agg(F.count(F.lit(1)).alias("__m"))
-    before = counts.withColumn("__before", F.sum("__m").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))).select("__s", "__c", F.coalesce("__before", F.lit(0)).alias("__before"))
+    before = _running(counts, "__s").select("__s", F.col("__c"), "__before")
     own = F.row_number().over(Window.partitionBy(source_col, "__b").orderBy("__u", id_col, "__tie"))
     ranked = rows.withColumn("__r", own).join(before, src.eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")), "left").withColumn("__r", F.col("__r") + F.col("__before"))
     phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), src), 11) * F.lit(2.0**-53)
@@ -48,17 +50,21 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str =
     # shard i holds the places from ceil(i * total / shards) on
     shard = F.expr(f"__p * {shards} div {max(total, 1)}")
     first = F.expr(f"((__p * {shards} div {max(total, 1)}) * {total} + {shards - 1}) div {shards}")
-    out = with_columns(out, {"shard": shard.cast("int"), "slot": (F.col("__p") - first).cast("long")})
-    return out.drop("__u", "__tie", "__f", "__b", "__p", "__c", "__m", "__before")
+    out = out.withColumns({"shard": shard.cast("int"), "slot": (F.col("__p") - first).cast("long")})
+    return s.back(out, "shard", "slot")
 
 
-def _running(counts: DataFrame) -> DataFrame:
-    """The sum of __m over smaller __c, for each __c. Two levels, so that no task holds more than the square root of the table."""
+def _running(counts: DataFrame, *by: str) -> DataFrame:
+    """The sum of __m over smaller __c within by, for each __c. Two levels, so that no task holds more than the square root of the table."""
     wide = counts.withColumn("__g", F.expr("__c div 1024"))
-    groups = wide.groupBy("__g").agg(F.sum("__m").alias("__gm"))
-    groups = groups.withColumn("__gb", F.sum("__gm").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1))).select("__g", F.coalesce("__gb", F.lit(0)).alias("__gb"))
-    inner = wide.withColumn("__ib", F.sum("__m").over(Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)))
-    return inner.join(groups, "__g").select("__c", (F.coalesce("__ib", F.lit(0)) + F.col("__gb")).alias("__before"))
+    groups = wide.groupBy(*by, "__g").agg(F.sum("__m").alias("__gm"))
+    groups = groups.withColumn("__gb", F.sum("__gm").over(Window.partitionBy(*by).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)))
+    groups = groups.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__g").alias("__h"), F.coalesce("__gb", F.lit(0)).alias("__gb"))
+    inner = wide.withColumn("__ib", F.sum("__m").over(Window.partitionBy(*by, "__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)))
+    on = F.col("__g") == F.col("__h")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    return inner.join(groups, on).select(*by, "__c", (F.coalesce("__ib", F.lit(0)) + F.col("__gb")).alias("__before"))
 
 
 def op1_sharding(spark, sf_dir):
