@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table, with_columns
+from tessera.llm.common import Shelter, materialise, table
 
 #: Honorifics by the gender that they tell: m, f or none (n).
 HONORIFICS = {
@@ -22,8 +22,8 @@ _CARD = r"\d{4}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})"
 _CALLING = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: In the order in which they are tried at each place. Java's regular expressions.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,}}+",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{8,}}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": rf"(?<!\d)(?:{_CARD}(?!\d)|\d(?:[ -]?\d){{12,18}}(?![ -]?\d))",
@@ -32,10 +32,15 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}\d])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Rounds in which colliding surrogates are drawn again.
-ROUNDS = 20
+#: Rounds in which colliding surrogates are drawn again; one that is longer every second time, where its type allows that.
+ROUNDS = 60
 _SYLLABLES = {"latin": "ba be bi bo da de di do la le li lo ma me ra ro".split(), "cyrillic": "ба бе би бо да де ди до ла ле ли ло ма ме ра ро".split(), "greek": "βα βε βι βο δα δε δι δο λα λε λι λο μα με ρα ρο".split()}
-_ENDS = {"latin": ("n", "na", "s"), "cyrillic": ("н", "на", "в"), "greek": ("ν", "να", "ς")}
+#: Endings of given names of men, women and of no gender told, and of family names.
+_ENDS = {"latin": ("n", "na", "", "s"), "cyrillic": ("н", "на", "", "в"), "greek": ("ν", "να", "", "ς")}
+#: An attempt is a draw times four and how a given name ends: as its own ending suggests, or as its titles tell (man, woman, both).
+_DRAW, _MAN, _WOMAN, _BOTH = 4, 1, 2, 3
+#: What parts a text where an entity starts and ends, and what stands for it and for its escape where a text holds them.
+_MARK, _ESCAPE, _MARK_IN, _ESCAPE_IN = "\x00", "\x01", "\x01\x02", "\x01\x03"
 
 
 def _kind(m: Column) -> Column:
@@ -59,16 +64,23 @@ def _script(s: Column) -> Column:
 
 
 def entities(m: Column) -> Column:
-    """The entities of a match as structs of type and canonical form. A person with two names is two, so that either may come back alone."""
+    """The entities of a match as structs of type, canonical form and gender (m, f or empty). A person with two names is two, so that
+    either may come back alone. The title is no part of a name: Dr. and Mr. John are one John."""
     kind = _kind(m)
     body = F.substring(m, F.length(_prefix(kind, m)) + 1, F.length(m))
     title = F.regexp_extract(m, r"\A[^ .]+", 0)
-    gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("n")
+    gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("")
     names = F.split(body, " ")
-    given = F.struct(F.concat(F.lit("given_"), gender).alias("type"), F.get(names, F.lit(0)).alias("canon"))
-    family = F.struct(F.lit("family").alias("type"), F.element_at(names, -1).alias("canon"))
+    entity = lambda t, c, g: F.struct(t.alias("type"), c.alias("canon"), g.alias("gender"))
+    given = entity(F.lit("given"), F.get(names, F.lit(0)), gender)
+    family = entity(F.lit("family"), F.element_at(names, -1), F.lit(""))
     canon = F.when(kind == "email", F.lower(body)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(body, r"\D", "")).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
-    return F.when(kind == "none", F.expr("cast(array() as array<struct<type: string, canon: string>>)")).when(kind == "person", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(F.struct(kind.alias("type"), canon.alias("canon"))))
+    none = F.expr("cast(array() as array<struct<type: string, canon: string, gender: string>>)")
+    return F.when(kind == "none", none).when(kind == "person", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(entity(kind, canon, F.lit(""))))
+
+
+def _suggests_woman(name: Column) -> Column:
+    return name.rlike("[aаяαη]$")
 
 
 def _stream(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
@@ -116,11 +128,14 @@ def _iban(country: Column, body: Column) -> Column:
 def surrogate(key: str, e: Column, attempt: Column) -> Column:
     """The canonical form of what stands for an entity."""
     type_, canon = e["type"], e["canon"]
-    s = _stream(key, type_, canon, attempt)
+    draw, told = (attempt / _DRAW).cast("int"), F.pmod(attempt, F.lit(_DRAW))
+    s = _stream(key, type_, canon, draw)
     like = _like(canon, s)
+    more = (draw / 2).cast("int")
+    letters = F.translate(F.substring(s, F.lit(90), more), "0123456789abcdef", "bcdfghjklmnprstv")
     digits = F.translate(s, "abcdef", "258147")
-    hexes = lambda i: F.conv(F.substring(s, i, 4), 16, 10).cast("int")
-    ip = F.concat_ws(".", *[(F.pmod(hexes(1 + 4 * k), F.lit(223 if k == 0 else 254)) + 1).cast("string") for k in range(4)])
+    hexes = lambda i: F.conv(F.substring(s, i, F.lit(4)), 16, 10).cast("int")
+    ip = F.concat_ws(".", *[(F.pmod(hexes(F.lit(1 + 4 * k)), F.lit(223 if k == 0 else 254)) + 1).cast("string") for k in range(4)])
     # an area code and an exchange start with 2 to 9
     d = lambda a, k: F.substring(digits, a, k)
     high = lambda a: F.translate(d(a, 1), "01", "29")
@@ -129,17 +144,19 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
     ssn = F.concat(F.translate(d(1, 1), "09", "12"), d(2, 2), F.translate(d(4, 1), "0", "5"), d(5, 5))
     email = F.concat(_like(F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 1), s), F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 2))
     script = _script(canon)
+    woman = (told == _WOMAN) | ((told == 0) & _suggests_woman(canon))
     name = None
     for k, syllables in _SYLLABLES.items():
         table_ = F.array(*[F.lit(x) for x in syllables])
-        word = F.initcap(_join(F.array(*[F.get(table_, F.pmod(hexes(1 + 4 * i), F.lit(16))) for i in range(5)])))
-        male, female, family = _ENDS[k]
-        word = F.concat(word, F.when(type_ == "given_f", female).when(type_ == "family", family).otherwise(male))
+        at = F.sequence(F.lit(0), F.least(F.lit(30), more + 4))
+        word = F.initcap(_join(F.transform(at, lambda i: F.get(table_, F.pmod(hexes(i * 4 + 1), F.lit(16))))))  # noqa: B023
+        male, female, neither, family = _ENDS[k]
+        word = F.concat(word, F.when(type_ == "family", family).when(told == _BOTH, neither).when(woman, female).otherwise(male))
         name = F.when(script == k, word) if name is None else name.when(script == k, word)
     return (
-        F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "phone", phone).when(type_ == "card", F.concat(card, _luhn(card)))
+        F.when(type_ == "email", F.concat(letters, email)).when(type_ == "ip", ip).when(type_ == "phone", phone).when(type_ == "card", F.concat(card, _luhn(card)))
         .when(type_ == "ssn", ssn).when(type_ == "iban", _iban(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), s)))
-        .when(type_ == "secret", like).otherwise(name))
+        .when(type_ == "secret", F.concat(like, letters)).otherwise(name))
 
 
 def _formed(kind: Column, raw: Column, sur: Column) -> Column:
@@ -176,20 +193,37 @@ def _unnamed(gap: Column, pattern: Column, stands: Column) -> Column:
 
 
 def dictionary(found: DataFrame, key: str) -> DataFrame:
-    """Attempts of the distinct entities (type, canon) whose first surrogate collides, so that in the end no two entities of a type
-    share a surrogate and none is a real entity of the texts. Only entities that collide are drawn again; only counts are collected."""
-    all_ = materialise(found.groupBy("type", "canon").agg(F.lit(0).alias("attempt")).withColumn("sur", surrogate(key, F.struct("type", "canon"), F.lit(0))), "entities")
+    """Attempts, where not 0, of the distinct entities (type, canon, and gender if a title tells it), such that no two entities of a type share
+    a surrogate and none is a real entity of the texts.
+
+    Entities that collide are drawn again until none does; every second draw e-mail addresses, secrets and names are longer, so that
+    there are enough. If numbers of a fixed length run out all the same, it is an error. Only whether any collide is collected.
+    """
+    if "gender" not in found.columns:
+        found = found.withColumn("gender", F.lit(""))
+    man, woman = F.coalesce(F.max(F.col("gender") == "m"), F.lit(False)), F.coalesce(F.max(F.col("gender") == "f"), F.lit(False))
+    told = F.when(F.col("type") != "given", 0).when(F.col("__m") & F.col("__f"), _BOTH).when(F.col("__m") & _suggests_woman(F.col("canon")), _MAN).when(F.col("__f") & ~_suggests_woman(F.col("canon")), _WOMAN).otherwise(0)
+    all_ = found.groupBy("type", "canon").agg(man.alias("__m"), woman.alias("__f")).select("type", "canon", told.alias("attempt"))
+    all_ = materialise(all_.withColumn("sur", surrogate(key, F.struct("type", "canon"), F.col("attempt"))), "entities")
     real = all_.select(F.col("type").alias("__t"), F.col("canon").alias("__c"))
     now = all_
     for _ in range(ROUNDS):
         place = F.row_number().over(Window.partitionBy("type", "sur").orderBy("attempt", "canon"))
         marked = now.withColumn("__n", place).join(real, (F.col("type") == F.col("__t")) & (F.col("sur") == F.col("__c")), "left")
         again = marked.withColumn("__again", (F.col("__n") > 1) | F.col("__c").isNotNull())
-        again = materialise(again.select("type", "canon", F.when(F.col("__again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), "sur", "__again"), "entities")
+        again = materialise(again.select("type", "canon", F.when(F.col("__again"), F.col("attempt") + _DRAW).otherwise(F.col("attempt")).alias("attempt"), "sur", "__again"), "entities")
         if not again.filter("__again").limit(1).count():
-            break
+            return now.filter("attempt > 0").select("type", "canon", "attempt")
         now = again.withColumn("sur", F.when(F.col("__again"), surrogate(key, F.struct("type", "canon"), F.col("attempt"))).otherwise(F.col("sur"))).drop("__again")
-    return now.filter("attempt > 0").select("type", "canon", "attempt")
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
+
+
+def _parted(text: Column) -> Column:
+    """A text as stretches and matches in turn, from one pass of the patterns."""
+    odd = text.contains(_MARK) | text.contains(_ESCAPE)
+    safe = F.when(odd, F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE_IN)), F.lit(_MARK), F.lit(_MARK_IN))).otherwise(text)
+    whole = lambda x: F.when(x.contains(_ESCAPE), F.replace(F.replace(x, F.lit(_MARK_IN), F.lit(_MARK)), F.lit(_ESCAPE_IN), F.lit(_ESCAPE))).otherwise(x)
+    return F.transform(F.split(F.regexp_replace(safe, ANY, f"{_MARK}$0{_MARK}"), _MARK, -1), whole)
 
 
 def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,44 +231,43 @@ def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id",
 
     Detected: secrets after their names, to their end, e-mail addresses, IBANs, US social security numbers, card numbers (16 digits, or
     13 to 19 that pass Luhn's check), phone numbers (3-3-4, ten digits, or + and 8 to 15 digits), IPv4 addresses, persons after a title,
-    and the same names elsewhere in a text that has one after a title. A surrogate is drawn from a keyed hash of type and canonical form, so the same entity has the
-    same surrogate in all texts and forms (coreference). It keeps separators, lengths, top-level domains, country codes, capitals,
-    Luhn and IBAN check digits, and a name's script and the gender that its title tells. The distinct entities are checked: those that
-    share a surrogate or hit a real entity are drawn again. Texts are not shuffled unless they hold an entity that was drawn again.
-
-    A null text stays null with 0 entities; a text without entities stays as it is. Rows that repeat are treated alike. An empty table
-    gives an empty result. An input column named n_entities is replaced.
+    and the same names elsewhere in a text that has one after a title. A surrogate is drawn from a keyed hash of type and canonical form, so
+    the same entity has the same surrogate in all texts, forms and under all titles (coreference). It keeps separators, lengths, top-level
+    domains, country codes, capitals, Luhn and IBAN check digits, and a name's script and the gender that its titles tell in all texts
+    (neither, if they tell both). The distinct entities are checked: those that share a surrogate or hit a real entity are drawn again, see
+    dictionary(). Texts are parted into entities and the rest once and written so; they are not shuffled unless they hold an entity that was
+    drawn again or a given name whose ending misleads.
+
+    A null text stays null with 0 entities; a text without entities stays as it is. Texts of any length are searched whole. Rows that repeat
+    are treated alike. An empty table gives an empty result. An input column named n_entities, in any case, is replaced.
     """
-    text = F.col(f"`{text_col}`")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
-    found = docs.filter(has).select(F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    found = found.select(F.explode(entities(F.col("m"))).alias("e")).select("e.type", "e.canon")
+    s = Shelter(docs)
+    own, text = [c for c in s.df.columns if c != s(text_col)], s(text_col)
+    rows = materialise(s.df.select(*own, _parted(F.col(text).cast("string")).alias("parts"), F.monotonically_increasing_id().alias("row")), "parts")
+    some = F.size("parts") > 1
+    rows = rows.withColumns({"hits": F.when(some, F.filter("parts", lambda x, i: i % 2 == 1)), "gaps": F.when(some, F.filter("parts", lambda x, i: i % 2 == 0))})
+    found = rows.select(F.explode("hits").alias("m")).distinct().select(F.explode(entities(F.col("m"))).alias("e")).select("e.*").distinct()
     again = materialise(dictionary(found, key), "again")
     none = F.expr("cast(map() as map<string, int>)")
-    held = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = with_columns(docs, {"n_entities": F.lit(0), "__hits": held, "__gaps": F.when(has, F.split(text, ANY, -1))})
 
     def rewritten(df, attempts):
-        own = [c for c in docs.columns if c.lower() != "n_entities"]
-        df = df.select(*[f"`{c}`" for c in own], "__hits", "__gaps", attempts.alias("__attempts"), F.when(F.exists("__hits", lambda m: m.rlike(rf"\A(?:{_TITLES})\.? ")), _names(F.col("__hits"))).alias("__names"))
-        named = F.col("__names").isNotNull()
-        drawn = lambda e: surrogate(key, e, F.coalesce(F.element_at("__attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
-        first = F.filter("__names", lambda e, i: (i == 0) | (F.get(F.col("__names"), i - 1)["canon"] != e["canon"]))
-        df = df.withColumns({"__bare": F.when(named, _bare(F.col("__names"))), "__stands": F.when(named, F.map_from_entries(F.transform(first, lambda e: F.struct(e["canon"], drawn(e)))))})
-        repeats = F.aggregate("__gaps", F.lit(0), lambda a, g: a + F.size(F.regexp_extract_all(g, F.col("__bare"), F.lit(0))))
-        n = F.size(F.filter("__hits", lambda m: _kind(m) != "none")) + F.when(named, repeats).otherwise(0)
-        gap = lambda g: F.when(named, _unnamed(g, F.col("__bare"), F.col("__stands"))).otherwise(g)
-        new = F.concat(gap(F.get("__gaps", F.lit(0))), _join(F.transform("__hits", lambda m, i: F.concat(replaced(key, m, F.col("__attempts")), gap(F.get(F.col("__gaps"), i + 1))))))
-        cols = [F.when(F.col("__hits").isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
-        return df.select(*cols, F.when(F.col("__hits").isNotNull(), n).otherwise(0).alias("n_entities"))
+        df = df.select(*own, "parts", "hits", "gaps", attempts.alias("attempts"), F.when(F.exists("hits", lambda m: m.rlike(rf"\A(?:{_TITLES})\.? ")), _names(F.col("hits"))).alias("names"))
+        named = F.col("names").isNotNull()
+        drawn = lambda e: surrogate(key, e, F.coalesce(F.element_at("attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
+        first = F.filter("names", lambda e, i: (i == 0) | (F.get(F.col("names"), i - 1)["canon"] != e["canon"]))
+        df = df.withColumns({"bare": F.when(named, _bare(F.col("names"))), "stands": F.when(named, F.map_from_entries(F.transform(first, lambda e: F.struct(e["canon"], drawn(e)))))})
+        repeats = F.aggregate("gaps", F.lit(0), lambda a, g: a + F.size(F.regexp_extract_all(g, F.col("bare"), F.lit(0))))
+        n = F.size(F.filter("hits", lambda m: _kind(m) != "none")) + F.when(named, repeats).otherwise(0)
+        gap = lambda g: F.when(named, _unnamed(g, F.col("bare"), F.col("stands"))).otherwise(g)
+        new = F.concat(gap(F.get("gaps", F.lit(0))), _join(F.transform("hits", lambda m, i: F.concat(replaced(key, m, F.col("attempts")), gap(F.get(F.col("gaps"), i + 1))))))
+        out = df.select(*own, F.when(F.col("hits").isNotNull(), new).otherwise(F.get("parts", F.lit(0))).alias(text), F.when(F.col("hits").isNotNull(), n).otherwise(0).alias("n_entities"))
+        return s.back(out, "n_entities")
 
     if not again.limit(1).count():
         return rewritten(rows, none)
-    name = F.struct(F.col(f"`{id_col}`"), F.xxhash64(text))
-    theirs = docs.filter(has).select(name.alias("__doc"), F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), entities)))).alias("e")).distinct()
-    theirs = theirs.join(again, (F.col("e.type") == F.col("type")) & (F.col("e.canon") == F.col("canon"))).groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("__map"))
-    joined = rows.withColumn("__name", F.when(F.col("__hits").isNotNull(), name)).join(theirs, F.col("__name").eqNullSafe(F.col("__doc")), "left")
-    return rewritten(joined, F.coalesce("__map", none))
+    theirs = rows.select(F.col("row").alias("r"), F.explode(F.array_distinct(F.flatten(F.transform("hits", entities)))).alias("e")).select("r", "e.type", "e.canon").distinct()
+    theirs = theirs.join(again, ["type", "canon"]).groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("map"))
+    return rewritten(rows.join(theirs, F.col("row") == F.col("r"), "left"), F.coalesce("map", none))
 
 
 def op4_pii(spark, sf_dir):
