@@ -143,6 +143,37 @@ def test_topk(spark, monkeypatch):
     assert topk.top_products(d.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_topk_of_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [2.0, 2.0]), (3, [2.0, 9.0]), (4, [1.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_products(d, F.col("vec_id") == 0, scale=1.0).orderBy("rank").collect()]
+    assert got == [(1, 3, 9), (2, 2, 2), (3, 3, 2), (4, 1, 1)]
+
+
+def test_topk_sends_queries_only_where_they_can_score(spark, monkeypatch):
+    """Long vectors in one direction: buckets of short ones are out of every query's reach, so neither side is sent there."""
+    monkeypatch.setattr(topk, "SEEDS", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, ([100.0, 0.0] if i < 60 else [float(x) for x in rng.normal(size=2) * 0.01])) for i in range(600)]
+    d = spark.createDataFrame([(i, [v[0] + i % 7 * 0.1, v[1]]) for i, v in rows], "vec_id long, embedding array<double>")
+    sent = []
+    real = topk._search
+
+    def spy(k, scale):
+        run, seen = real(k, scale), spark.sparkContext.accumulator(0)
+        sent.append(seen)
+
+        def count(queries, part):
+            seen.add(part.num_rows)
+            return run(queries, part)
+
+        return count
+
+    monkeypatch.setattr(topk, "_search", spy)
+    got = topk.top_products(d, F.col("vec_id") % 10 == 0).collect()
+    assert len(got) == 5 * 60 and 0 < sent[0].value < 300
+
+
 def test_topk_beyond_floats(spark):
     rows = [(i, [1e9 + i, -3e8 * i]) for i in range(5)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
