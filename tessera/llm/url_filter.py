@@ -1,13 +1,21 @@
 """URL rules, and trust and distrust that spread over host edges for the URLs that no rule fits."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower, materialise, table, with_columns
+from tessera.llm.common import LOWER, UPPER, Shelter, ascii_lower, discard, materialise, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Mass that starts at the seeds, in whole units; percent that follows edges; rounds; a host is blocked if distrust * 100 > trust * LEAST.
-MASS, DAMPING, ROUNDS, LEAST = 10**12, 85, 8, 100
+#: Mass that starts at the seeds, in whole units; percent that follows edges; a host is blocked if distrust * 100 > trust * LEAST.
+MASS, DAMPING, LEAST = 10**12, 85, 100
+#: Share of the mass that may be on its way still when the rounds end, and the rounds that this takes.
+TOLERANCE = 0.02
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING / 100))
+#: Edges of a host that one copy of its scores meets, about; characters that a host name may have at most (RFC 1035), beyond which there are
+#: no hosts above it.
+SALT, LONGEST = 4096, 253
 LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']?(?:https?:)?//([^"'\s>/?#]*)"""
 
 
@@ -30,19 +38,24 @@ def rule_column(host, path, rules=RULES):
     return out
 
 
-def _parent(host):
-    """The host without its first label, if two labels are left; else null."""
-    up = F.regexp_extract(host, r"^[^.]+\.(.*\..*)$", 1)
-    return F.when(up != "", up)
+def _above(host):
+    """Pairs of each host and the one above it, from the host up to the last with two labels; none past an empty label."""
+    labels = F.split(host, r"\.")
+    n, gap = F.size(labels), F.array_position(labels, "")
+    steps = F.least(n - 2, F.when(gap > 0, gap.cast("int") - 1).otherwise(n))
+    name = lambda i: F.array_join(F.slice(labels, i, n), ".")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), steps)), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))
+    return F.when((steps >= 1) & (F.length(host) <= LONGEST), pairs)
 
 
 def host_trust(pages: DataFrame, rules=RULES) -> DataFrame:
     """trust and distrust of every host; pages: host, rule, html.
 
-    Edges: links to other hosts in the pages' anchors, and between a host and the host above it, both ways. Trust is a personalised
-    PageRank that starts from hosts by their number of allowed pages and follows edges; distrust starts from blocked pages and follows
-    edges backwards. All are whole numbers, divided downwards, so any order of summing gives the same. The tables of edges and of
-    hosts are written to the shared folder each round. Repeated links count once, so a host has at most one edge to each other.
+    Edges: links to other hosts in the pages' anchors, and between a host and each host above it, at any depth, both ways. Trust is a
+    personalised PageRank that starts from hosts by their number of allowed pages and follows edges; distrust starts from blocked pages and
+    follows edges backwards. All are whole numbers, divided downwards, so any order of summing gives the same. ROUNDS leave a share of
+    TOLERANCE at most unspread. Tables are written to the shared folder each round. Repeated links count once. A host with many
+    edges meets its scores in as many tasks as it has SALTs of them.
     """
     allowed = [r for v, r in rules if v == "allow"]
     seen = pages.filter("host <> ''").groupBy("host").agg(F.sum(F.when(F.col("rule").isin(allowed), 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("rule").isNotNull() & ~F.col("rule").isin(allowed), 1).otherwise(0)).alias("bad"))
@@ -50,49 +63,48 @@ def host_trust(pages: DataFrame, rules=RULES) -> DataFrame:
     links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("dst <> '' and src <> dst").distinct()
     links = materialise(links, "links")
-    known = seen.select("host").union(links.select("dst"))
-    up = known.distinct().select("host", _parent(F.col("host")).alias("above")).filter("above is not null")
-    chain = up
-    level = up.select(F.col("above").alias("host")).distinct()
-    for _ in range(3):  # hosts above those above
-        level = level.select("host", _parent(F.col("host")).alias("above")).filter("above is not null")
-        chain = chain.union(level)
-        level = level.select(F.col("above").alias("host")).distinct()
-    edges = links.union(chain.select("host", "above")).union(chain.select("above", "host")).distinct()
-    out, into = edges.groupBy(F.col("src").alias("__s")).agg(F.count(F.lit(1)).alias("out")), edges.groupBy(F.col("dst").alias("__d")).agg(F.count(F.lit(1)).alias("into"))
-    edges = edges.join(out, F.col("src") == F.col("__s")).join(into, F.col("dst") == F.col("__d")).select("src", "dst", "out", "into")
-    edges = materialise(edges, "edges")
-    total = seen.agg(F.sum("good").alias("__good"), F.sum("bad").alias("__bad"))
-    start = seen.join(F.broadcast(total)).select("host", F.expr(f"coalesce(good * {MASS} div nullif(__good, 0), 0)").alias("t0"), F.expr(f"coalesce(bad * {MASS} div nullif(__bad, 0), 0)").alias("d0"))
-    every = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seen.select("host")).distinct()
-    base = materialise(every.join(start, "host", "left").select("host", F.coalesce("t0", F.lit(0)).cast("long").alias("t0"), F.coalesce("d0", F.lit(0)).cast("long").alias("d0")), "start")
-    rank = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    known = seen.select("host").union(links.select("dst")).distinct()
+    up = known.select(F.explode(_above(F.col("host"))).alias("e")).select("e.src", "e.dst").distinct()
+    edges = materialise(links.union(up).union(up.select("dst", "src")).distinct(), "edges")
+    # trust flows along edges, distrust back: one table of both, by the host that gives
+    flows = edges.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), F.lit(0).alias("kind")).union(edges.select("dst", "src", F.lit(1)))
+    degree = materialise(flows.groupBy("giver", "kind").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    total = seen.agg(F.sum("good").alias("good_sum"), F.sum("bad").alias("bad_sum"))
+    start = seen.join(F.broadcast(total)).select("host", F.expr(f"coalesce(good * {MASS} div nullif(good_sum, 0), 0)").alias("t0"), F.expr(f"coalesce(bad * {MASS} div nullif(bad_sum, 0), 0)").alias("d0"))
+    start = start.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t0").alias("first")), F.struct(F.lit(1).alias("kind"), F.col("d0").alias("first")))).alias("x")).select("host", "x.kind", "x.first")
+    base = degree.select(F.col("giver").alias("host"), "kind", F.lit(0).cast("long").alias("first"), "n").union(start.select("host", "kind", "first", F.lit(0).cast("long")))
+    rank = materialise(base.groupBy("host", "kind").agg(F.sum("first").alias("first"), F.sum("n").alias("n")).withColumn("mass", F.col("first")), "rank")
+    salts = F.expr(f"n div {SALT}")
+    flows = flows.join(degree, ["giver", "kind"]).select("giver", "taker", "kind", F.pmod(F.xxhash64("taker"), salts + 1).alias("salt"))
+    flows = materialise(flows, "flows")
     for _ in range(ROUNDS):
-        on = edges.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("__h"), F.expr("trust div out").alias("t"), F.lit(0).cast("long").alias("d"))
-        back = edges.join(rank, F.col("dst") == F.col("host")).select(F.col("src").alias("__h"), F.lit(0).cast("long").alias("t"), F.expr("distrust div into").alias("d"))
-        got = on.union(back).groupBy("__h").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = base.join(got, F.col("host") == F.col("__h"), "left")
-        rank = materialise(new.select("host", F.expr(f"({100 - DAMPING} * t0 + {DAMPING} * coalesce(t, 0)) div 100").alias("trust"), F.expr(f"({100 - DAMPING} * d0 + {DAMPING} * coalesce(d, 0)) div 100").alias("distrust")), "rank")
-    return rank
+        give = rank.filter("n > 0 and mass >= n").select(F.col("host").alias("giver"), "kind", F.expr("mass div n").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"))
+        got = flows.join(give, ["giver", "kind", "salt"]).groupBy(F.col("taker").alias("to"), F.col("kind").alias("k")).agg(F.sum("part").alias("got"))
+        new = F.expr(f"({100 - DAMPING} * first + {DAMPING} * coalesce(got, 0)) div 100")
+        old, rank = rank, materialise(rank.join(got, (F.col("host") == F.col("to")) & (F.col("kind") == F.col("k")), "left").select("host", "kind", "first", "n", new.alias("mass")), "rank")
+        discard(old)
+    return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("mass")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("mass")).otherwise(0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Adds host, path, rule and verdict (allow or block) to each row.
 
     A row that a rule fits has the rule's verdict. For any other, its host is blocked if its distrust is over its trust, see host_trust(),
-    and allowed if not; a row without a host is allowed. Null html has no links. Rows that repeat are judged alike. An empty table
-    gives an empty result. Input columns named as added ones are replaced.
+    and allowed if not; a row without a host is allowed. Null html has no links; html of any length is searched whole. Rows that repeat
+    are judged alike. An empty table gives an empty result. Input columns named as added ones, in any case, are replaced.
     """
-    host, path = host_and_path(F.col(f"`{url_col}`"))
-    rows = with_columns(pages, {"host": host, "path": path})
-    rows = with_columns(rows, {"rule": rule_column(F.col("host"), F.col("path"), rules)})
-    rank = host_trust(rows.select("host", "rule", F.col(f"`{html_col}`").alias("html")), rules)
-    bad = rank.filter(F.col("distrust") * 100 > F.col("trust") * LEAST).select(F.col("host").alias("__bad"))
+    s = Shelter(pages)
+    host, path = host_and_path(F.col(s(url_col)))
+    rows = s.df.withColumns({"host": host, "path": path})
+    rows = rows.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
+    rank = host_trust(rows.select("host", "rule", F.col(s(html_col)).alias("html")), rules)
+    bad = rank.filter(F.col("distrust") * 100 > F.col("trust") * LEAST).select(F.col("host").alias("bad"))
     verdict = F.lit(None).cast("string")
     for v, r in rules:
         verdict = F.when(F.col("rule") == r, F.lit(v)).otherwise(verdict)
-    out = rows.join(bad, F.col("host") == F.col("__bad"), "left")
-    return with_columns(out, {"verdict": F.coalesce(verdict, F.when(F.col("__bad").isNotNull(), "block").otherwise("allow"))}).drop("__bad")
+    out = rows.join(bad, F.col("host") == F.col("bad"), "left")
+    out = out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad").isNotNull(), "block").otherwise("allow")))
+    return s.back(out, "host", "path", "rule", "verdict")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -110,18 +122,16 @@ def _sql() -> str:
     link = LINK.replace("'", "''")
     up = r"nullif(regexp_extract({}, '^[^.]+\.(.*\..*)$', 1), '')"
     q = rf"""
-WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM u),
 g AS (SELECT page_id, html, translate(raw, {lower}) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM h),
 r AS (SELECT *, CASE {case} END AS rule FROM g),
 seen AS (SELECT host, sum(CASE WHEN rule IN ({allowed}) THEN 1 ELSE 0 END)::BIGINT AS good, sum(CASE WHEN rule IS NOT NULL AND rule NOT IN ({allowed}) THEN 1 ELSE 0 END)::BIGINT AS bad FROM r WHERE host <> '' GROUP BY host),
 l0 AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM r WHERE host <> ''),
 links AS (SELECT DISTINCT src, dst FROM l0 WHERE dst <> '' AND src <> dst),
-c0 AS (SELECT host, {up.format('host')} AS above FROM (SELECT host FROM seen UNION SELECT dst FROM links)),
-c1 AS (SELECT above AS host, {up.format('above')} AS above FROM c0 WHERE above IS NOT NULL),
-c2 AS (SELECT above AS host, {up.format('above')} AS above FROM c1 WHERE above IS NOT NULL),
-c3 AS (SELECT above AS host, {up.format('above')} AS above FROM c2 WHERE above IS NOT NULL),
-chain AS (SELECT host, above FROM (SELECT * FROM c0 UNION SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM c3) WHERE above IS NOT NULL),
+known AS (SELECT host FROM seen UNION SELECT dst FROM links),
+c0 AS (SELECT host, CASE WHEN length(host) <= {LONGEST} THEN {up.format('host')} END AS above FROM known UNION SELECT above, {up.format('above')} FROM c0 WHERE above IS NOT NULL),
+chain AS (SELECT host, above FROM c0 WHERE above IS NOT NULL),
 e0 AS (SELECT src, dst FROM links UNION SELECT host, above FROM chain UNION SELECT above, host FROM chain),
 edges AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS outs, count(*) OVER (PARTITION BY dst) AS ins FROM e0),
 base AS MATERIALIZED (
