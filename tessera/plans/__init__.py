@@ -3,9 +3,9 @@
 
 def all_plans() -> dict:
     """name -> (callable of (spark, sf_dir), SQL or None)."""
-    from tessera.plans import analysis, reports, schemas, scoring, statistics, streams, tables
+    from tessera.plans import analysis, records, reports, schemas, scoring, statistics, streams, tables
 
     out: dict = {}
-    for module in (scoring, statistics, reports, schemas, tables, analysis, streams):
+    for module in (scoring, statistics, reports, records, schemas, tables, analysis, streams):
         out |= module.PLANS
     return out

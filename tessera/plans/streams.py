@@ -1,12 +1,9 @@
 """Streaming queries over the events table, drained with all that is there."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from tessera.session import read
-from tessera.streaming.guards import drain, event_counts, failure_guard, file_stream, first_events, last_segment
+from tessera.session import read, work_dir
+from tessera.streaming.guards import chained, drain, event_counts, failure_guard, file_stream, first_events, last_segment, latest_state
 
 PLANS: dict = {}
 
@@ -27,10 +24,7 @@ def _stream(spark, sf_dir):
 
 
 def _drained(df, mode: str = "append"):
-    """The stream's state goes to the shared folder of the cluster, to a folder of its own where none is named."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    name = f"s_{uuid.uuid4().hex}"
-    return drain(df, name, f"{base}/{name}", mode)
+    return drain(df, "out", f"{work_dir(df.sparkSession, 'stream')}/state", mode)
 
 
 @plan("""WITH p AS (SELECT user_id, event_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
@@ -60,3 +54,17 @@ def stream_windows(spark, sf_dir):
 def progress_lines(spark, sf_dir):
     line = F.concat(F.lit("1%\r50%\rdone "), "c_custkey")
     return read(spark, sf_dir, "customer").select("c_custkey", last_segment(line).alias("line"))
+
+
+@plan("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def stream_latest(spark, sf_dir):
+    """The event that holds for each user and type: a later one supersedes."""
+    return _drained(latest_state(_stream(spark, sf_dir), ["user_id", "event_type"], "event_id", ["value"]), "complete")
+
+
+@plan("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type = 'error' GROUP BY 1")
+def stream_chained(spark, sf_dir):
+    """A first stream picks errors, a second counts them by user."""
+    errors = _stream(spark, sf_dir).filter("event_type = 'error'").select("user_id", "event_id")
+    out = chained(errors, lambda e: e.selectExpr("user_id", "event_id", "1 AS one"), work_dir(spark, "chained"))
+    return out.groupBy("user_id").agg(F.count("one").alias("n"), F.sum("event_id").alias("ids"))

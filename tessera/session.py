@@ -1,5 +1,8 @@
 """The session that the engine is tuned for."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -31,3 +34,14 @@ def spread(scan):
     """A scan in at least as many partitions as there are cores, for heavy work on small files; a scan of many splits stays as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def work_dir(spark, label: str) -> str:
+    """A new folder's name under spark.checkpoint.dir, which the driver and all executors see. Where that is unset: in a folder of our own in a
+    local session; on a cluster, whose executors could not see it, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base}/{label}-{uuid.uuid4().hex}"

@@ -3,10 +3,12 @@
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.tables import flat
+
 CORPUS = "question STRING, schema STRING, cypher STRING, data_source STRING, instance_id STRING, database_reference_alias STRING, database_reference STRING, database STRING"
 PREDICTION = (
     "instance_id STRING, question STRING, gold_cypher STRING, predicted_raw STRING, predicted_cypher STRING, database_reference STRING, data_source STRING, schema_mode STRING, "
@@ -52,13 +54,17 @@ def read_corpus(spark: SparkSession, folder: str, split: str) -> DataFrame:
         raise ValueError(f"unknown split: {split}")
     raw = spark.read.parquet(f"{folder}/{split}.parquet")
     df = with_defaults(raw.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i")), CORPUS)
+    # a row's place in the split: its place in its file and the rows of the files before, of which there is one row each
+    files = df.groupBy(F.col("__f").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    files = files.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    df = df.join(files, F.col("__f") == F.col("__g")).withColumn("__i", F.col("__i") + F.col("__before"))
     database = F.coalesce(*[empty_is_null(F.col(c)) for c in ("database_reference_alias", "database_reference", "database")])
     return df.withColumns({
         "instance_id": F.coalesce(empty_is_null(F.col("instance_id")), F.concat_ws("_", F.lit(split), "__i")),
         "database_reference": database,
         "data_source": F.coalesce(empty_is_null(F.col("data_source")), F.lit("unknown")),
         "split": F.lit(split),
-    }).drop("__f", "__i", "database")
+    }).drop("__f", "__g", "__i", "__before", "database")
 
 
 def read_lines(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -67,9 +73,17 @@ def read_lines(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def read_scored(spark: SparkSession, paths, completed: DataFrame | None = None) -> DataFrame:
-    """Scored rows of many jobs, with job_id from the file's name; only of completed jobs (job_id), if those are given."""
-    df = spark.read.schema(SCORED).json(paths).withColumn("job_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:_scored)?\.jsonl?$", 1))
-    return df if completed is None else df.join(F.broadcast(completed.select("job_id").distinct()), "job_id", "left_semi")
+    """Scored rows of many jobs, with job_id from the name of the file or of the folder that Spark wrote in its place; only of completed jobs
+    (job_id), if those are given."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:_scored)?\.jsonl?(?:/[^/]*)?$", 1)
+    df = spark.read.schema(SCORED).json(paths).withColumn("job_id", name)
+    return df if completed is None else df.join(completed.select("job_id").distinct(), "job_id", "left_semi")
+
+
+def with_meta(rows: DataFrame, meta: DataFrame, on: str = "job_id") -> DataFrame:
+    """Rows beside what their job's meta document says; a job whose document is missing or broken has nulls."""
+    have = [c for c in meta.columns if c != on and c not in rows.columns]
+    return rows.join(meta.filter(F.col(on).isNotNull()).dropDuplicates([on]).select(on, *have), on, "left")
 
 
 def read_documents(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -118,13 +132,14 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """parquet, csv (with a header) or csv.gz; nested columns go into CSV as JSON."""
+def write_table(df: DataFrame, path: str, kind: str = "parquet", joined: bool = False) -> None:
+    """parquet, csv (with a header) or csv.gz; nested columns go into CSV as JSON, lists if joined by semicolons."""
     if kind == "parquet":
         df.write.mode("overwrite").parquet(path)
         return
-    flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes])
-    w = flat.write.mode("overwrite").option("header", True)
+    text = lambda c, t: flat(F.col(c), t) if joined else F.to_json(c) if t.startswith(("struct", "array", "map")) else F.col(c)
+    out = df.select(*[text(c, t).alias(c) for c, t in df.dtypes])
+    w = out.write.mode("overwrite").option("header", True)
     (w.option("compression", "gzip") if kind == "csv.gz" else w).csv(path)
 
 
@@ -139,18 +154,32 @@ def report_document(tables: dict[str, DataFrame], rows: int = 10_000) -> str:
     return json.dumps(out, sort_keys=True, ensure_ascii=False)
 
 
+def _small(df: DataFrame, rows: int) -> list:
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"over {rows} rows; write them as a table")
+    return got
+
+
 def markdown(df: DataFrame, rows: int = 1_000) -> str:
-    """A small table as Markdown; `-` where a value is missing."""
-    got = df.limit(rows).collect()
+    """A small table as Markdown; `-` where a value is missing. One of more rows is an error."""
     show = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(map(show, r)) + " |" for r in got])
+    return "\n".join(head + ["| " + " | ".join(map(show, r)) + " |" for r in _small(df, rows)])
+
+
+def markdown_report(sections: dict[str, DataFrame], title: str = "Evaluation", rows: int = 1_000) -> str:
+    """Small tables (overall, by complexity, by source, health of gold queries) under headings, as one Markdown document; `none` for an empty one."""
+    parts = [f"# {title}"]
+    for name, df in sections.items():
+        parts += [f"## {name}", markdown(df, rows) if df.limit(1).count() else "none"]
+    return "\n\n".join(parts) + "\n"
 
 
 def latex(df: DataFrame, rows: int = 1_000) -> str:
-    got = df.limit(rows).collect()
+    """A small table as a LaTeX tabular; one of more rows is an error."""
     show = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("&", r"\&").replace("%", r"\%")
-    body = [" & ".join(map(show, r)) + r" \\" for r in [df.columns, *got]]
+    body = [" & ".join(map(show, r)) + r" \\" for r in [df.columns, *_small(df, rows)]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", *body, r"\end{tabular}"])
 
 

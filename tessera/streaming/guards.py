@@ -12,14 +12,35 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it has emitted (a memory table, for tests and small results)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float | None = None) -> DataFrame:
+    """Runs a stream over all that is there, or for at most so many seconds, and returns what it has emitted.
+
+    Each micro-batch goes to its own Parquet folder under `checkpoint`-`name`, which a batch that is run again after a failure overwrites; nothing passes
+    through the driver. In complete mode the last batch is the result, in the others all are.
+    """
+    kind, path = df.schema, f"{checkpoint}-{name}"
+
+    def batch(part: DataFrame, number: int) -> None:
+        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        q.awaitTermination()
+        q.awaitTermination(seconds) if seconds is not None else q.awaitTermination()
+        last = q.lastProgress["batchId"] if q.lastProgress else None
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    if last is None:
+        return spark.createDataFrame([], kind)
+    out = spark.read.schema(kind).parquet(f"{path}/batch={last}" if mode == "complete" else f"{path}/batch=*")
+    return out
+
+
+def chained(first: DataFrame, then: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
+    """Two stages as producer and consumer: the first stream's rows land in files, and a second stream works on them in batches of files as they
+    came. Either can be stopped and started again at its checkpoint."""
+    drain(first, "rows", f"{checkpoint}/first")
+    return drain(then(file_stream(first.sparkSession, f"{checkpoint}/first-rows/batch=*", first.schema)), "rows", f"{checkpoint}/second")
 
 
 def append_log(df: DataFrame, path: str, checkpoint: str, interval: str | None = None):
@@ -28,12 +49,18 @@ def append_log(df: DataFrame, path: str, checkpoint: str, interval: str | None =
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
-def mirror(df: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None):
-    """Hands each non-empty batch to write, at most once in an interval; an unchanged source hands over nothing."""
+def mirror(df: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None, tries: int = 3):
+    """Hands each non-empty batch to write, at most once in an interval and up to `tries` times if it fails; an unchanged source hands over nothing."""
 
     def batch(part: DataFrame, _: int) -> None:
-        if part.limit(1).count():
-            write(part)
+        if not part.limit(1).count():
+            return
+        for left in range(tries - 1, -1, -1):
+            try:
+                return write(part)
+            except Exception:
+                if not left:
+                    raise
 
     w = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
@@ -68,6 +95,19 @@ def first_events(df: DataFrame, time: str, key: list[str], delay: str) -> DataFr
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
+def latest_state(df: DataFrame, key: list[str], rank: str, values: list[str]) -> DataFrame:
+    """What holds for each key: the values of the event of the highest rank so far, so that a later session's event supersedes one that it
+    replays. For complete mode; state is one row a key."""
+    best = F.max(F.struct(rank, *values)).alias("best")
+    return df.groupBy(*key).agg(best).select(*key, *[F.col(f"best.{c}").alias(c) for c in [rank, *values]])
+
+
+def carried(before: str, chunk: str) -> tuple[list[str], str]:
+    """Whole lines of a log chunk, each as last_segment() shows it, and the partial line to carry over to the next chunk."""
+    *lines, rest = (before + chunk).split("\n")
+    return [line.rsplit("\r", 1)[-1] for line in lines], rest
+
+
 def event_counts(df: DataFrame, time: str, by: list[str], window: str, delay: str) -> DataFrame:
     return df.withWatermark(time, delay).groupBy(F.window(time, window), *by).agg(F.count(F.lit(1)).alias("n"))
 

@@ -109,3 +109,32 @@ def test_health_of_odd_groups(spark):
     assert got == {"a": (2, 2, True, "unknown:1; " + "x" * 300 + ":1"), "(none)": (2, 1, False, "unknown:1")}
     flags = [(r.db, r.dead_database) for r in T.flag_dead(d, "db", F.col("bad"), F.col("db") != "c").collect()]
     assert sorted(flags, key=str) == sorted([("a", True), ("a", True), ("", True), (None, None), ("c", None), ("d", False)], key=str)
+
+
+def test_mirror_tries_again_and_partial_lines_are_carried(spark, tmp_path):
+    from tessera.streaming.guards import carried, mirror
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    s, got = file_stream(spark, str(tmp_path / "in"), "id long", 100), []
+
+    def write(part):
+        got.append(part.count())
+        if len(got) < 3:
+            raise OSError("busy")
+
+    mirror(s, write, str(tmp_path / "state")).awaitTermination()
+    assert got == [5, 5, 5]
+    lines, rest = carried("", "a\r1%\r2%\nb\n50%\r6")
+    assert (lines, rest) == (["2%", "b"], "50%\r6")
+    assert carried(rest, "0%\nend") == (["60%"], "end")
+
+
+def test_reports_are_never_cut(spark):
+    import pytest
+
+    d = spark.range(5).withColumn("x_y", F.lit(None).cast("double"))
+    assert R.markdown(d.limit(1)) == "| id | x_y |\n| --- | --- |\n| 0 | - |" and r"x\_y" in R.latex(d)
+    assert "## none" not in R.markdown_report({"All": d, "Empty": d.limit(0)}) and "## Empty\n\nnone" in R.markdown_report({"All": d, "Empty": d.limit(0)})
+    for f in (R.markdown, R.latex):
+        with pytest.raises(ValueError):
+            f(d, 4)
