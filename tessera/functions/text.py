@@ -57,18 +57,24 @@ def question_tokens(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, one)))
 
 
-_SPAN = r"[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))*"
+#: What is masked in a question.
+SPAN = r"[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))*"
+LONGER_SPAN = r"\b(?:[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))+|[A-Z][a-z]{3,})\b"
+QUOTED, NUMBER = r"\"[^\"]*\"|'[^']*'", r"\b\d[\d,.]*\b"
+#: Reasoning, fences and lead-ins around a query.
+THOUGHT, THOUGHT_END = r"(?is)<think>.*?</think>", r"(?is)\A.*?</think>"
+FENCE = r"(?is)```(?:cypher|cql|sql|text)?\s*(.*?)```"
+LEAD_IN = r"(?i)\A\s*(cypher\s*(query|statement|output)?\s*:|output\s*:|answer\s*:)\s*"
 
 
 def ner_mask(c: Column) -> Column:
     """Quoted text and title-case spans (of two words, or of over three letters, and not at the start) as ENTITY, numbers as NUMBER."""
-    masked = F.regexp_replace(F.coalesce(c, F.lit("")), r"\"[^\"]*\"|'[^']*'", " ENTITY ")
-    masked = F.regexp_replace(masked, r"\b\d[\d,.]*\b", " NUMBER ")
-    first = F.regexp_extract(masked, rf"\A{_SPAN}\b", 0)
+    masked = F.regexp_replace(F.coalesce(c, F.lit("")), QUOTED, " ENTITY ")
+    masked = F.regexp_replace(masked, NUMBER, " NUMBER ")
+    first = F.regexp_extract(masked, rf"\A{SPAN}\b", 0)
     rest = F.substring(masked, F.length(first) + 1, F.length(masked))
     # whatever follows a span at the start begins after a word boundary, as it does in the whole text
-    more = rf"\b(?:[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))+|[A-Z][a-z]{{3,}})\b"
-    return F.concat(first, F.regexp_replace(rest, more, " ENTITY "))
+    return F.concat(first, F.regexp_replace(rest, LONGER_SPAN, " ENTITY "))
 
 
 def extract_answer(c: Column) -> Column:
@@ -76,12 +82,11 @@ def extract_answer(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     for marker in STOP_MARKERS:
         text = F.substring_index(text, marker, 1)
-    text = F.regexp_replace(text, r"(?is)<think>.*?</think>", " ")
-    text = F.regexp_replace(text, r"(?is)\A.*?</think>", "")
+    text = F.regexp_replace(text, THOUGHT, " ")
+    text = F.regexp_replace(text, THOUGHT_END, "")
     text = F.replace(text, F.lit("<think>"), F.lit(" "))
-    fence = r"(?is)```(?:cypher|cql|sql|text)?\s*(.*?)```"
-    text = strip(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text))
-    text = F.regexp_replace(text, r"(?i)\A\s*(cypher\s*(query|statement|output)?\s*:|output\s*:|answer\s*:)\s*", "")
+    text = strip(F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
+    text = F.regexp_replace(text, LEAD_IN, "")
     blocks = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda b: b != "")
     starts = F.filter(blocks, lambda b: F.lower(F.regexp_replace(F.substring_index(b, " ", 1), r"\A[`(]+|[`(]+\z", "")).isin(*STARTERS))
     chosen = F.coalesce(F.get(starts, F.lit(0)), F.get(blocks, F.lit(0)), F.lit(""))
