@@ -1,6 +1,7 @@
 """Near duplicates by SuperMinHash signatures, banding, verification on full shingle sets and union by components."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ SMALL, MEET, MEET_HASHES = 4, 256, 1 << 22
 #: Members of a larger group, about, whose majority is its pivot; members of a group that one copy of its pivot meets, about; hashes that
 #: are counted at a time; links that a task unites at a time.
 SAMPLE, SALT, COUNTED, UNITE = 16, 256, 1 << 14, 1 << 20
+#: Bits of the map of ids whose texts are needed, 64 MB: with more than a sixteenth of so many ids more texts pass, and none is missed.
+MOST_BITS, _BLOCK = 1 << 29, 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,6 +252,34 @@ def _salt():
     return F.pmod(F.xxhash64(F.lit(3), "cls"), F.expr(f"k div {SALT} + 1"))
 
 
+def _bitmap(t: pa.Table) -> pa.Table:
+    """The bits of a block that are set."""
+    bits = np.zeros(1 << _BLOCK, bool)
+    bits[t.column("p").to_numpy() & ((1 << _BLOCK) - 1)] = True
+    return pa.table([t.column("block").slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among those of wanted, and a few others: by a map of hashed ids that is broadcast, so that other texts
+    aren't shuffled."""
+    bits = 1 << _BLOCK
+    while bits < min(MOST_BITS, 16 * wanted.count()):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.lit(21), F.col(c)), F.lit(bits).cast("long"))
+    made = wanted.select(place("rep").alias("p")).select(F.shiftright("p", _BLOCK).cast("int").alias("block"), "p").groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
+    table_ = np.zeros((bits >> _BLOCK, 1 << _BLOCK >> 3), np.uint8)
+    for b, x in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
+        table_[b] = np.frombuffer(x, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table_.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.filter(F.col("id").isNotNull()).filter(there(place("id")))
+
+
 def _open(tokens: DataFrame) -> DataFrame:
     """The groups (grp, g) of tokens that may have a link between two components: size k, s and t that tell the members, and the least w of
     all and of the odd ones."""
@@ -270,7 +301,7 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     colours = materialise(groups.select("cls").distinct().withColumn("colour", F.col("cls")), "colours")
 
     named = classes.join(colours.select(F.col("cls").alias("__c")), F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep", "c1", "c2")
-    sets = materialise(docs.join(named, F.col("id") == F.col("rep")).select("cls", "c1", "c2", "text").mapInArrow(_sets(n), "cls long, hashes binary"), "sets")
+    sets = materialise(_likely(docs, named).join(named, F.col("id") == F.col("rep")).select("cls", "c1", "c2", "text").mapInArrow(_sets(n), "cls long, hashes binary"), "sets")
     if sets.count() > named.count():  # rows that repeat with id and text
         sets = materialise(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
