@@ -20,7 +20,7 @@ def paired_rows(rows: DataFrame, comparisons: DataFrame, job: str, item: str, va
     own = first_rows(rows.select(job, item, *values), [job, item], [item])
     a = own.select(F.col(job).alias("job_a"), item, *[F.col(v).alias(f"a_{v}") for v in values])
     b = own.select(F.col(job).alias("job_b"), F.col(item).alias("__item"), *[F.col(v).alias(f"b_{v}") for v in values])
-    left = a.join(F.broadcast(comparisons), "job_a")
+    left = a.join(comparisons, "job_a")
     return left.join(b, (left["job_b"] == b["job_b"]) & (left[item] == b["__item"])).drop(b["job_b"]).drop("__item")
 
 

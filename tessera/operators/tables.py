@@ -135,11 +135,13 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int) -> Da
     last = F.row_number().over(order) == F.count(F.lit(1)).over(all_)
     counts = counts.withColumn("__q", F.when(last, F.lit(n) - before).otherwise(F.col("__q"))).select(F.col(stratum).alias("__s"), "__q")
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(seed, key), key))
-    return rows.withColumn("__r", place).join(F.broadcast(counts), F.col(stratum).eqNullSafe(F.col("__s"))).filter("__r <= __q").drop("__r", "__s", "__q")
+    # no quota is over n, and that limit is a constant, so each task sends on n rows of a stratum at most
+    return rows.withColumn("__r", place).filter(F.col("__r") <= n).join(counts, F.col(stratum).eqNullSafe(F.col("__s"))).filter("__r <= __q").drop("__r", "__s", "__q")
 
 
 def fingerprint(rows: DataFrame, by: list[str], key: str, digits: int = 16) -> DataFrame:
-    """The first digits of the SHA-256 of the group's sorted keys, one a line."""
+    """The first digits of the SHA-256 of the group's sorted keys, one a line. Such a digest needs the keys of a group in one array, of 2 GB at
+    most; groups here are evaluation sets. result_signature() tells groups of any size."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.col(key))), lambda x: x.cast("string")), "\n")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.left(F.sha2(text.cast("binary"), 256), F.lit(digits)).alias("fingerprint"))
 

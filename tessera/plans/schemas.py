@@ -180,7 +180,7 @@ SELECT doc_id, len(list_intersect(d.w, b.w))::INTEGER AS shared, len(d.w)::INTEG
 def element_overlap(spark, sf_dir):
     words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).distinct()
     d = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
-    hits = d.select("doc_id", F.explode("w").alias("w")).join(F.broadcast(words), "w").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    hits = d.select("doc_id", F.explode("w").alias("w")).join(words, "w").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return d.select("doc_id", F.size("w").alias("own")).join(hits, "doc_id", "left").select("doc_id", F.coalesce("shared", F.lit(0)).cast("int").alias("shared"), "own")
 
 
