@@ -64,6 +64,34 @@ def test_near_copies(spark, n, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize(("n", "percent", "base_in"), [(3, 85, True), (5, 80, False)])
+def test_near_copies_in_large_groups(spark, monkeypatch, n, percent, base_in):
+    """Copies of two texts that share a third, changed in different places, cut or lengthened; groups over six are parted by pivots."""
+    monkeypatch.setattr(minhash, "MEET", 6)
+    monkeypatch.setattr(minhash, "SALT", 32)
+    rng = np.random.default_rng(11)
+    vocab, shared, rows = [f"w{k}" for k in range(2000)], None, []
+    for size in (260, 120):
+        base = rng.choice(vocab, 90).tolist()
+        shared = shared or base[:30]
+        base[:30] = shared
+        for _ in range(size):
+            t = list(base)
+            for _ in range(rng.integers(1, 4)):
+                t[rng.integers(len(t))] = str(rng.choice(vocab))
+            if rng.random() < 0.2:
+                t = t[: int(rng.integers(70, 90))]
+            if rng.random() < 0.2:
+                t += rng.choice(vocab, 8).tolist()
+            rows.append(" ".join(t))
+        rows += [" ".join(base)] * base_in
+    rows = list(enumerate(rows))
+    want = brute(rows, n, percent)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 10 < len({c for _, c in want.values()}) < 370
+
+
 def test_near_copies_odd_rows(spark):
     d = spark.createDataFrame([(None, "a b c d", None, None), (3, "a b c d", None, None), (3, "a b c d", None, None), (2, "a b c d", None, None), (9, "x " * 50_000, None, None)], SCHEMA)
     got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect())
