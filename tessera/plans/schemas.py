@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions.graph_query import query_elements
-from tessera.functions.text import alias_to_database, extract_answer, identifier_pieces, is_connectivity_error, is_ordered, ner_mask, plain_prompt, question_tokens
+from tessera.functions.text import SYSTEM, USER, alias_to_database, extract_answer, identifier_pieces, is_connectivity_error, is_ordered, ner_mask, plain_prompt, question_tokens
 from tessera.functions.tokens import tokens
 from tessera.operators import schema as S
 from tessera.plans.bindings import _T
@@ -190,6 +190,9 @@ def cache_keys(spark, sf_dir):
     return p.select("p_partkey", F.md5(F.expr(_QUESTION).cast("binary")).alias("question_key"), F.left(F.sha2(F.concat_ws("|", "p_brand", "p_type").cast("binary"), 256), F.lit(16)).alias("cache_key"))
 
 
-@plan()
+_PROMPT = [f"'{part}'" for part in f"{SYSTEM}\n\n{USER}".split("%s")]
+
+
+@plan(f"SELECT p_partkey, concat({_PROMPT[0]}, {_SCHEMA}, {_PROMPT[1]}, {_QUESTION}, {_PROMPT[2]}) AS prompt FROM part")
 def plain_prompts(spark, sf_dir):
     return _parts(spark, sf_dir).select("p_partkey", plain_prompt(F.col("schema_text"), F.col("question")).alias("prompt"))
