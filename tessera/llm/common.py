@@ -51,6 +51,19 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def parts_for(df: DataFrame, mb: int = 64) -> int:
+    """Partitions for a shuffle of all of df: spark.sql.shuffle.partitions, or more if the optimiser's estimate of its bytes asks for it."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 62 else max(least, size // (mb << 20))  # without statistics the estimate is the largest long
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of df for a function's output schema."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def with_columns(df: DataFrame, cols: dict) -> DataFrame:
     """Adds columns, in place of those of the same name."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in cols}], *[v.alias(k) for k, v in cols.items()])
@@ -68,9 +81,9 @@ class Shelter:
         low = [n.lower() for n in self.names]
         return f"c{self.names.index(name) if name in self.names else low.index(name.lower())}"
 
-    def back(self, out: DataFrame, *added: str) -> DataFrame:
-        """out under the input's names, and the added columns in place of those that are named so in any case."""
-        new = {a.lower() for a in added}
+    def back(self, out: DataFrame, *added: str, without: str | None = None) -> DataFrame:
+        """out under the input's names, and the added columns in place of those that are named so in any case. without: an input column that is left out."""
+        new = {a.lower() for a in (*added, *([self.names[int(self(without)[1:])]] if without else []))}
         return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(self.names) if n.lower() not in new], *added)
 
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, hmm, langid, minhash, mixing, packing, pii, sharding, topk, url_filter
+from tessera.llm import exact_dedup, hmm, langid, minhash, mixing, order_minhash, packing, pii, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
+    "op11_order_minhash": order_minhash.op11_order_minhash,
 }
 SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_topk": topk.OP3_SQL, "op5_minhash": minhash.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
