@@ -140,7 +140,7 @@ def test_trie_of_random_conversations(spark, monkeypatch, run_bytes):
     rng = random.Random(3)
     turns = [("user", "a b"), ("user", "a  b c"), ("", "x"), ("use", "rx"), ("a", "")]
     convs = {c: [rng.choice(turns) for _ in range(rng.choice([0, 1, 2, 3, 6, 9]))] if c % 3 else [turns[0]] * 4 for c in range(-40, 200)}
-    convs[7] = [turns[0]] * 3000
+    convs[7] = [turns[0]] * 200
     rows = [(c, pos, *t) for c, ts in convs.items() for pos, t in enumerate(ts)]
     numbered = prefix_trie.numbered_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3))
     empty = spark.createDataFrame([(c, 0, None) for c in convs], "conv_id long, pos int, item binary")
