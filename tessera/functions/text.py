@@ -14,10 +14,8 @@ STOP_WORDS = (
 STARTERS = ("match", "merge", "create", "call", "with", "unwind", "return", "optional", "detach", "load", "use", "profile", "explain", "set", "delete", "remove", "foreach")
 STOP_MARKERS = ("<|im_end|>", "<end_of_turn>", "<|endoftext|>", "<eos>", "<|eot_id|>")
 ALIAS_PREFIXES = ("neo4jlabs_demo_db_", "neo4jlabs_demo_", "neo4j_demo_", "demo_db_")
-CONNECTIVITY = (
-    "authentication", "unauthorized", "cannot resolve", "unable to retrieve routing", "serviceunavailable", "sessionexpired", "connection refused",
-    "connection reset", "failed to establish connection",
-)
+FATAL_CONNECTION = ("authentication", "unauthorized", "cannot resolve", "unable to retrieve routing")
+TRANSIENT_CONNECTION = ("serviceunavailable", "sessionexpired", "connection refused", "connection reset", "failed to establish connection")
 SYSTEM = (
     "Task: Generate Cypher statement to query a graph database.\n"
     "Instructions: Use only the provided relationship types and properties in the schema. "
@@ -59,7 +57,6 @@ def question_tokens(c: Column) -> Column:
 
 #: What is masked in a question.
 SPAN = r"[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))*"
-LONGER_SPAN = r"\b(?:[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))+|[A-Z][a-z]{3,})\b"
 QUOTED, NUMBER = r"\"[^\"]*\"|'[^']*'", r"\b\d[\d,.]*\b"
 #: Reasoning, fences and lead-ins around a query.
 THOUGHT, THOUGHT_END = r"(?is)<think>.*?</think>", r"(?is)\A.*?</think>"
@@ -67,6 +64,10 @@ FENCE = r"(?is)```(?:cypher|cql|sql|text)?\s*(.*?)```"
 LEAD_IN = r"(?i)\A\s*(cypher\s*(query|statement|output)?\s*:|output\s*:|answer\s*:)\s*"
 
 
+#: A later span of a question, by the same rule as its first.
+LONGER_SPAN = r"\b(?:[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|the|and|de|van))+|[A-Z][a-z]{3,})\b"
+
+
 def ner_mask(c: Column) -> Column:
     """Quoted text and title-case spans (of two words, or of over three letters, and not at the start) as ENTITY, numbers as NUMBER."""
     masked = F.regexp_replace(F.coalesce(c, F.lit("")), QUOTED, " ENTITY ")
@@ -122,8 +123,14 @@ def alias_to_database(c: Column) -> Column:
     return F.nullif(name, F.lit(""))
 
 
+def connection_trouble(c: Column) -> Column:
+    """What an error message says of the connection: `fatal` (no further call can succeed), `transient` or null."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike("|".join(FATAL_CONNECTION)), "fatal").when(low.rlike("|".join(TRANSIENT_CONNECTION)), "transient")
+
+
 def is_connectivity_error(c: Column) -> Column:
-    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(CONNECTIVITY))
+    return connection_trouble(c).isNotNull()
 
 
 def is_ordered(c: Column) -> Column:
