@@ -1,39 +1,104 @@
 """Streams over append-only logs: appending, guards, deduplication and compaction."""
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.streaming.state import carried  # noqa: F401
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float | None = None) -> DataFrame:
-    """Runs a stream over all that is there, or for at most so many seconds, and returns what it has emitted.
+class Limit(StreamingQueryListener):
+    """A wall-clock limit on one query: after so many seconds since it began, at the end of a micro-batch, it asks for a stop."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock, self.began, self.due, self.run = seconds, clock, clock(), False, ""
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) == self.run:
+            self.check()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def check(self) -> bool:
+        self.due = self.due or self.clock() - self.began >= self.seconds
+        return self.due
+
+
+class _Stopped(Exception):
+    """Raised in place of a micro-batch that begins after the limit: it isn't committed, so the next run begins with it."""
+
+
+STOPPED = "stopped between micro-batches by its time limit"
+
+
+def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float | None = None, clock: Callable[[], float] = time.monotonic, rocksdb: bool = False) -> DataFrame:
+    """Runs a stream over all that is there, or for at most so many seconds, and returns what it has emitted in this and earlier runs.
 
     Each micro-batch goes to its own Parquet folder under `checkpoint`-`name`, which a batch that is run again after a failure overwrites; nothing passes
     through the driver. In complete mode the last batch is the result, in the others all are.
+
+    With a limit the batch that is running when the time is over is finished and committed, and no other begins; the first one always
+    runs. Another call with the same name and checkpoint goes on with the next batch: no row is lost, none comes twice. rocksdb: for states
+    that need that store.
     """
-    kind, path = df.schema, f"{checkpoint}-{name}"
+    spark, kind, path = df.sparkSession, df.schema, f"{checkpoint}-{name}"
+    limit = None if seconds is None else Limit(seconds, clock)
+    done: list[int] = []
 
     def batch(part: DataFrame, number: int) -> None:
+        if limit and done and limit.check():
+            raise _Stopped(STOPPED)
         part.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    q = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        done.append(number)
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    if rocksdb:
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if limit:
+        spark.streams.addListener(limit)
+    q = None
     try:
-        q.awaitTermination(seconds) if seconds is not None else q.awaitTermination()
-        last = q.lastProgress["batchId"] if q.lastProgress else None
+        q = writer.start()
+        if limit:
+            limit.run = str(q.runId)
+        q.awaitTermination()
+    except StreamingQueryException as e:
+        if not (limit and limit.due and STOPPED in str(e)):
+            raise
     finally:
-        q.stop()
-    spark = df.sparkSession
-    if last is None:
+        if q:
+            q.stop()
+        if limit:
+            spark.streams.removeListener(limit)
+        if rocksdb:
+            spark.conf.set(store, before) if before else spark.conf.unset(store)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
         return spark.createDataFrame([], kind)
-    out = spark.read.schema(kind).parquet(f"{path}/batch={last}" if mode == "complete" else f"{path}/batch=*")
-    return out
+    if mode != "complete":
+        return spark.read.schema(kind).parquet(f"{path}/batch=*")
+    last = max(int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(at))
+    return spark.read.schema(kind).parquet(f"{path}/batch={last}")
 
 
 def chained(first: DataFrame, then: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
@@ -49,8 +114,8 @@ def append_log(df: DataFrame, path: str, checkpoint: str, interval: str | None =
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
-def mirror(df: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None, tries: int = 3):
-    """Hands each non-empty batch to write, at most once in an interval and up to `tries` times if it fails; an unchanged source hands over nothing."""
+def mirror(df: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None, tries: int = 3, pause_s: float = 1.0):
+    """Hands each non-empty batch to write, at most once in an interval and up to `tries` times, with growing pauses, if it fails; an unchanged source hands over nothing."""
 
     def batch(part: DataFrame, _: int) -> None:
         if not part.limit(1).count():
@@ -58,9 +123,10 @@ def mirror(df: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, i
         for left in range(tries - 1, -1, -1):
             try:
                 return write(part)
-            except Exception:
+            except Exception:  # whatever the other side raises
                 if not left:
                     raise
+                time.sleep(pause_s * (tries - left))
 
     w = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
@@ -102,12 +168,6 @@ def latest_state(df: DataFrame, key: list[str], rank: str, values: list[str]) ->
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"best.{c}").alias(c) for c in [rank, *values]])
 
 
-def carried(before: str, chunk: str) -> tuple[list[str], str]:
-    """Whole lines of a log chunk, each as last_segment() shows it, and the partial line to carry over to the next chunk."""
-    *lines, rest = (before + chunk).split("\n")
-    return [line.rsplit("\r", 1)[-1] for line in lines], rest
-
-
 def event_counts(df: DataFrame, time: str, by: list[str], window: str, delay: str) -> DataFrame:
     return df.withWatermark(time, delay).groupBy(F.window(time, window), *by).agg(F.count(F.lit(1)).alias("n"))
 
