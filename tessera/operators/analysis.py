@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import last, masked_labels
@@ -42,21 +42,38 @@ def units(size_bytes: Column, params: Column, mean_ms: Column) -> dict[str, Colu
     return {"size_mb": size_bytes / 1e6, "bits_per_weight": F.try_divide(8.0 * size_bytes, F.nullif(params, F.lit(0))), "per_hour": F.try_divide(F.lit(3.6e6), F.nullif(mean_ms, F.lit(0.0)))}
 
 
-def features(rows: DataFrame, budget: int, ids: Callable[[Column], Column] | None = None, slack: int = 32) -> DataFrame:
+class Counters:
+    """What features() drops and trims, counted in the pass that does so; read after an action has run over its result, once."""
+
+    def __init__(self):
+        self.before, self.after = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        """rows, empty_target and long_target (dropped), kept, trimmed, over_budget (kept with a prompt that was cut)."""
+        return {k: int(v or 0) for k, v in (self.before.get | self.after.get).items()}
+
+
+def features(rows: DataFrame, budget: int, ids: Callable[[Column], Column] | None = None, slack: int = 32, counters: Counters | None = None) -> DataFrame:
     """input_ids and labels of examples (question, schema_text, target) that fit a budget.
 
     Rows without a target, and with one of over budget - slack tokens, are dropped; so no row is left whose labels are all ignored, and
     no filter stands above the unrolled loop, which would be copied into it. The schema is trimmed to fit; a prompt that still overflows
-    keeps its end. Ids default to hashes of the query tokens.
+    keeps its end. Ids default to hashes of the query tokens. counters gets the numbers of what is dropped and trimmed.
     """
     count = (lambda p: F.size(ids(p))) if ids else None
     ids = ids or (lambda c: F.transform(tokens(c), lambda t: F.hash(t)))
-    d = rows.withColumn("__target", ids(F.col("target"))).filter((F.col("target") != "") & (F.size("__target") + slack <= budget))
+    d = rows.withColumn("__target", ids(F.col("target")))
+    empty, long_ = F.coalesce(F.col("target"), F.lit("")) == "", F.size("__target") + slack > budget
+    if counters:
+        d = d.observe(counters.before, F.count(F.lit(1)).alias("rows"), F.count_if(empty).alias("empty_target"), F.count_if(~empty & long_).alias("long_target"))
+    d = d.filter((F.col("target") != "") & ~long_)
     d = fit_prompt(d.withColumnRenamed("schema_text", "__schema"), "__schema", "question", F.size("__target"), budget, count=count)
     d = d.withColumn("__prompt", ids(F.col("prompt")))
     d = d.withColumn("__prompt", F.when(F.col("over_budget"), last(F.col("__prompt"), budget - F.size("__target"))).otherwise(F.col("__prompt")))
     whole, labels = F.concat("__prompt", "__target"), masked_labels(F.col("__prompt"), F.col("__target"))
     d = d.withColumns({"input_ids": last(whole, F.lit(budget)), "labels": last(labels, F.lit(budget))})
+    if counters:
+        d = d.observe(counters.after, F.count(F.lit(1)).alias("kept"), F.count_if("schema_trimmed").alias("trimmed"), F.count_if("over_budget").alias("over_budget"))
     return d.drop("__target", "__prompt", "__schema", "prompt")
 
 

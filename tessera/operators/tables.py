@@ -1,10 +1,18 @@
 """Health, telemetry, latency, sampling, set and planning tables."""
 
+import hashlib
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
 from tessera.functions.stats import nearest_ranks
+from tessera.operators.ordering import in_order
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
 # ---- health of gold queries ------------------------------------------------------------------------------------------------------------
@@ -139,11 +147,37 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int) -> Da
     return rows.withColumn("__r", place).filter(F.col("__r") <= n).join(counts, F.col(stratum).eqNullSafe(F.col("__s"))).filter("__r <= __q").drop("__r", "__s", "__q")
 
 
+def _digests(batches):
+    """SHA-256 of each group's keys, one a line, from rows (group, key) that come sorted."""
+    group, sha, n, rows = None, None, 0, []
+    for b in batches:
+        for g, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if g != group:
+                if group is not None:
+                    rows.append((group, n, sha.hexdigest()))
+                group, sha, n = g, hashlib.sha256(), 0
+            sha.update((b"\n" if n else b"") + key.encode())
+            n += 1
+        if len(rows) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["__g", "__n", "fingerprint"])
+            rows = []
+    if group is not None:
+        rows.append((group, n, sha.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["__g", "__n", "fingerprint"])
+
+
 def fingerprint(rows: DataFrame, by: list[str], key: str, digits: int = 16) -> DataFrame:
-    """The first digits of the SHA-256 of the group's sorted keys, one a line. Such a digest needs the keys of a group in one array, of 2 GB at
-    most; groups here are evaluation sets. result_signature() tells groups of any size."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.col(key))), lambda x: x.cast("string")), "\n")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.left(F.sha2(text.cast("binary"), 256), F.lit(digits)).alias("fingerprint"))
+    """n and the first digits of the SHA-256 of the group's sorted keys, one a line; null keys count as rows alone.
+
+    Such a digest takes the keys one after the other: a group's go through one task, sorted by Spark and read as a stream, and none is held.
+    """
+    group = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(by)]), {"ignoreNullFields": "false"})
+    keyed = rows.filter(F.col(key).isNotNull()).select(group.alias("__g"), F.col(key).alias("__k"))
+    streams = keyed.repartition("__g").sortWithinPartitions("__g", "__k").select("__g", F.col("__k").cast("string"))
+    made = streams.mapInArrow(_digests, "__g string, __n long, fingerprint string").select("__g", F.left("fingerprint", F.lit(digits)).alias("fingerprint"))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("__c", group)
+    empty = hashlib.sha256(b"").hexdigest()[:digits]
+    return counts.join(made, F.col("__c") == F.col("__g"), "left").select(*by, "n", F.coalesce("fingerprint", F.lit(empty)).alias("fingerprint"))
 
 
 # ---- sets, plans, integrity ------------------------------------------------------------------------------------------------------------
@@ -207,9 +241,14 @@ def expected_against_actual(expected: DataFrame, actual: DataFrame, on: list[str
 
 
 def admitted(jobs: DataFrame, by: list[str], order: list, cost: str, budget: float) -> DataFrame:
-    """Jobs in order while the running cost fits the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return jobs.withColumn("running_cost", F.sum(cost).over(w)).filter(F.col("running_cost") <= budget)
+    """Jobs in order while the running cost of their group fits the budget. One running sum goes over all rows, by ranges of the order, and a
+    group's begins with what the groups before it hold; so no task holds a group."""
+    groups = [F.col(c).asc_nulls_first() for c in by]
+    all_ = in_order(jobs, [*groups, *[F.col(c).asc() if isinstance(c, str) else c for c in order]], F.col(cost), running="running_cost").drop("rank")
+    before = all_.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(F.col("running_cost") - F.coalesce(F.col(cost), F.lit(0))).alias("__before"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = all_.join(before, on) if by else all_.crossJoin(before)
+    return out.withColumn("running_cost", F.col("running_cost") - F.col("__before")).drop("__before", *[f"__{c}" for c in by]).filter(F.col("running_cost") <= budget)
 
 
 def reuse(planned: DataFrame, finished: DataFrame, on: list[str], provenance: list[str]) -> DataFrame:

@@ -36,6 +36,20 @@ def spread(scan):
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def parts_for(df, mb: int = 64) -> int:
+    """Partitions for a shuffle of all of df: spark.sql.shuffle.partitions, or more if the optimiser's estimate of its bytes asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 62 else max(least, size // (mb << 20))  # without statistics the estimate is the largest long
+
+
+def staged(df, label: str = "t"):
+    """df written to the shared folder and read again: worked out once, and safe from lost executors."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark, label: str) -> str:
     """A new folder's name under spark.checkpoint.dir, which the driver and all executors see. Where that is unset: in a folder of our own in a
     local session; on a cluster, whose executors could not see it, an error."""
