@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.arrays import last, masked_labels
 from tessera.functions.text import alias_to_database
 from tessera.functions.tokens import strip, tokens
+from tessera.operators.ordering import in_order
 from tessera.operators.schema import apply_mode, fit_prompt
 from tessera.operators.tables import with_interval_text
 
@@ -116,10 +117,14 @@ def cheapest(rows: DataFrame, keys: list[str], choice: str, cost: Column) -> Dat
 
 
 def typical(rows: DataFrame, by: list[str], size: str, tie: str) -> DataFrame:
-    """The middle row of each group by size (the upper of two)."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("__r", F.row_number().over(w.orderBy(size, tie))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return placed.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1).drop("__r", "__n")
+    """The middle row of each group by size (the upper of two), nulls first. tie tells rows of one size apart.
+
+    Rows are placed by ranges over all groups, see in_order(), and a group's places begin after those of the groups before it; so no task
+    holds a group.
+    """
+    placed = in_order(rows, [*[F.col(c).asc_nulls_first() for c in by], F.col(size).asc_nulls_first(), F.col(tie)], rank="__r")
+    middle = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg((F.min("__r") + F.floor(F.count(F.lit(1)) / 2)).alias("__m"))
+    return placed.join(middle.select("__m"), F.col("__r") == F.col("__m"), "left_semi").drop("__r")
 
 
 def pruned(rows: DataFrame, before: str, after: str) -> DataFrame:

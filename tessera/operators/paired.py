@@ -15,9 +15,11 @@ def all_pairs(jobs: DataFrame, job: str, order: str) -> DataFrame:
     return a.join(b, F.col("__a") < F.col("__b")).select("job_a", "job_b")
 
 
-def paired_rows(rows: DataFrame, comparisons: DataFrame, job: str, item: str, values: list[str]) -> DataFrame:
-    """Rows of job_a and job_b on the same item, for each comparison (comparison, job_a, job_b); the first row of an item counts."""
-    own = first_rows(rows.select(job, item, *values), [job, item], [item])
+def paired_rows(rows: DataFrame, comparisons: DataFrame, job: str, item: str, values: list[str], order: list) -> DataFrame:
+    """Rows of job_a and job_b on the same item, for each comparison (comparison, job_a, job_b). Where a job has an item more than once, its
+    first row in the given order counts, and of rows that tie in it that of the least values; so it never matters how rows are dealt."""
+    ties = [c for c in values if not rows.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    own = first_rows(rows, [job, item], [*order, *ties]).select(job, item, *values)
     a = own.select(F.col(job).alias("job_a"), item, *[F.col(v).alias(f"a_{v}") for v in values])
     b = own.select(F.col(job).alias("job_b"), F.col(item).alias("__item"), *[F.col(v).alias(f"b_{v}") for v in values])
     left = a.join(comparisons, "job_a")

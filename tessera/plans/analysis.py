@@ -1,7 +1,5 @@
 """Queries of examples, families, wide tables, benches and headlines."""
 
-from itertools import product
-
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import wilson
@@ -33,22 +31,24 @@ def built_examples(spark, sf_dir):
     return A.examples(_corpus(spark, sf_dir)).select("instance_id", "question", F.length("schema_text").alias("chars"), "target")
 
 
-_JOBS = """SELECT concat(m, '-', v, '-', c, '-', b) AS job_id, m AS model, v AS variant, c AS condition, b AS backend FROM (SELECT unnest(['m1', 'm2', 'm3']) AS m), (SELECT unnest(['enhanced', 'pruned']) AS v),
-(SELECT unnest(['zero_shot', 'fine_tuned', 'cross_schema']) AS c), (SELECT unnest(['hf', 'llamacpp']) AS b)"""
+_JOBS = """SELECT concat('j', min(c_custkey)) AS job_id, concat('m', c_nationkey) AS model, ['enhanced', 'pruned'][c_custkey % 2 + 1] AS variant, ['zero_shot', 'fine_tuned', 'cross_schema'][c_custkey % 3 + 1] AS condition,
+['hf', 'llamacpp'][c_custkey // 6 % 2 + 1] AS backend FROM customer GROUP BY 2, 3, 4, 5"""
 
 
-@plan(f"""WITH j AS ({_JOBS}), p AS (SELECT a.job_id AS x, b.job_id AS y, a.model AS am, b.model AS bm, a.variant AS av, b.variant AS bv, a.condition AS ac, b.condition AS bc, a.backend AS ab, b.backend AS bb FROM j a, j b),
-f AS (SELECT 'fine_tuning_effect' AS family FROM p WHERE am = bm AND av = bv AND ab = bb AND ac = 'zero_shot' AND bc = 'fine_tuned' UNION ALL
-SELECT 'schema_filtering' FROM p WHERE am = bm AND ac = bc AND ab = bb AND ac IN ('fine_tuned', 'zero_shot') AND av = 'enhanced' AND bv = 'pruned' UNION ALL
-SELECT 'model_comparison' FROM p WHERE ab = bb AND am < bm AND av = 'enhanced' AND bv = 'enhanced' AND ac = 'fine_tuned' AND bc = 'fine_tuned' UNION ALL
-SELECT 'quantisation' FROM p WHERE am = bm AND av = bv AND ac = 'fine_tuned' AND bc = 'fine_tuned' AND ab = 'hf' AND bb = 'llamacpp' UNION ALL
-SELECT 'schema_inference_effect' FROM p WHERE am = bm AND ab = bb AND av = 'enhanced' AND bv = 'enhanced' AND ac = 'fine_tuned' AND bc = 'cross_schema' UNION ALL
-SELECT 'schema_training_effect' FROM p WHERE am = bm AND ab = bb AND av = 'enhanced' AND bv = 'pruned' AND ac = 'cross_schema' AND bc = 'fine_tuned')
-SELECT family, count(*) AS n FROM f GROUP BY 1""")
+@plan(f"""WITH j AS ({_JOBS}), p AS (SELECT a.job_id AS job_a, b.job_id AS job_b, a.model AS am, b.model AS bm, a.variant AS av, b.variant AS bv, a.condition AS ac, b.condition AS bc, a.backend AS ab, b.backend AS bb FROM j a, j b)
+SELECT job_a, job_b, 'fine_tuning_effect' AS family, am || ' ' || av AS comparison FROM p WHERE am = bm AND av = bv AND ab = bb AND ac = 'zero_shot' AND bc = 'fine_tuned' UNION ALL
+SELECT job_a, job_b, 'schema_filtering', am || ' ' || ac FROM p WHERE am = bm AND ac = bc AND ab = bb AND ac IN ('fine_tuned', 'zero_shot') AND av = 'enhanced' AND bv = 'pruned' UNION ALL
+SELECT job_a, job_b, 'model_comparison', am || ' vs ' || bm FROM p WHERE ab = bb AND am < bm AND av = 'enhanced' AND bv = 'enhanced' AND ac = 'fine_tuned' AND bc = 'fine_tuned' UNION ALL
+SELECT job_a, job_b, 'quantisation', am || ' ' || av FROM p WHERE am = bm AND av = bv AND ac = 'fine_tuned' AND bc = 'fine_tuned' AND ab = 'hf' AND bb = 'llamacpp' UNION ALL
+SELECT job_a, job_b, 'schema_inference_effect', am FROM p WHERE am = bm AND ab = bb AND av = 'enhanced' AND bv = 'enhanced' AND ac = 'fine_tuned' AND bc = 'cross_schema' UNION ALL
+SELECT job_a, job_b, 'schema_training_effect', am FROM p WHERE am = bm AND ab = bb AND av = 'enhanced' AND bv = 'pruned' AND ac = 'cross_schema' AND bc = 'fine_tuned'""")
 def comparison_families(spark, sf_dir):
-    every = product(("m1", "m2", "m3"), ("enhanced", "pruned"), ("zero_shot", "fine_tuned", "cross_schema"), ("hf", "llamacpp"))
-    jobs = spark.createDataFrame([("-".join(x), *x) for x in every], "job_id string, model string, variant string, condition string, backend string").coalesce(1)
-    return A.comparison_families(jobs).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    """A registry of jobs out of the customers, one for each combination that occurs, and the pairs that differ in one respect."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    named = c.select(k, F.concat(F.lit("m"), "c_nationkey").alias("model"), pick(["enhanced", "pruned"], k % 2).alias("variant"), pick(["zero_shot", "fine_tuned", "cross_schema"], k % 3).alias("condition"), pick(["hf", "llamacpp"], F.floor(k / 6) % 2).alias("backend"))
+    jobs = named.groupBy("model", "variant", "condition", "backend").agg(F.concat(F.lit("j"), F.min(k)).alias("job_id"))
+    return A.comparison_families(jobs).select("job_a", "job_b", "family", "comparison")
 
 
 @plan("""SELECT o_orderpriority, max(CASE WHEN o_orderstatus = 'F' THEN n END) AS F, max(CASE WHEN o_orderstatus = 'O' THEN n END) AS O, max(CASE WHEN o_orderstatus = 'P' THEN n END) AS P

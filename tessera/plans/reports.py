@@ -108,7 +108,7 @@ def _by_item(spark, sf_dir, scored: bool = True):
 
 def _paired(spark, sf_dir, values: list[str], jobs: list[tuple]):
     named = spark.createDataFrame(jobs, "model string, job_a string, job_b string")
-    return paired_rows(_by_item(spark, sf_dir), named, "job_id", "item", values)
+    return paired_rows(_by_item(spark, sf_dir), named, "job_id", "item", values, ["id"])
 
 
 _AB = f"""it AS (SELECT *, {_ITEM} AS item, {_CHARS} AS schema_chars FROM scored), p AS (SELECT a.model, a.item, a.schema_chars AS a_c, b.schema_chars AS b_c, a.prompt_tokens AS a_t, b.prompt_tokens AS b_t, b.schema_chars / a.schema_chars::DOUBLE AS r,
@@ -176,7 +176,7 @@ def integrity_report(spark, sf_dir):
     r = _by_item(spark, sf_dir, scored=False)
     jobs = spark.createDataFrame(_REGISTRY, "job_id string, status string, error string, git_commit string, platform string, adapter_verified string, fingerprint_trained string, fingerprint_now string")
     base = spark.createDataFrame([(f"job{k}", "job0", f"job{k}") for k in (1, 2, 3)], "comparison string, job_a string, job_b string")
-    same = R.identical_shares(paired_rows(r, base, "job_id", "item", ["predicted_cypher"]), ["job_a", "job_b"])
+    same = R.identical_shares(paired_rows(r, base, "job_id", "item", ["predicted_cypher"], ["id"]), ["job_a", "job_b"])
     dead = R.gold_table(r.withColumn("gold_error", F.lit(None).cast("string")), "data_source", "id", ["turn"]).select(F.col("data_source").alias("database"), "dead")
     return R.integrity(r, jobs, r.select("job_id").distinct(), same, dead)
 
@@ -190,5 +190,5 @@ def paired_values(spark, sf_dir):
     """Paired differences of sentence GLEU and of a cost for every two jobs, with bootstrap bounds."""
     r = _by_item(spark, sf_dir)
     named = all_pairs(r.select("job_id").distinct(), "job_id", "job_id").withColumn("comparison", F.concat_ws(" vs ", "job_a", "job_b"))
-    p = paired_rows(r, named, "job_id", "item", ["gleu", "prompt_tokens"])
+    p = paired_rows(r, named, "job_id", "item", ["gleu", "prompt_tokens"], ["id"])
     return rounded(R.paired_values(p, ["comparison"], "item", {"sentence_gleu": "gleu", "prompt_tokens": "prompt_tokens"}))

@@ -58,7 +58,7 @@ def _compared(spark, sf_dir):
     scored = score_rows(r, ["id"])
     jobs = r.select("job_id").distinct()
     named = all_pairs(jobs, "job_id", "job_id").withColumn("comparison", F.concat_ws(" vs ", "job_a", "job_b"))
-    return paired_rows(scored, named, "job_id", "item", [*_VALUES, "gleu", "predicted_cypher"])
+    return paired_rows(scored, named, "job_id", "item", [*_VALUES, "gleu", "predicted_cypher"], ["id"])
 
 
 _PAIRED = SQL_SCORED + """, it AS (SELECT *, (id // 1000) // 4 * 1000 + turn AS item FROM scored),
@@ -123,3 +123,14 @@ SELECT judge, count(*) AS n, round(avg(r), 4) AS share FROM j SEMI JOIN k USING
 def judged_everywhere(spark, sf_dir):
     j = read(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 4).alias("judge"), (F.col("l_returnflag") == "R").cast("double").alias("r"))
     return rounded(judged_by_all(j, "l_partkey", "judge").groupBy("judge").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("share")))
+
+
+@plan("""WITH r AS (SELECT l_linenumber AS job, l_partkey AS item, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_linenumber, l_partkey ORDER BY l_orderkey) AS place FROM lineitem),
+o AS (SELECT * FROM r WHERE place = 1) SELECT a.job AS job_a, b.job AS job_b, count(*) AS n, round(sum(b.q - a.q), 4) AS quantity, round(avg((a.d = b.d)::INTEGER), 4) AS same_discount FROM o a JOIN o b ON a.item = b.item AND a.job < b.job GROUP BY 1, 2""")
+def paired_repeats(spark, sf_dir):
+    """Line numbers as jobs and parts as items, which most jobs have many times: the line of the smallest order counts."""
+    lines = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_linenumber": "job", "l_partkey": "item"})
+    named = all_pairs(lines.select("job").distinct(), "job", "job").withColumn("comparison", F.concat_ws(" vs ", "job_a", "job_b"))
+    p = paired_rows(lines, named, "job", "item", ["l_quantity", "l_discount"], ["l_orderkey"])
+    each = p.groupBy("job_a", "job_b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b_l_quantity") - F.col("a_l_quantity")).alias("quantity"), F.avg((F.col("a_l_discount") == F.col("b_l_discount")).cast("double")).alias("same_discount"))
+    return rounded(each)

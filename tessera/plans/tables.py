@@ -227,7 +227,8 @@ def batch_padding(spark, sf_dir):
     p = pairs(spark, sf_dir).select("id", (F.col("id") % 16).alias("batch"), tokens(F.col("gold_cypher")).alias("p"), tokens(F.col("predicted_cypher")).alias("h"))
     p = p.select("id", "batch", F.transform("p", lambda t: F.hash(t)).alias("prompt"), F.transform("h", lambda t: F.hash(t)).alias("target"))
     p = p.withColumns({"ids": F.concat("prompt", "target"), "labels": masked_labels(F.col("prompt"), F.col("target"))})
-    p = p.withColumn("width", padded_length(F.max(F.size("ids")).over(Window.partitionBy("batch"))))
+    longest = p.groupBy("batch").agg(padded_length(F.max(F.size("ids"))).alias("width"))  # a row a batch
+    p = p.join(longest, "batch")
     p = p.withColumns({"pi": padded(F.col("ids"), F.col("width"), 0), "pl": padded(F.col("labels"), F.col("width"), -100)})
     masked = F.size(F.filter(F.slice("labels", 1, F.size("prompt")), lambda x: x == -100)).cast("long")
     return p.select("id", "width", F.size("pi").alias("padded_ids"), F.size("pl").alias("padded_labels"), F.size("ids").cast("long").alias("attention"), masked.alias("masked"), (F.col("width") - F.size("ids")).cast("long").alias("padding"))

@@ -149,3 +149,20 @@ def test_counters_of_examples(spark):
     n = A.features(spark.createDataFrame(rows, "question string, schema_text string, target string"), 120, counters=counters).collect()
     got = counters.get()
     assert len(n) == got["kept"] == 3 and got["rows"] == 6 and got["empty_target"] == 2 and got["long_target"] == 1 and got["trimmed"] >= 2 and got["over_budget"] >= 1
+
+
+def test_repeated_items_and_the_order_that_decides(spark):
+    from tessera.operators.paired import paired_rows
+
+    rows = [("a", 1, "y", 2), ("a", 1, "x", 1), ("a", 2, "p", 1), ("b", 1, "q", 5), ("b", 1, "r", 5), ("b", 2, "s", None), ("b", 2, "t", 1)]
+    pairs = spark.createDataFrame([("a vs b", "a", "b")], "comparison string, job_a string, job_b string")
+    for shuffled in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(shuffled, "job string, item int, v string, turn int").repartition(3)
+        got = {r.item: (r.a_v, r.b_v) for r in paired_rows(df, pairs, "job", "item", ["v"], [F.col("turn").asc_nulls_last()]).collect()}
+        assert got == {1: ("x", "q"), 2: ("p", "t")}
+
+
+def test_middle_rows(spark):
+    rows = [(g, k, n) for g, ns in {"a": [5, 1, 3, 3, 9, 2], None: [4], "z": [2, None, 2, 8]}.items() for k, n in enumerate(ns)]
+    got = A.typical(spark.createDataFrame(rows, "g string, k int, n int").repartition(3), ["g"], "n", "k")
+    assert sorted(((r.g, r.k, r.n) for r in got.collect()), key=str) == sorted([("a", 3, 3), (None, 0, 4), ("z", 2, 2)], key=str)
