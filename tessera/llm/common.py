@@ -16,7 +16,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch: texts are long, and a task holds several copies of a batch in its JVM and its Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES, where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name, str(BATCH_BYTES + 1))).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +85,7 @@ class Shelter:
     """The table with its columns as c0, c1, ..., so that no name of an operator's own can clash with one of the input's; and back."""
 
     def __init__(self, df: DataFrame):
+        bound_batches(df.sparkSession)
         self.names = df.columns
         self.df = df.toDF(*[f"c{k}" for k in range(len(self.names))])
 

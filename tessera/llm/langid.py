@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices, table, text_buffers, with_columns, worker_cache
+from tessera.llm.common import bound_batches, mix, slices, table, text_buffers, with_columns, worker_cache
 
 #: Hash buckets of an n-gram, lengths of n-grams, additive smoothing.
 BUCKETS, ORDERS, ALPHA = 1 << 16, (1, 2, 3), 0.5
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Rows with a null text or language are not used. The sample is bounded, and so is what reaches the driver: _TASKS tables of
     languages by BUCKETS counts.
     """
+    bound_batches(docs.sparkSession)
     seen = docs.filter(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
     share = {r[0]: r[1] for r in seen.groupBy(F.col(f"`{lang_col}`").cast("string")).count().limit(MOST_LANGS + 1).collect()}
     langs = sorted(share)
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     A null text, an empty one and one without a letter is `und` with score 0. An empty table gives an empty result. Input columns
     named lang_pred or score, in any case, are replaced. keep: the columns that go along, all by default.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     named = {c: f"c{k}" for k, c in enumerate(keep)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Encoder
-from tessera.llm.common import materialise, slices, table, text_buffers, worker_cache
+from tessera.llm.common import bound_batches, materialise, slices, table, text_buffers, worker_cache
 
 VOCABULARY, WINDOW, END = "byte_bpe_50k.json", 2048, 1
 #: Documents of one shard of the index, query terms of a seed, and neighbours that are tried whole before one is cut.
@@ -242,6 +242,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     A null text is empty and has the end id alone. Rows that repeat are packed each for itself; a null id stays null. An empty table
     gives an empty result. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     d = d.withColumn("tag", F.xxhash64("id", "text"))
     shards = max(1, -(-docs.count() // SHARD_ROWS))
