@@ -11,25 +11,37 @@ HONORIFICS = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Madam", "Госпожа", "Κυρία"),
     "n": ("Dr", "Prof"),
 }
-SECRET_NAMES = "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key"
+SECRET_NAMES = "password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key"
+#: Small words within a person's name, which stay.
+PARTICLES = "van|von|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|du|la|le|las|los|ten|ter|y|bin|ibn|al|el"
 _TITLES = "|".join(t for g in HONORIFICS.values() for t in g)
-_NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
+#: A part of a name (McDonald, O'Brien, Anne-Marie, SMITH), an initial, and names of any number of parts.
+_NAME = r"\p{Lu}(?:\p{L}++(?:[-'’]\p{Lu}\p{L}*+)*+|(?:[-'’]\p{Lu}\p{L}++)++)"
+_INITIALS = r"(?:\p{Lu}\. ?)"
+_NAMES = rf"(?:{_INITIALS}++(?=\p{{Lu}}))?{_NAME}(?: (?:(?:{PARTICLES}) ){{0,3}}+(?:{_INITIALS}++(?=\p{{Lu}}\p{{L}}))?{_NAME})*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _US = r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 #: Four groups of four count as a card at once, other lengths and forms by Luhn's check.
 _CARD = r"\d{4}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})"
 #: Country calling codes: one digit, the two-digit ones, else three.
 _CALLING = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Phones as they are dialled at home (0 30 ..., 01 42 ...) and abroad (00 and a country): 9 to 13 and 10 to 15 digits.
+_HOME = r"(?<![\d.,:/-])(?:(?=0(?:[ /-]?\d){8,12}(?![ /-]?\d))0[1-9]\d{0,4}[ /-]\d{2,8}(?: \d{2,4}){0,4}(?![\w:])|(?=00(?:[ -]?\d){8,13}(?![ -]?\d))00[1-9]\d*(?: \d+){0,6}(?![\w:]))"
 #: In the order in which they are tried at each place. Java's regular expressions.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9])(?i:{SECRET_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{8,}}+",
+    "secret": rf"""(?<![A-Za-z0-9])(?i:{SECRET_NAMES})["']?\s{{0,3}}(?:=>|[=:])\s{{0,3}}(?:"(?=[^"\n]*?[A-Za-z0-9])[^"\n]{{6,}}+(?="|\z)|'(?=[^'\n]*?[A-Za-z0-9])[^'\n]{{6,}}+(?='|\z)|["']?(?=[^\s"<A-Za-z0-9]*+[A-Za-z0-9])(?:[^\s"<]{{8,}}+|(?=[^\s"<\d]*+\d)[^\s"<]{{6,}}+))""",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])",
+    "low_iban": r"(?<![A-Za-z0-9])[a-z]{2}\d{2}[a-z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": rf"(?<!\d)(?:{_CARD}(?!\d)|\d(?:[ -]?\d){{12,18}}(?![ -]?\d))",
-    "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?{_US}(?!\d)|\+(?:[ .-]?\(?\d\)?){{8,15}}(?!\d)|(?<![\d.-])\d{{10}}(?!\w))",
+    "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?{_US}(?!\d)|\+(?:[ .-]?\(?\d\)?){{8,15}}(?!\d)|(?<![\d.-])\d{{10}}(?!\w)|{_HOME})",
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}\d])",
+    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? {_NAMES}(?![\p{{L}}\d])",
+    # two names right before an e-mail address that is made of them
+    "signed": rf"(?<![\p{{L}}\d])(?<gn>{_NAME}) (?<fn>{_NAME})(?=[ ,;:]{{0,3}}(?i:e?-?mail:? ?)?[<(\[]?(?iu:\k<gn>[._-]?\k<fn>)@)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Rounds in which colliding surrogates are drawn again; one that is longer every second time, where its type allows that.
@@ -44,10 +56,14 @@ _MARK, _ESCAPE, _MARK_IN, _ESCAPE_IN = "\x00", "\x01", "\x01\x02", "\x01\x03"
 
 
 def _kind(m: Column) -> Column:
+    """The type of a match; `none` for a number that is no card and a word that is no IBAN. The patterns are tried as in a text, but for what must stand around."""
     out = None
-    for k in ("secret", "person", "email", "ssn", "ip", "iban", "phone"):
+    for k in ("secret", "person", "email", "ssn", "ip", "ip6", "iban", "phone"):
         hit = m.rlike(rf"\A(?:{PATTERNS[k]})\z".replace(r"(?<![A-Za-z0-9])", "").replace(r"(?<![\p{L}\d])", ""))
         out = F.when(hit, k) if out is None else out.when(hit, k)
+    out = out.when(m.rlike(r"\A\p{Lu}"), "person")  # signed
+    low = F.upper(m)
+    out = out.when(m.rlike(r"\A[a-z]"), F.when(_iban(F.substring(low, 1, 2), F.substring(low, F.lit(5), F.length(low))) == low, "iban").otherwise("none"))
     digits = F.regexp_replace(m, r"\D", "")
     n = F.length(digits)
     valid = m.rlike(rf"\A{_CARD}\z") | (_luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
@@ -56,27 +72,41 @@ def _kind(m: Column) -> Column:
 
 def _prefix(kind: Column, m: Column) -> Column:
     """What of a match stays as it is: the name of a secret, the title of a person, the country code of a number."""
-    return F.when(kind == "secret", F.regexp_extract(m, r"\A[^=:]*[=:]\s*[\"']?", 0)).when(kind == "person", F.regexp_extract(m, r"\A[^ ]+ ", 0)).when(kind == "phone", F.regexp_extract(m, rf"\A(?:\+\d{{1,3}}[ .-]?(?={_US}\z)|\+{_CALLING}[ .-]?)", 0)).otherwise("")
+    return F.when(kind == "secret", F.regexp_extract(m, r"\A[^=:]*(?:=>|[=:])\s*[\"']?", 0)).when(kind == "person", F.regexp_extract(m, rf"\A(?:{_TITLES})\.? ", 0)).when(kind == "phone", F.regexp_extract(m, rf"\A(?:\+\d{{1,3}}[ .-]?(?={_US}\z)|\+{_CALLING}[ .-]?|00{_CALLING} ?|0[1-9](?=[\d /-]))", 0)).otherwise("")
 
 
 def _script(s: Column) -> Column:
     return F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def entities(m: Column) -> Column:
-    """The entities of a match as structs of type, canonical form and gender (m, f or empty). A person with two names is two, so that
-    either may come back alone. The title is no part of a name: Dr. and Mr. John are one John."""
-    kind = _kind(m)
+def _tokens(body: Column) -> Column:
+    """The parts of a person's names: a blank after an initial may be missing."""
+    return F.split(F.regexp_replace(body, r"\.(?=[^ ])", ". "), " ")
+
+
+def _is_entity(token: Column) -> Column:
+    """Whether a part of a name is one that has a surrogate; initials are drawn, particles stay."""
+    return ~token.rlike(rf"\A(?:\p{{Lu}}\.|{PARTICLES})\z")
+
+
+def _proper(token: Column) -> Column:
+    """A name's canonical form: of one in capitals, with one capital."""
+    return F.when((F.length(token) > 1) & (token == F.upper(token)), F.initcap(F.lower(token))).otherwise(token)
+
+
+def entities(m: Column, kind: Column | None = None) -> Column:
+    """The entities of a match as structs of type, canonical form, gender (m, f or empty) and form in the text. A person has one for each
+    part of the name, so that any may come back alone; the last is the family's. The title is no part of a name: Dr. and Mr. John are one John."""
+    kind = _kind(m) if kind is None else kind
     body = F.substring(m, F.length(_prefix(kind, m)) + 1, F.length(m))
-    title = F.regexp_extract(m, r"\A[^ .]+", 0)
+    title = F.regexp_extract(m, rf"\A({_TITLES})\.? ", 1)
     gender = F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("")
-    names = F.split(body, " ")
-    entity = lambda t, c, g: F.struct(t.alias("type"), c.alias("canon"), g.alias("gender"))
-    given = entity(F.lit("given"), F.get(names, F.lit(0)), gender)
-    family = entity(F.lit("family"), F.element_at(names, -1), F.lit(""))
-    canon = F.when(kind == "email", F.lower(body)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(body, r"\D", "")).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
-    none = F.expr("cast(array() as array<struct<type: string, canon: string, gender: string>>)")
-    return F.when(kind == "none", none).when(kind == "person", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(entity(kind, canon, F.lit(""))))
+    entity = lambda t, c, g, raw: F.struct(t.alias("type"), c.alias("canon"), g.alias("gender"), raw.alias("raw"))
+    names = F.filter(_tokens(body), _is_entity)
+    persons = F.transform(names, lambda x, i: entity(F.when(i == F.size(names) - 1, "family").otherwise("given"), _proper(x), F.when((i == 0) & (F.size(names) > 1), gender).otherwise(""), x))
+    canon = F.when(kind.isin("email", "ip6"), F.lower(body)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(body, r"\D", "")).when(kind == "iban", F.upper(F.replace(body, F.lit(" "), F.lit("")))).otherwise(body)
+    none = F.expr("cast(array() as array<struct<type: string, canon: string, gender: string, raw: string>>)")
+    return F.when(kind == "none", none).when(kind == "person", persons).otherwise(F.array(entity(kind, canon, F.lit(""), body)))
 
 
 def _suggests_woman(name: Column) -> Column:
@@ -104,11 +134,10 @@ def _like(s: Column, stream: Column) -> Column:
     at = lambda i: F.substring(stream, F.pmod(i * 7, F.lit(128)) + 1, F.lit(1))
     hexes = s.rlike(r"\A(?=.*[a-f])[0-9a-f]{16,}\z")
 
-    def one(c, i):
-        h = at(i)
-        return F.when(hexes, h).when(c.rlike("[0-9]"), digit(h)).when(c.rlike("[a-z]"), letter(h)).when(c.rlike("[A-Z]"), F.upper(letter(h))).otherwise(c)
+    def one(hexed):  # an array of one, so that a long text is looked at once and not for each character
+        return lambda c, i: F.when(hexed, at(i)).when(c.rlike("[0-9]"), digit(at(i))).when(c.rlike("[a-z]"), letter(at(i))).when(c.rlike("[A-Z]"), F.upper(letter(at(i)))).otherwise(c)
 
-    return _join(F.transform(_chars(s), one))
+    return _join(F.flatten(F.transform(F.array(hexes), lambda hexed: F.transform(_chars(s), one(hexed)))))
 
 
 def _luhn(body: Column) -> Column:
@@ -145,6 +174,7 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
     email = F.concat(_like(F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 1), s), F.regexp_extract(canon, r"\A(.*)(\.[^.]*)\z", 2))
     script = _script(canon)
     woman = (told == _WOMAN) | ((told == 0) & _suggests_woman(canon))
+    groups = F.transform(F.split(canon, ":"), lambda g, i: F.when((g == "") | (i == 0), g).otherwise(F.regexp_replace(F.substring(s, F.pmod(i * 7, F.lit(100)) + 1, F.length(g)), r"\A0", "a")))
     name = None
     for k, syllables in _SYLLABLES.items():
         table_ = F.array(*[F.lit(x) for x in syllables])
@@ -154,7 +184,7 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
         word = F.concat(word, F.when(type_ == "family", family).when(told == _BOTH, neither).when(woman, female).otherwise(male))
         name = F.when(script == k, word) if name is None else name.when(script == k, word)
     return (
-        F.when(type_ == "email", F.concat(letters, email)).when(type_ == "ip", ip).when(type_ == "phone", phone).when(type_ == "card", F.concat(card, _luhn(card)))
+        F.when(type_ == "email", F.concat(letters, email)).when(type_ == "ip", ip).when(type_ == "ip6", F.array_join(groups, ":")).when(type_ == "phone", phone).when(type_ == "card", F.concat(card, _luhn(card)))
         .when(type_ == "ssn", ssn).when(type_ == "iban", _iban(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), s)))
         .when(type_ == "secret", F.concat(like, letters)).otherwise(name))
 
@@ -162,28 +192,40 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
 def _formed(kind: Column, raw: Column, sur: Column) -> Column:
     """The surrogate in the form of the raw text: separators where they were, capitals as they were."""
     digits = F.aggregate(_chars(raw), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), lambda a, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(a["o"], F.substring(sur, a["k"], F.lit(1))).alias("o"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["o"], c).alias("o"), a["k"].alias("k"))))["o"]
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), digits).when((kind == "email") & (raw == F.upper(raw)), F.upper(sur)).otherwise(sur)
+    digits = F.when((kind == "iban") & (raw == F.lower(raw)), F.lower(digits)).otherwise(digits)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), digits).when(kind.isin("email", "ip6") & (raw == F.upper(raw)), F.upper(sur)).otherwise(sur)
+
+
+def _cased(raw: Column, sur: Column) -> Column:
+    return F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(sur)).otherwise(sur)
 
 
-def replaced(key: str, m: Column, attempts: Column) -> Column:
+def replaced(key: str, m: Column, attempts: Column, kind: Column | None = None) -> Column:
     """What stands for a match. attempts: a map from `type|canonical` to the attempt, where that isn't 0."""
-    kind = _kind(m)
+    kind = _kind(m) if kind is None else kind
     prefix = _prefix(kind, m)
     raw = F.substring(m, F.length(prefix) + 1, F.length(m))
-    parts = F.transform(entities(m), lambda e: surrogate(key, e, F.coalesce(F.element_at(attempts, F.concat_ws("|", e["type"], e["canon"])), F.lit(0))))
-    return F.when(kind == "none", m).otherwise(F.concat(prefix, F.when(kind == "person", F.array_join(parts, " ")).otherwise(_formed(kind, raw, F.get(parts, F.lit(0))))))
+    parts = F.transform(entities(m, kind), lambda e: F.struct(e["raw"].alias("raw"), surrogate(key, e, F.coalesce(F.element_at(attempts, F.concat_ws("|", e["type"], e["canon"])), F.lit(0))).alias("sur")))
+    # a name that comes twice in a person's names has two surrogates at most: by the part's place
+    tokens = _tokens(raw)
+    place = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i), _is_entity))
+    initial = lambda t: F.concat(F.translate(F.upper(F.substring(_stream(key, F.lit("initial"), t, F.lit(0)), 1, 1)), "0123456789", "GHJKLMNPRS"), F.lit("."))
+    named = F.transform(tokens, lambda t, i: F.when(t.rlike(r"\A\p{Lu}\.\z"), initial(t)).when(_is_entity(t), _cased(t, F.get(parts, place(i))["sur"])).otherwise(t))
+    return F.when(kind == "none", m).otherwise(F.concat(prefix, F.when(kind == "person", F.array_join(named, " ")).otherwise(_formed(kind, raw, F.get(parts, F.lit(0))["sur"]))))
 
 
 def _names(hits: Column) -> Column:
-    """The distinct names of the matches that are persons, as entities; the longest first, so that Ann-Lee comes before Ann."""
-    persons = F.filter(hits, lambda m: m.rlike(rf"\A(?:{_TITLES})\.? "))
-    each = F.array_distinct(F.flatten(F.transform(persons, entities)))
-    return F.transform(F.array_sort(F.transform(each, lambda e: F.struct((-F.length(e["canon"])).alias("n"), e["canon"].alias("canon"), e["type"].alias("type")))), lambda e: F.struct(e["type"].alias("type"), e["canon"].alias("canon")))
+    """The distinct names of the matches that are persons, as entities, as they stand there and in canonical form; the longest first, so that Ann-Lee comes before Ann."""
+    persons = F.filter(hits, lambda h: h["kind"] == "person")
+    form = lambda e, raw: F.struct((-F.length(raw)).alias("n"), raw.alias("raw"), e["canon"].alias("canon"), e["type"].alias("type"))
+    every = F.flatten(F.transform(persons, lambda h: entities(h["m"], h["kind"])))
+    each = F.array_distinct(F.flatten(F.transform(every, lambda e: F.array(form(e, e["raw"]), form(e, e["canon"])))))
+    return F.transform(F.array_sort(each), lambda e: F.struct(e["type"].alias("type"), e["canon"].alias("canon"), e["raw"].alias("raw")))
 
 
 def _bare(names: Column) -> Column:
     """A pattern of the names as whole words. Names are letters, hyphens and apostrophes alone."""
-    return F.concat(F.lit(r"(?<![\p{L}\d])(?:"), F.array_join(F.transform(names, lambda e: e["canon"]), "|"), F.lit(r")(?![\p{L}\d])"))
+    return F.concat(F.lit(r"(?<![\p{L}\d])(?:"), F.array_join(F.transform(names, lambda e: e["raw"]), "|"), F.lit(r")(?![\p{L}\d])"))
 
 
 def _unnamed(gap: Column, pattern: Column, stands: Column) -> Column:
@@ -229,9 +271,10 @@ def _parted(text: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replaces the text's entities by surrogates, and adds n_entities.
 
-    Detected: secrets after their names, to their end, e-mail addresses, IBANs, US social security numbers, card numbers (16 digits, or
-    13 to 19 that pass Luhn's check), phone numbers (3-3-4, ten digits, or + and 8 to 15 digits), IPv4 addresses, persons after a title,
-    and the same names elsewhere in a text that has one after a title. A surrogate is drawn from a keyed hash of type and canonical form, so
+    Detected: secrets after their names, also as JSON keys (in quotes to the closing one, else to white space), e-mail addresses, IBANs
+    (in small letters if their check digits are right), US social security numbers, card numbers (16 digits, or 13 to 19 that pass Luhn's
+    check), phone numbers (3-3-4, ten digits, + or 00 and a country, or 0 and an area), IPv4 and IPv6 addresses, persons after a title, with
+    all parts of their names, two names before an e-mail address made of them, and the same names elsewhere in that text. A surrogate is drawn from a keyed hash of type and canonical form, so
     the same entity has the same surrogate in all texts, forms and under all titles (coreference). It keeps separators, lengths, top-level
     domains, country codes, capitals, Luhn and IBAN check digits, and a name's script and the gender that its titles tell in all texts
     (neither, if they tell both). The distinct entities are checked: those that share a surrogate or hit a real entity are drawn again, see
@@ -243,29 +286,31 @@ def pseudonymise(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id",
     """
     s = Shelter(docs)
     own, text = [c for c in s.df.columns if c != s(text_col)], s(text_col)
-    rows = materialise(s.df.select(*own, _parted(F.col(text).cast("string")).alias("parts"), F.monotonically_increasing_id().alias("row")), "parts")
-    some = F.size("parts") > 1
-    rows = rows.withColumns({"hits": F.when(some, F.filter("parts", lambda x, i: i % 2 == 1)), "gaps": F.when(some, F.filter("parts", lambda x, i: i % 2 == 0))})
-    found = rows.select(F.explode("hits").alias("m")).distinct().select(F.explode(entities(F.col("m"))).alias("e")).select("e.*").distinct()
+    parted = s.df.select(*own, _parted(F.col(text).cast("string")).alias("parts"), F.monotonically_increasing_id().alias("row"))
+    odd = F.filter("parts", lambda x, i: i % 2 == 1)
+    hits = F.when(F.size("parts") > 1, F.transform(odd, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
+    rows = materialise(parted.select(*own, hits.alias("hits"), F.filter("parts", lambda x, i: i % 2 == 0).alias("gaps"), "row"), "parts")
+    seen = rows.select(F.explode("hits").alias("h")).filter("h.kind <> 'none'").select("h.*").distinct()
+    found = seen.select(F.explode(entities(F.col("m"), F.col("kind"))).alias("e")).select("e.type", "e.canon", "e.gender").distinct()
     again = materialise(dictionary(found, key), "again")
     none = F.expr("cast(map() as map<string, int>)")
 
     def rewritten(df, attempts):
-        df = df.select(*own, "parts", "hits", "gaps", attempts.alias("attempts"), F.when(F.exists("hits", lambda m: m.rlike(rf"\A(?:{_TITLES})\.? ")), _names(F.col("hits"))).alias("names"))
+        df = df.select(*own, "hits", "gaps", attempts.alias("attempts"), F.when(F.exists("hits", lambda h: h["kind"] == "person"), _names(F.col("hits"))).alias("names"))
         named = F.col("names").isNotNull()
-        drawn = lambda e: surrogate(key, e, F.coalesce(F.element_at("attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
-        first = F.filter("names", lambda e, i: (i == 0) | (F.get(F.col("names"), i - 1)["canon"] != e["canon"]))
-        df = df.withColumns({"bare": F.when(named, _bare(F.col("names"))), "stands": F.when(named, F.map_from_entries(F.transform(first, lambda e: F.struct(e["canon"], drawn(e)))))})
+        drawn = lambda e: _cased(e["raw"], surrogate(key, e, F.coalesce(F.element_at("attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0))))
+        first = F.filter("names", lambda e, i: (i == 0) | (F.get(F.col("names"), i - 1)["raw"] != e["raw"]))
+        df = df.withColumns({"bare": F.when(named, _bare(F.col("names"))), "stands": F.when(named, F.map_from_entries(F.transform(first, lambda e: F.struct(e["raw"], drawn(e)))))})
         repeats = F.aggregate("gaps", F.lit(0), lambda a, g: a + F.size(F.regexp_extract_all(g, F.col("bare"), F.lit(0))))
-        n = F.size(F.filter("hits", lambda m: _kind(m) != "none")) + F.when(named, repeats).otherwise(0)
+        n = F.size(F.filter("hits", lambda h: h["kind"] != "none")) + F.when(named, repeats).otherwise(0)
         gap = lambda g: F.when(named, _unnamed(g, F.col("bare"), F.col("stands"))).otherwise(g)
-        new = F.concat(gap(F.get("gaps", F.lit(0))), _join(F.transform("hits", lambda m, i: F.concat(replaced(key, m, F.col("attempts")), gap(F.get(F.col("gaps"), i + 1))))))
-        out = df.select(*own, F.when(F.col("hits").isNotNull(), new).otherwise(F.get("parts", F.lit(0))).alias(text), F.when(F.col("hits").isNotNull(), n).otherwise(0).alias("n_entities"))
+        new = F.concat(gap(F.get("gaps", F.lit(0))), _join(F.transform("hits", lambda h, i: F.concat(replaced(key, h["m"], F.col("attempts"), h["kind"]), gap(F.get(F.col("gaps"), i + 1))))))
+        out = df.select(*own, F.when(F.col("hits").isNotNull(), new).otherwise(F.get("gaps", F.lit(0))).alias(text), F.when(F.col("hits").isNotNull(), n).otherwise(0).alias("n_entities"))
         return s.back(out, "n_entities")
 
     if not again.limit(1).count():
         return rewritten(rows, none)
-    theirs = rows.select(F.col("row").alias("r"), F.explode(F.array_distinct(F.flatten(F.transform("hits", entities)))).alias("e")).select("r", "e.type", "e.canon").distinct()
+    theirs = rows.select(F.col("row").alias("r"), F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda h: entities(h["m"], h["kind"]))))).alias("e")).select("r", "e.type", "e.canon").distinct()
     theirs = theirs.join(again, ["type", "canon"]).groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("map"))
     return rewritten(rows.join(theirs, F.col("row") == F.col("r"), "left"), F.coalesce("map", none))
 
