@@ -82,26 +82,39 @@ def _grams(text: bytes, offs: np.ndarray, over: int = 0):
 
 
 def _count(langs: list[str]):
+    """Rows of (language, its counts by bucket as bytes), one for each language that the task has seen."""
+
     def run(batches):
-        counts, rank = np.zeros((len(langs), BUCKETS), np.int64), {x: k for k, x in enumerate(langs)}
+        counts, rank = {}, {x: k for k, x in enumerate(langs)}
         for b in batches:
             data, offs, _ = text_buffers(b.column(1))
             lang = np.array([rank[x] for x in b.column(0).to_pylist()], np.int64)
             for i, j, a, e, over in _segments(data, offs):
                 _, at, grams = _grams(data[a:e].tobytes(), np.clip(offs[i : j + 1], a, e) - a, over)
                 who = np.repeat(lang[i:j], np.diff(at))
-                for bucket, ok in grams:
-                    counts += np.bincount((who * BUCKETS + bucket)[ok], minlength=counts.size).reshape(counts.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+                for k in np.unique(lang[i:j]).tolist():
+                    if k not in counts:
+                        counts[k] = np.zeros(BUCKETS, np.int64)
+                    for bucket, ok in grams:
+                        counts[k] += np.bincount(bucket[ok & (who == k)], minlength=BUCKETS)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
     return run
 
 
+def _summed(t: pa.Table) -> pa.Table:
+    """One row a language."""
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts"))
+    return pa.table({"lang": t.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the classifier on about `rows` labelled documents of each language, chosen by a hash of the id (all, if there are fewer).
+    """Fits the classifier on about `rows` labelled documents of each language, chosen by a hash of id and text (all, if there are fewer; rows
+    that repeat are all in or all out).
 
-    Rows with a null text or language are not used. The sample is bounded, and so is what reaches the driver: _TASKS tables of
-    languages by BUCKETS counts.
+    Rows with a null text or language are not used. The sample is bounded, and so is what reaches the driver: a row of BUCKETS counts a
+    language, half a megabyte each.
     """
     bound_batches(docs.sparkSession)
     seen = docs.filter(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
@@ -113,9 +126,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     limit = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(rows / share[k]))])
     lang = F.col(f"`{lang_col}`").cast("string")
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(f"`{id_col}`")), 11) * F.lit(2.0**-53)
+    # by the text too, so that rows without an id, or of one id, are sampled like others
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 11) * F.lit(2.0**-53)
     sample = seen.filter(unit < F.element_at(limit, lang)).select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).repartition(_TASKS)
-    counts = sum(np.frombuffer(r[0], np.int64).reshape(len(langs), BUCKETS) for r in sample.mapInArrow(_count(langs), "counts binary").collect())
+    made = sample.mapInArrow(_count(langs), "lang int, counts binary").groupBy("lang").applyInArrow(_summed, "lang int, counts binary")
+    counts = np.zeros((len(langs), BUCKETS), np.int64)
+    for r in made.collect():
+        counts[r["lang"]] = np.frombuffer(r["counts"], np.int64)
     weight = np.log(counts + ALPHA) - np.log(counts.sum(axis=1, keepdims=True) + ALPHA * BUCKETS)
     n = np.array([share[k] for k in langs], float)
     return Model(langs, np.ascontiguousarray(weight.T.astype(np.float32)), np.log(n / n.sum()))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, Shelter, discard, materialise, table
 
-#: Newton steps on the dual at most (they end when every source is within half a word, or its bracket within NARROW), and rounds that pass on
-#: what rounding has left over.
+#: Newton steps on the dual at most (they end when every source is within half a word, or its bracket within NARROW; if they don't, it is an
+#: error), and rounds that pass on what rounding has left over.
 NEWTON_STEPS, NARROW, ROUNDS = 80, 1e-9, 6
 
 
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Entropy balancing: of all rates r with sum(r * size) = target in each source and 0 <= r <= most, the one nearest to 1 in relative
     entropy is min(most, exp(lambda * size / mean size)). Its dual is solved for every source at once by Newton steps, kept inside a
-    bracket; each step is one aggregation by source over (id, size, source), staged once so that texts are read once. Rates are
+    bracket; each step is one aggregation by source over the table of sources and sizes, which counts documents once. Rates are
     rounded by a seeded hash of id and size; what a source then lacks or has too much is passed on in rounds, each of which moves
     documents no longer than the gap by one copy with the probability that closes it. A round that makes it worse is taken back.
     Per-source state stays a DataFrame; nothing is collected.
@@ -73,6 +73,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def joined(st):
         return small.join(st.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
+    # a rate depends on source and size alone: steps go over these, and only rounding looks at documents
+    grouped = materialise(small.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("__n")), "grouped")
+
     def after(st, agg):
         return st.join(agg.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
@@ -84,7 +87,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for _ in range(NEWTON_STEPS):
         z = F.col("__size") / F.col("mean")
         raw = F.exp(F.least(F.lit(50.0), F.col("lam") * z))
-        sums = joined(state).groupBy("source").agg(F.sum(F.least(F.lit(float(most)), raw) * F.col("__size")).alias("__f"), F.sum(F.when(raw < most, raw * z * F.col("__size")).otherwise(0.0)).alias("__d"))
+        words = F.col("__size") * F.col("__n")
+        rows = grouped.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+        sums = rows.groupBy("source").agg(F.sum(F.least(F.lit(float(most)), raw) * words).alias("__f"), F.sum(F.when(raw < most, raw * z * words).otherwise(0.0)).alias("__d"))
         st = after(state.drop("near"), sums)
         st = st.withColumn("lo", F.when(F.col("__f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("__f") >= F.col("target"), F.col("lam")).otherwise(F.col("hi")))
         step = F.col("lam") + F.try_divide(F.col("target") - F.col("__f"), F.when(F.col("__d") > 0, F.col("__d")))
@@ -95,6 +100,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         state = kept(state, st)
         if not state.filter(~F.col("near")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"rates have not converged after {NEWTON_STEPS} steps")
+
     def undo(st, k, gap):  # takes round k back where it has made the gap larger
         last = F.col("steps")[k]
         worse = F.abs(gap) > F.abs(last["gap"])

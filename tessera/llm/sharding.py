@@ -20,15 +20,18 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str =
     by, ranks are taken within a bucket, and the buckets' first ranks come from running sums over the small table of bucket counts.
     A source that holds a third of all rows is spread over as many buckets as it needs.
 
-    Null sources are one source. Rows equal in all columns get distinct slots. An empty table gives an empty result.
+    Null sources are one source. A row's place is drawn by its id and its other columns, so null or repeated ids make no bucket large, but
+    rows equal in all columns do lie in one. Rows equal in all columns get distinct slots. An empty table gives an empty result.
     Input columns named shard or slot, in any case, are replaced.
     """
     s = Shelter(docs)
     docs, id_col, source_col = s.df, s(id_col), s(source_col)
     src = F.col(source_col)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53)
     rest = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, source_col) and "map<" not in kind and "variant" not in kind]
-    rows = docs.withColumns({"__u": unit, "__tie": F.xxhash64(*rest) if rest else F.lit(0).cast("long")})
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+    # with the other columns, so that rows without an id, or of one id, are spread too
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), tie), 11) * F.lit(2.0**-53)
+    rows = docs.withColumns({"__u": unit, "__tie": tie})
     sizes = docs.groupBy(src.alias("__s")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.ceil(F.col("__n") / BUCKET_ROWS).cast("long"))
     rows = rows.join(sizes, src.eqNullSafe(F.col("__s")), "left").withColumn("__b", F.floor(F.col("__u") * F.col("__k")).cast("long")).drop("__s")
     counts = docs.select(src.alias("__s"), unit.alias("__u")).join(sizes.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
