@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, table
 
-#: Ratio of lengths within a bucket; vectors of one searched part and queries of one block, about; longest vectors that give first thresholds.
+#: Ratio of lengths within a bucket; vectors of one searched part and queries of one block, about; longest vectors, and others by hash, that give first thresholds.
 RATIO, PART, BLOCK, SEEDS = 1.05, 8192, 8192, 1024
 #: From this local cosine threshold on, coordinates prune; how many of the largest are looked at.
 COSINE, FOCUS = 0.6, 3
@@ -137,7 +137,7 @@ def _search(k: int, scale: float):
 def top_products(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query holds, the k other rows of the highest inner product of floor(scale * x).
 
-    1. The SEEDS longest vectors (a bounded broadcast) give each query a first threshold: its k-th best product among them. 2. Vectors are
+    1. The SEEDS longest vectors and SEEDS others (a bounded broadcast) give each query a first threshold: its k-th best product among them. 2. Vectors are
     grouped by length; a bucket is dealt by hash into parts of about PART rows, queries into blocks of about BLOCK. A query is sent only to
     buckets whose longest vector can reach its threshold, and a part only to blocks with such a query. Each part meets each such block
     once, in a task of its own; search() prunes there. 3. Each meeting gives k rows a query at most, none under its threshold.
@@ -158,10 +158,12 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
     levels = materialise(v.groupBy("dim", "level").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.max("len").alias("longest")), "levels")
 
     longest: dict[int, tuple] = {}
-    for r in v.orderBy(F.desc("len"), "id").select("id", "vec", "dim").limit(SEEDS).collect():
-        longest.setdefault(r["dim"], ([], []))
-        longest[r["dim"]][0].append(r["id"])
-        longest[r["dim"]][1].append(r["vec"])
+    # the others are for queries that face away from the longest; what is in both counts once, or a threshold would be too high
+    first = [v.orderBy(*by).select("id", "vec", "dim").limit(SEEDS).collect() for by in ((F.desc("len"), "id"), (F.xxhash64(F.lit(3), "id"), "id"))]
+    for i, vec, dim in {(r["id"], tuple(r["vec"]), r["dim"]): None for rows in first for r in rows}:
+        longest.setdefault(dim, ([], []))
+        longest[dim][0].append(i)
+        longest[dim][1].append(vec)
     seeds = v.sparkSession.sparkContext.broadcast({d: (np.array(i), quantise(np.array(x).reshape(len(i), d), scale)) for d, (i, x) in longest.items()})
     asked = v.filter("q").groupBy("id").agg(F.min(F.struct("dim", "vec", "len")).alias("m")).select("id", "m.vec", "m.dim", "m.len")
     asked = asked.mapInArrow(_thresholds(seeds, k, scale), f"id long, vec {own}, dim int, len double, theta double")

@@ -179,11 +179,11 @@ def test_topk_of_one_id_with_two_vectors(spark):
 
 
 def test_topk_sends_queries_only_where_they_can_score(spark, monkeypatch):
-    """Long vectors in one direction: buckets of short ones are out of every query's reach, so neither side is sent there."""
+    """Long vectors in one direction, and no query that faces away from it: buckets of short ones are out of every query's reach, so neither side is sent there."""
     monkeypatch.setattr(topk, "SEEDS", 40)
     rng = np.random.default_rng(6)
     rows = [(i, ([100.0, 0.0] if i < 60 else [float(x) for x in rng.normal(size=2) * 0.01])) for i in range(600)]
-    d = spark.createDataFrame([(i, [v[0] + i % 7 * 0.1, v[1]]) for i, v in rows], "vec_id long, embedding array<double>")
+    d = spark.createDataFrame([(i, [v[0] + (1 + i % 7) * 0.1, v[1]]) for i, v in rows], "vec_id long, embedding array<double>")
     sent = []
     real = topk._search
 
