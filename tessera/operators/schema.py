@@ -171,6 +171,25 @@ def _or_whole(df: DataFrame, s: Column, ok: Column, out: str) -> DataFrame:
     return df.withColumn(out, F.when(s["parsed"] & ok, small).otherwise(s)).drop("__nodes", "__rels", "__patterns")
 
 
+def element_names(schema: Column, kind: str) -> Column:
+    """The distinct labels, rel_types or properties of a parsed schema."""
+    if kind == "labels":
+        return F.transform(schema["nodes"], lambda x: x["label"])
+    if kind == "rel_types":
+        return F.array_distinct(F.concat(F.transform(schema["rel_props"], lambda x: x["label"]), F.transform(schema["patterns"], lambda x: x["rel"])))
+    return F.array_distinct(F.flatten(F.transform(F.concat(schema["nodes"], schema["rel_props"]), lambda x: F.transform(x["props"], lambda p: p["name"]))))
+
+
+def unknown_elements(df: DataFrame, elements: str, schema: str, small: str) -> DataFrame:
+    """Adds for each kind of element how many of a query's are not in the schema (unknown_<kind>), and how many of those that are in it its
+    pruned part has lost (missing_<kind>); full_<kind> is what the schema has."""
+    for k in ("labels", "rel_types", "properties"):
+        df = df.withColumn(f"full_{k}", element_names(F.col(schema), k))
+        lost = F.array_except(F.array_intersect(F.col(f"{elements}.{k}"), F.col(f"full_{k}")), element_names(F.col(small), k))
+        df = df.withColumns({f"missing_{k}": F.size(lost), f"unknown_{k}": F.size(F.array_except(F.col(f"{elements}.{k}"), F.col(f"full_{k}")))})
+    return df
+
+
 def prune_by_score(df: DataFrame, schema: str, scores: str, out: str, threshold: float = 0.45) -> DataFrame:
     """Like prune(), by scores of an outside encoder: a map from `kind|owner|name` (node, node_prop, rel, rel_prop) to a similarity."""
     s, m = F.col(schema), F.col(scores)

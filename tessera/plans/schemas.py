@@ -144,18 +144,7 @@ def _coverage(spark, sf_dir):
     """Elements of a query that its schema has, and those that the pruned schema has lost."""
     d = _parts(spark, sf_dir).withColumn("e", query_elements(F.expr(_GOLD)))
     d = S.prune(S.parsed(d, "schema_text"), "schema", "question", "small").filter("schema.parsed")
-
-    def names(s, kind):
-        if kind == "labels":
-            return F.transform(s["nodes"], lambda x: x["label"])
-        if kind == "rel_types":
-            return F.array_distinct(F.concat(F.transform(s["rel_props"], lambda x: x["label"]), F.transform(s["patterns"], lambda x: x["rel"])))
-        return F.array_distinct(F.flatten(F.transform(F.concat(s["nodes"], s["rel_props"]), lambda x: F.transform(x["props"], lambda p: p["name"]))))
-
-    for k in ("labels", "rel_types", "properties"):
-        d = d.withColumn(f"full_{k}", names(F.col("schema"), k))
-        lost = F.array_except(F.array_intersect(F.col(f"e.{k}"), F.col(f"full_{k}")), names(F.col("small"), k))
-        d = d.withColumns({f"missing_{k}": F.size(lost), f"unknown_{k}": F.size(F.array_except(F.col(f"e.{k}"), F.col(f"full_{k}")))})
+    d = S.unknown_elements(d, "e", "schema", "small")
     return d.withColumn("kind", (F.col("p_partkey") % 3).cast("string"))
 
 

@@ -1,6 +1,7 @@
 """Readers and writers of the toolkit's records, with explicit schemas and defaults."""
 
 import json
+import logging
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import types as T
 
 from tessera.operators.tables import flat
 
+log = logging.getLogger(__name__)
+
 CORPUS = "question STRING, schema STRING, cypher STRING, data_source STRING, instance_id STRING, database_reference_alias STRING, database_reference STRING, database STRING"
 PREDICTION = (
     "instance_id STRING, question STRING, gold_cypher STRING, predicted_raw STRING, predicted_cypher STRING, database_reference STRING, data_source STRING, schema_mode STRING, "
@@ -24,6 +27,13 @@ EVENT = (
     "learning_rate DOUBLE, wall_time DOUBLE, vram_peak_gb DOUBLE"
 )
 META = "run_name STRING, tag STRING, model_key STRING, backend STRING, split STRING, n_instances INT, schema_mode STRING, max_seq_length INT, total_seconds DOUBLE, seconds_per_item DOUBLE, timestamp STRING"
+#: Records of planned jobs, of benches (a row a test in a nested array) and of exported models.
+JOB = "job_id STRING, run_name STRING, model STRING, variant STRING, condition STRING, quant STRING, schema_mode STRING, reference_job_id STRING, priority INT, status STRING, error STRING, git_commit STRING, cpu_model STRING, edge_ids_sha STRING"
+BENCH = (
+    "model STRING, run_name STRING, status STRING, rows ARRAY<STRUCT<quant: STRING, error: STRING, n_prompt: INT, n_gen: INT, n_threads: INT, avg_ts: DOUBLE, stddev_ts: DOUBLE, model_size: BIGINT, "
+    "model_n_params: BIGINT, gguf_size_bytes: BIGINT, n_batch: INT, n_ubatch: INT, cpu_info: STRING, build_commit: STRING, test_time: STRING>>"
+)
+EXPORT = "run_name STRING, model STRING, base STRING, status STRING, files ARRAY<STRUCT<quant: STRING, path: STRING, bytes: BIGINT, sha256: STRING>>, error STRING"
 SPLITS = ("train", "test")
 
 
@@ -74,7 +84,11 @@ def read_lines(spark: SparkSession, path, schema: str) -> DataFrame:
 
 def read_scored(spark: SparkSession, paths, completed: DataFrame | None = None) -> DataFrame:
     """Scored rows of many jobs, with job_id from the name of the file or of the folder that Spark wrote in its place; only of completed jobs
-    (job_id), if those are given."""
+    (job_id), if those are given. Paths that are missing are skipped with a warning; patterns are left to Spark."""
+    if isinstance(paths, list) and not any(c in p for p in paths for c in "*?[{"):
+        paths = existing(spark, paths)
+        if not paths:
+            return spark.createDataFrame([], f"{SCORED}, job_id STRING")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:_scored)?\.jsonl?(?:/[^/]*)?$", 1)
     df = spark.read.schema(SCORED).json(paths).withColumn("job_id", name)
     return df if completed is None else df.join(completed.select("job_id").distinct(), "job_id", "left_semi")
@@ -91,6 +105,34 @@ def read_documents(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def bench_rows(documents: DataFrame) -> DataFrame:
+    """A row a test of each bench document (BENCH), with its name (pp and prompt tokens, or tg and generated ones), sizes in megabytes and bits
+    a weight. A failed test has its error; a document without tests has one row of nulls."""
+    d = documents.select("model", "run_name", F.explode_outer("rows").alias("r")).select("model", "run_name", "r.*")
+    reads = (F.coalesce("n_prompt", F.lit(0)) > 0) & (F.coalesce("n_gen", F.lit(0)) == 0)
+    test = F.when(F.col("error").isNull() & F.col("n_threads").isNotNull(), F.when(reads, F.concat(F.lit("pp"), "n_prompt")).otherwise(F.concat(F.lit("tg"), F.coalesce("n_gen", F.lit(0)))))
+    mb = lambda c: F.nullif(F.col(c), F.lit(0).cast("long")) / 1e6
+    bits = F.try_divide(8.0 * F.col("model_size"), F.nullif(F.col("model_n_params"), F.lit(0).cast("long")))
+    return d.withColumns({"test": test, "model_size_mb": mb("model_size"), "gguf_size_mb": mb("gguf_size_bytes"), "bits_per_weight": F.when(F.col("model_size") > 0, bits)})
+
+
+def export_files(documents: DataFrame) -> DataFrame:
+    """A row a file of each export document (EXPORT)."""
+    return documents.select("run_name", "model", "base", "status", "error", F.explode_outer("files").alias("f")).select("run_name", "model", "base", "status", "error", "f.*")
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there; a warning tells of each that isn't. A list of files that a plan names, one a job."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            found.append(path)
+        else:
+            log.warning("%s is missing; skipped", path)
+    return found
+
+
 def read_events(spark: SparkSession, path) -> DataFrame:
     """Telemetry lines of all sessions; the session is the folder that holds the file's folder."""
     df = with_defaults(spark.read.schema(EVENT).json(path).withColumn("__p", F.split(F.col("_metadata.file_path"), "/")), EVENT)
