@@ -37,20 +37,20 @@ def score_breakdowns(spark, sf_dir):
     return rounded(got.select("section", "place", "label", "n", "exact_match", "gleu_mean"))
 
 
-_Q = lambda c, n: ", ".join(f"round(quantile_cont({c}, {q}), 4) AS {n}_p{p}" for q, p in ((0.5, 50), (0.9, 90), (0.95, 95)))
+_Q = lambda c, n: ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}_p{p}" for q, p in ((0.5, 50), (0.9, 90), (0.95, 95)))
 _LAT = """SELECT l_linenumber, l_extendedprice AS wall, CASE WHEN l_partkey % 7 <> 0 THEN l_extendedprice * l_discount END AS pre, l_extendedprice * (1 - l_discount) AS decode, l_suppkey AS pn, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS gn,
 l_quantity * 3 AS pt, l_quantity AS tt, l_partkey % 11 = 0 AS stopped, CASE WHEN l_orderkey % 13 = 0 THEN 'timeout' END AS error FROM lineitem"""
 
 
-@plan(f"""WITH r AS ({_LAT}) SELECT l_linenumber, count(*) AS n, round(avg(wall), 4) AS wall_ms_mean, {_Q('wall', 'wall_ms')}, round(max(wall), 4) AS wall_ms_max, round(avg(pre), 4) AS prefill_ms_mean, {_Q('pre', 'prefill_ms')}, round(max(pre), 4) AS prefill_ms_max,
-round(avg(decode), 4) AS decode_ms_mean, {_Q('decode', 'decode_ms')}, round(max(decode), 4) AS decode_ms_max, round(avg(pn), 4) AS prompt_tokens_mean, round(avg(gn), 4) AS generated_tokens_mean, round(median(pt), 4) AS prefill_tps_median, round(median(tt), 4) AS decode_tps_median,
-round(sum(pre) / sum(wall), 4) AS prefill_share_of_wall, round(3.6e6 / avg(wall), 4) AS queries_per_hour, count(*) FILTER (stopped) AS n_stopped_limit, count(error) AS n_request_errors FROM r GROUP BY 1""")
+@plan(f"""WITH r AS ({_LAT}) SELECT l_linenumber, count(*) AS n, round(avg(wall), 6) AS wall_ms_mean, {_Q('wall', 'wall_ms')}, round(max(wall), 6) AS wall_ms_max, round(avg(pre), 6) AS prefill_ms_mean, {_Q('pre', 'prefill_ms')}, round(max(pre), 6) AS prefill_ms_max,
+round(avg(decode), 6) AS decode_ms_mean, {_Q('decode', 'decode_ms')}, round(max(decode), 6) AS decode_ms_max, round(avg(pn), 6) AS prompt_tokens_mean, round(avg(gn), 6) AS generated_tokens_mean, round(median(pt), 6) AS prefill_tps_median, round(median(tt), 6) AS decode_tps_median,
+round(sum(pre) / sum(wall), 6) AS prefill_share_of_wall, round(3.6e6 / avg(wall), 6) AS queries_per_hour, count(*) FILTER (stopped) AS n_stopped_limit, count(error) AS n_request_errors FROM r GROUP BY 1""")
 def latency_stats(spark, sf_dir):
     """Times of all lines: price as wall time, of which the discount is the prefill, missing for some."""
     l = read(spark, sf_dir, "lineitem").selectExpr(
         "l_linenumber", "l_extendedprice AS wall", "CASE WHEN l_partkey % 7 <> 0 THEN l_extendedprice * l_discount END AS pre", "l_extendedprice * (1 - l_discount) AS decode", "l_suppkey AS pn",
         "CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS gn", "l_quantity * 3 AS pt", "l_quantity AS tt", "l_partkey % 11 = 0 AS stopped", "CASE WHEN l_orderkey % 13 = 0 THEN 'timeout' END AS error")
-    return rounded(B.latency_stats(l, ["l_linenumber"], "wall", "pre", "decode", "pn", "gn", "pt", "tt", "stopped", "error"))
+    return rounded(B.latency_stats(l, ["l_linenumber"], "wall", "pre", "decode", "pn", "gn", "pt", "tt", "stopped", "error"), 6)
 
 
 @plan("""WITH c AS (SELECT user_id, event_id AS step, CASE WHEN event_id % 3 <> 0 THEN value END AS loss, CASE WHEN event_id % 3 = 0 THEN value * 2 END AS ev, CASE WHEN user_id % 4 <> 0 THEN value / 10 END AS vram FROM events),

@@ -125,10 +125,11 @@ def judged_everywhere(spark, sf_dir):
     return rounded(judged_by_all(j, "l_partkey", "judge").groupBy("judge").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("share")))
 
 
-@plan("""WITH r AS (SELECT l_linenumber AS job, l_partkey AS item, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_linenumber, l_partkey ORDER BY l_orderkey) AS place FROM lineitem),
+@plan("""WITH r AS (SELECT l_linenumber AS job, l_partkey AS item, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_linenumber, l_partkey ORDER BY l_orderkey, l_quantity, l_discount) AS place FROM lineitem),
 o AS (SELECT * FROM r WHERE place = 1) SELECT a.job AS job_a, b.job AS job_b, count(*) AS n, round(sum(b.q - a.q), 4) AS quantity, round(avg((a.d = b.d)::INTEGER), 4) AS same_discount FROM o a JOIN o b ON a.item = b.item AND a.job < b.job GROUP BY 1, 2""")
 def paired_repeats(spark, sf_dir):
-    """Line numbers as jobs and parts as items, which most jobs have many times: the line of the smallest order counts."""
+    """Line numbers as jobs and parts as items, which most jobs have many times: the line of the smallest order counts, and
+    of an order's own the least."""
     lines = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_linenumber": "job", "l_partkey": "item"})
     named = all_pairs(lines.select("job").distinct(), "job", "job").withColumn("comparison", F.concat_ws(" vs ", "job_a", "job_b"))
     p = paired_rows(lines, named, "job", "item", ["l_quantity", "l_discount"], ["l_orderkey"])
