@@ -30,7 +30,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11, id_col: str =
     rest = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, source_col) and "map<" not in kind and "variant" not in kind]
     tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
     # with the other columns, so that rows without an id, or of one id, are spread too
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), tie), 11) * F.lit(2.0**-53)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), *([tie] if rest else [])), 11) * F.lit(2.0**-53)
     rows = docs.withColumns({"__u": unit, "__tie": tie})
     sizes = docs.groupBy(src.alias("__s")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.ceil(F.col("__n") / BUCKET_ROWS).cast("long"))
     rows = rows.join(sizes, src.eqNullSafe(F.col("__s")), "left").withColumn("__b", F.floor(F.col("__u") * F.col("__k")).cast("long")).drop("__s")
