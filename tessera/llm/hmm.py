@@ -12,8 +12,8 @@ from tessera.llm.common import materialise, table, text_words, with_columns
 
 #: Hidden states, frequent words that are symbols of their own (at most), hash buckets that stand for all other words.
 STATES, HEAD, BUCKETS = 8, 61_439, 4_096
-#: Passes of Baum-Welch over all training texts; texts (of at most so many words) and passes that give the starting point.
-PASSES, START_TEXTS, START_WORDS, START_PASSES = 2, 400, 4_000, 15
+#: Passes of Baum-Welch over all training texts.
+PASSES = 6
 #: Tokens that a worker holds forward probabilities of at a time; count tables that one task adds up; symbols of one such table.
 BLOCK_TOKENS, FAN_IN, BLOCK_SYMBOLS = 1 << 19, 64, 1_024
 
@@ -200,17 +200,12 @@ def maximise(start, move, emits, unigram) -> Hmm:
     return Hmm((start + 1) / (start.sum() + k), (move + 1) / (move.sum(axis=1, keepdims=True) + k), emits / emits.sum(axis=0))
 
 
-def first_guess(texts: list[np.ndarray], unigram: np.ndarray, seed: int = 3) -> Hmm:
-    """Baum-Welch on a few texts from a seeded start with lasting states."""
+def first_guess(unigram: np.ndarray, seed: int = 3) -> Hmm:
+    """A seeded start with lasting states: each state has the unigram of all training texts, with every symbol at another weight."""
     rng = np.random.default_rng(seed)
     k = STATES
-    emit = unigram[:, None] * rng.uniform(0.5, 1.5, (len(unigram), k))
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), emit / emit.sum(axis=0))
-    texts = sorted(texts, key=lambda t: -len(t))
-    for _ in range(START_PASSES if texts else 0):
-        start, move, emits, _ = expected(model, texts, len(unigram))
-        model = maximise(start, move, emits, unigram)
-    return model
+    emit = unigram[:, None] * rng.exponential(size=(len(unigram), k))
+    return Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), emit / emit.sum(axis=0))
 
 
 def _expect(sent, symbols: int):
@@ -236,12 +231,9 @@ def _add(t: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, passes: int = PASSES) -> Hmm:
-    """Baum-Welch over all rows of docs (symbols, n_tokens, key). Each task adds up its own expected counts; tables are added by FAN_IN."""
+    """Baum-Welch over all rows of docs (symbols) in every pass. Each task adds up its own expected counts; tables are added by FAN_IN."""
     unigram, sc = vocab.unigram(), docs.sparkSession.sparkContext
-    # about twice as many texts as are wanted, whatever the size of the input, so that no task sends more than its share
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(9), "id", "n_tokens"), 11) * F.lit(2.0**-53)
-    few = docs.filter((F.col("n_tokens") <= START_WORDS) & (unit < 2 * START_TEXTS / max(1, vocab.ends))).orderBy(unit, "key").limit(START_TEXTS).select("symbols").collect()
-    model = first_guess([np.frombuffer(bytes(r[0]), np.uint16) for r in few], unigram)
+    model = first_guess(unigram)
     k = STATES
     for _ in range(passes):
         sent = sc.broadcast(tuple(model))
@@ -294,7 +286,7 @@ def language_model(docs: DataFrame, is_training, id_col: str = "doc_id", text_co
     sent = sc.broadcast(tuple(vocab))
     schema = f"key long, id {kind}, train boolean, n_tokens long, n_head long, base double, inside double, symbols binary, rare array<long>, times array<int>"
     coded = materialise(d.mapInArrow(_encode(sent), schema), "coded")
-    model = sc.broadcast(tuple(train(coded.filter("train").select("id", "key", "n_tokens", "symbols"), vocab)))
+    model = sc.broadcast(tuple(train(coded.filter("train").select("symbols"), vocab)))
     scored = coded.select("key", "id", "n_tokens", "n_head", "base", "inside", "symbols").mapInArrow(_score(model), f"key long, id {kind}, n_tokens long, n_head long, base double, inside double, like double")
     words = coded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("h"), F.col("w.times").alias("n"))
     found = words.join(rest.select(F.col("h").alias("__h"), "c"), F.col("h") == F.col("__h"))
