@@ -259,25 +259,25 @@ def _bitmap(t: pa.Table) -> pa.Table:
     return pa.table([t.column("block").slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among those of wanted, and a few others: by a map of hashed ids that is broadcast, so that other texts
+def _likely(rows: DataFrame, wanted: DataFrame, own: str, other: str) -> DataFrame:
+    """The rows whose own value is among the other of wanted, and a few more: by a map of hashed values that is broadcast, so that other rows
     aren't shuffled."""
     bits = 1 << _BLOCK
     while bits < min(MOST_BITS, 16 * wanted.count()):
         bits *= 2
     place = lambda c: F.pmod(F.xxhash64(F.lit(21), F.col(c)), F.lit(bits).cast("long"))
-    made = wanted.select(place("rep").alias("p")).select(F.shiftright("p", _BLOCK).cast("int").alias("block"), "p").groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
+    made = wanted.select(place(other).alias("p")).select(F.shiftright("p", _BLOCK).cast("int").alias("block"), "p").groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
     table_ = np.zeros((bits >> _BLOCK, 1 << _BLOCK >> 3), np.uint8)
     for b, x in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
         table_[b] = np.frombuffer(x, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table_.reshape(-1))
+    sent = rows.sparkSession.sparkContext.broadcast(table_.reshape(-1))
 
     @F.pandas_udf("boolean")
     def there(p: pd.Series) -> pd.Series:
         at = p.to_numpy()
         return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    return docs.filter(F.col("id").isNotNull()).filter(there(place("id")))
+    return rows.filter(F.col(own).isNotNull()).filter(there(place(own)))
 
 
 def _open(tokens: DataFrame) -> DataFrame:
@@ -294,14 +294,14 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     classes = sketch.filter("c1 is not null and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     member = classes.select("cls", "n", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = materialise(member.join(bucket, "key").withColumn("company", F.sum("k").over(Window.partitionBy("cls"))), "shared")
+    bucket = materialise(member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    shared = materialise(_likely(member, bucket, "key", "key").join(bucket, "key").withColumn("company", F.sum("k").over(Window.partitionBy("cls"))), "shared")
     heads = shared.groupBy("key").agg(F.max(F.struct("company", "n", "cls"))["cls"].alias("grp"))
     groups = materialise(shared.select("key", "cls", "n").join(heads, "key").select("grp", "cls", "n").distinct().withColumn("colour", F.col("cls")), "groups")
     colours = materialise(groups.select("cls").distinct().withColumn("colour", F.col("cls")), "colours")
 
     named = classes.join(colours.select(F.col("cls").alias("__c")), F.col("cls") == F.col("__c"), "left_semi").select("cls", "rep", "c1", "c2")
-    sets = materialise(_likely(docs, named).join(named, F.col("id") == F.col("rep")).select("cls", "c1", "c2", "text").mapInArrow(_sets(n), "cls long, hashes binary"), "sets")
+    sets = materialise(_likely(docs, named, "id", "rep").join(named, F.col("id") == F.col("rep")).select("cls", "c1", "c2", "text").mapInArrow(_sets(n), "cls long, hashes binary"), "sets")
     if sets.count() > named.count():  # rows that repeat with id and text
         sets = materialise(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
