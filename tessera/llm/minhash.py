@@ -316,11 +316,12 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         fits = lambda x, y: (y["cls"] > x["cls"]) & (y["colour"] != x["colour"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
         pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["cls"].alias("u"), y["cls"].alias("v")))))
         pairs = few.select(F.explode(pairs).alias("p")).select("p.u", "p.v").distinct()
-        a, b = sets.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
+        held = (F.col("k") > SMALL) & (F.col("k") <= MEET) & (F.col("total") <= MEET_HASHES)
+        near = _likely(sets, g.filter((F.col("k") <= SMALL) | held), "cls", "cls")
+        a, b = near.select(F.col("cls").alias("__a"), F.col("hashes").alias("x")), near.select(F.col("cls").alias("__b"), F.col("hashes").alias("y"))
         links = pairs.join(a, F.col("u") == F.col("__a")).join(b, F.col("v") == F.col("__b")).select("u", "v", "x", "y").mapInArrow(_same(percent), "u long, v long")
 
         # groups that one task holds: all members by counts of shared hashes
-        held = (F.col("k") > SMALL) & (F.col("k") <= MEET) & (F.col("total") <= MEET_HASHES)
         middle = g.filter(held).join(a, F.col("cls") == F.col("__a")).select("grp", "cls", F.col("x").alias("hashes"))
         links = links.union(middle.groupBy("grp").applyInArrow(_meet(percent), "u long, v long"))
 
@@ -329,10 +330,11 @@ def _group_rows(sketch: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         some = bool(large.limit(1).count())
         if some:
             unit = F.shiftrightunsigned(F.xxhash64(F.lit(13), "grp", "cls"), 11) * F.lit(2.0**-53)
-            own = sets.withColumnRenamed("cls", "__c")
-            sample = large.filter(unit * F.col("k") < SAMPLE).join(own, F.col("cls") == F.col("__c")).select("grp", "k", "hashes")
+            drawn = large.filter(unit * F.col("k") < SAMPLE)
+            own = lambda wanted: _likely(sets, wanted, "cls", "cls").withColumnRenamed("cls", "__c")
+            sample = drawn.join(own(drawn), F.col("cls") == F.col("__c")).select("grp", "k", "hashes")
             pivots = materialise(sample.groupBy("grp").applyInArrow(_majority, "grp long, k long, pivot binary"), "pivots")
-            full = large.withColumn("salt", _salt()).join(own, F.col("cls") == F.col("__c")).join(_salted(pivots), ["grp", "salt"], "left")
+            full = large.withColumn("salt", _salt()).join(own(large), F.col("cls") == F.col("__c")).join(_salted(pivots), ["grp", "salt"], "left")
             differ = materialise(full.select("grp", "cls", "n", "k", "hashes", "pivot").mapInArrow(_differ, "grp long, cls long, n long, k long, np long, lacks long, diff array<long>"), "differ")
             far = differ.withColumn("w", whole * F.col("lacks") + percent * F.col("n")).withColumn("r", whole * F.col("np")).withColumn("salt", _salt())
             nearest = far.groupBy("grp").agg(F.min(F.struct("w", F.col("cls").alias("c"))).alias("first"), F.first("k").alias("k"))
