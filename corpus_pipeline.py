@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
-from tessera.llm.common import Shelter, materialise, table
+from tessera.llm.common import Shelter, bound_batches, materialise, table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import drop_near_duplicates
 from tessera.llm.mixing import mix
@@ -16,6 +16,8 @@ from tessera.llm.packing import pack
 
 #: A document whose best language is less probable than this is rejected.
 LEAST_SCORE = 0.5
+#: Bytes of an Arrow batch: executors come to each stage with the heap and the workers that the stages before have grown.
+BATCH_BYTES = 2 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null or empty text, or one without a letter, goes. A null lang is a document without a label; a null id isn't special. Rows
     that repeat have one verdict. A text of any length is scored whole. Columns named lang_pred or score are the input's own.
     """
+    bound_batches(spark, BATCH_BYTES)
     model = langid.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -48,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Decided by row: of rows that share an id only those go whose own text is a near copy. Null, empty and wordless texts and rows with a
     null id all stay. Of rows that repeat with id and text one stays. A text with under five words is one shingle.
     """
+    bound_batches(spark, BATCH_BYTES)
     return drop_near_duplicates(docs, n=5, percent=80)
 
 
@@ -68,6 +72,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text has its end id alone. Rows that repeat are packed each for itself; a null id stays null. A text of any length
     is cut into windows. Columns but doc_id and text are not read.
     """
+    bound_batches(spark, BATCH_BYTES)
     return pack(docs, with_ids=True)
 
 

@@ -1,5 +1,7 @@
 """What the operators share: the shared work folder, word splitting and hashing of Arrow text in numpy."""
 
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
@@ -20,11 +22,11 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES, where it is higher."""
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers spark.sql.execution.arrow.maxBytesPerBatch to most, where it is higher."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name, str(BATCH_BYTES + 1))).removesuffix("b")) > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+    if int(str(spark.conf.get(name, str(most + 1))).removesuffix("b")) > most:
+        spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +111,32 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_tessera_cache", {})
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system; Arrow's and C's allocators would keep it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(make):
+    """Of a maker of functions over batches: such a function calls give_back() at the end of each task, for workers live on through later stages."""
+
+    @functools.wraps(make)
+    def made(*args):
+        run = make(*args)
+
+        def out(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return out
+
+    return made
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

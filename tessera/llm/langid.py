@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, mix, slices, table, text_buffers, with_columns, worker_cache
+from tessera.llm.common import bound_batches, lean, mix, slices, table, text_buffers, with_columns, worker_cache
 
 #: Hash buckets of an n-gram, lengths of n-grams, additive smoothing.
 BUCKETS, ORDERS, ALPHA = 1 << 16, (1, 2, 3), 0.5
@@ -81,6 +81,7 @@ def _grams(text: bytes, offs: np.ndarray, over: int = 0):
     return codes, at, grams
 
 
+@lean
 def _count(langs: list[str]):
     """Rows of (language, its counts by bucket as bytes), one for each language that the task has seen."""
 
@@ -171,15 +172,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     named = {c: f"c{k}" for k, c in enumerate(keep)}
-    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.col(f"`{text_col}`").cast("string").alias("__text"))
-
-    def run(batches):
-        for b in batches:
-            best, prob = score_texts(b.column(len(keep)), sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(best, pa.string()), pa.array(prob, pa.float64())], [*named.values(), "lang_pred", "score"])
-
-    schema = d.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    out = d.mapInArrow(run, schema)
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    schema = d.select("*").schema.add("lang_pred", "string").add("score", "double")  # add() changes what it is called on
+    if text_col in keep and dict(d.dtypes)[named[text_col]] == "string":  # it goes along: once is enough
+        at = keep.index(text_col)
+    else:
+        at, d = len(keep), docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    @lean
+    def scored():
+        def run(batches):
+            for b in batches:
+                best, prob = score_texts(b.column(at), sent.value)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(best, pa.string()), pa.array(prob, pa.float64())], [*named.values(), "lang_pred", "score"])
+
+        return run
+
+    out = d.mapInArrow(scored(), schema)
     return out.select(*[F.col(n).alias(c) for c, n in named.items()], "lang_pred", "score")
 
 

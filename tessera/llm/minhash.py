@@ -7,7 +7,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Shelter, discard, materialise, mix, table, text_words, with_columns
+from tessera.llm.common import Shelter, discard, lean, materialise, mix, table, text_words, with_columns
 
 #: A pair at exactly the threshold shares no band with this probability at most; more similar pairs still less.
 MISS = 5e-5
@@ -90,6 +90,7 @@ def _classes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(s1 + n).view(np.int64), mix(mix(s2) + n).view(np.int64)
 
 
+@lean
 def _sketch(n: int, bands: int, rows: int):
     def run(batches):
         for b in batches:
@@ -108,6 +109,7 @@ def _sketch(n: int, bands: int, rows: int):
     return run
 
 
+@lean
 def _sets(n: int):
     """Of rows cls, c1, c2, text: the sets of the texts that are of the class so named."""
 
@@ -122,6 +124,7 @@ def _sets(n: int):
     return run
 
 
+@lean
 def _same(percent: int):
     """Of rows u, v and their sets, those that are linked."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Encoder
-from tessera.llm.common import bound_batches, materialise, slices, table, text_buffers, worker_cache
+from tessera.llm.common import bound_batches, give_back, lean, materialise, slices, table, text_buffers, worker_cache
 
 VOCABULARY, WINDOW, END = "byte_bpe_50k.json", 2048, 1
 #: Documents of one shard of the index, query terms of a seed, and neighbours that are tried whole before one is cut.
@@ -16,6 +16,7 @@ SHARD_ROWS, QUERY_TERMS, WHOLE = 2048, 24, 32
 K1, B = 1.2, 0.75
 
 
+@lean
 def _pieces(vocabulary: str, window: int, end: int, shards: int, with_ids: bool):
     def run(batches):
         encoder, seen = Encoder.get(vocabulary), {}
@@ -46,6 +47,7 @@ def _ids(batch, k: int, small: bool) -> np.ndarray:
     return np.frombuffer(batch.column("ids")[k].as_buffer(), "<u2" if small else "<u4").astype(np.int64)
 
 
+@lean
 def _document_counts(window: int, small: bool):
     """Terms and in how many remainders they are, once a task."""
 
@@ -75,6 +77,7 @@ def leading_term(ids: np.ndarray, df: np.ndarray, n: int, mean: float) -> int:
     return int(terms[best]) if weight[best] >= 0 else -1
 
 
+@lean
 def _leading(window: int, small: bool, df: np.ndarray, n: int, mean: float):
     """Puts the leading term of each remainder, from 1 (0: none), in place of its shard; full windows keep theirs, below 0."""
 
@@ -193,6 +196,8 @@ def fill_windows(docs: list[np.ndarray], window: int):
 
 def _fill(window: int, small: bool, with_ids: bool):
     def run(t: pa.Table) -> pa.Table:
+        worker_cache().clear()  # the encoder's tables, where by_content() has not run
+        give_back()
         t = t.combine_chunks().sort_by([("id", "ascending"), ("start", "ascending"), ("crc", "ascending"), ("ids", "ascending")])
         shard, ids, doc, start, tokens = t.column("shard")[0].as_py(), t.column("ids"), t.column("id"), t.column("start").to_numpy(), t.column("doc_tokens").to_numpy()
         length, crc = t.column("length").to_numpy(), t.column("crc").to_numpy()
